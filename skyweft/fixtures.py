@@ -46,7 +46,7 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
         "cast(l_linenumber as integer) as exposure",
         "cast((l_orderkey % 120) as integer) as y",
         "cast((l_partkey % 100) as integer) as x",
-        "l_extendedprice/1000e0 as sci",
+        "l_extendedprice/997e0 as sci",
         "case when l_quantity > 48e0 then 0e0 else l_quantity end as wht",
     ]),
     "morpho": ("lineitem", [
@@ -79,7 +79,7 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
     "image": ("orders", [
         f"cast(floor(o_orderkey/{IMAGE_WIDTH}e0) as integer) as y",
         f"cast(o_orderkey % {IMAGE_WIDTH} as integer) as x",
-        "(o_totalprice % 1000e0)/10e0 + case when o_totalprice > 440000e0 then 400e0 else 0e0 end as v",
+        "(o_totalprice % 1000e0)/9.97e0 + case when o_totalprice > 440000e0 then 400e0 else 0e0 end as v",
     ]),
     "whole_sky": ("orders", [
         "o_orderkey as id",

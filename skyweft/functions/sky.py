@@ -117,33 +117,74 @@ def dot(a, b) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def in_convex_polygon(point, corners) -> Column:
-    """Point inside a convex spherical polygon: it lies on the same side of all
-    edges, whatever the winding. ``corners`` are (ra, dec) pairs."""
-    p = unit_vector(*point)
-    vectors = [unit_vector(*c) for c in corners]
-    sides = [dot(cross(a, b), p) for a, b in zip(vectors, vectors[1:] + vectors[:1])]
-    inside_ccw, inside_cw = F.lit(True), F.lit(True)
-    for s in sides:
-        inside_ccw, inside_cw = inside_ccw & (s >= 0.0), inside_cw & (s <= 0.0)
-    # The antipodal polygon passes the same test, so ask for the near hemisphere.
-    center = tuple(sum((v[i] for v in vectors[1:]), vectors[0][i]) for i in range(3))
-    return (inside_ccw | inside_cw) & (dot(center, p) > 0.0)
-
-
-def circle_meets_polygon(center, radius_deg, corners) -> Column:
-    """Circle and convex polygon overlap: centre inside, or an edge (great-circle
-    segment) passes within the radius."""
-    p = unit_vector(*center)
-    hit = in_convex_polygon(center, corners)
-    sin_r, cos_r = F.sin(F.radians(col(radius_deg))), F.cos(F.radians(col(radius_deg)))
-    for c0, c1 in zip(corners, corners[1:] + corners[:1]):
-        a, b = unit_vector(*c0), unit_vector(*c1)
-        n = cross(a, b)
-        norm = F.sqrt(dot(n, n))
-        near_plane = F.abs(dot(n, p)) <= sin_r * norm
-        between = (dot(cross(n, a), p) >= 0.0) & (dot(cross(n, b), p) <= 0.0)
-        hit = hit | (dot(a, p) >= cos_r) | (near_plane & between)
+AXES = "xyz"
+
+
+def _columns(name: str) -> tuple[Column, Column, Column]:
+    return tuple(F.col(f"{name}{a}") for a in AXES)
+
+
+def _named(name: str, vector) -> dict[str, Column]:
+    return {f"{name}{a}": c for a, c in zip(AXES, vector)}
+
+
+def with_point_vector(df, ra: str = "ra", dec: str = "dec_"):
+    return df.withColumns(_named("_p", unit_vector(ra, dec)))
+
+
+def with_polygon_vectors(df, corners: list[tuple[str, str]], edges: bool = False):
+    """Corner vectors, edge normals and the centre of a convex footprint as
+    columns, so a join condition needs only dot products. ``edges`` adds what
+    the circle test needs."""
+    n = len(corners)
+    for i, c in enumerate(corners):
+        df = df.withColumns(_named(f"_v{i}", unit_vector(*c)))
+    v = [_columns(f"_v{i}") for i in range(n)]
+    center = tuple(sum((u[k] for u in v[1:]), v[0][k]) for k in range(3))
+    columns = _named("_ctr", center)
+    for i in range(n):
+        columns |= _named(f"_n{i}", cross(v[i], v[(i + 1) % n]))
+    df = df.withColumns(columns)
+    if edges:
+        more = {}
+        for i in range(n):
+            normal = _columns(f"_n{i}")
+            more |= _named(f"_f{i}", cross(normal, v[i])) | _named(f"_g{i}", cross(normal, v[(i + 1) % n]))
+            more[f"_l{i}"] = F.sqrt(dot(normal, normal))
+        df = df.withColumns(more)
+    return df
+
+
+def polygon_columns(df) -> list[str]:
+    return [c for c in df.columns if c[:2] in ("_v", "_n", "_f", "_g", "_l") or c.startswith(("_ctr", "_p"))]
+
+
+def polygon_center() -> tuple[Column, Column]:
+    x, y, z = _columns("_ctr")
+    return wrap360(F.degrees(F.atan2(y, x))), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+
+
+def in_convex_polygon(n: int = 4) -> Column:
+    """The point is on one side of all edges, whatever the winding. The
+    antipodal polygon passes the same test, hence the hemisphere check."""
+    p = _columns("_p")
+    left, right = F.lit(True), F.lit(True)
+    for i in range(n):
+        side = dot(_columns(f"_n{i}"), p)
+        left, right = left & (side >= 0.0), right & (side <= 0.0)
+    return (left | right) & (dot(_columns("_ctr"), p) > 0.0)
+
+
+def circle_meets_polygon(radius_deg: str, n: int = 4) -> Column:
+    """Circle and convex polygon overlap: centre inside, a corner in reach, or an
+    edge (great-circle segment) in reach."""
+    p = _columns("_p")
+    sin_r, cos_r = F.sin(F.radians(radius_deg)), F.cos(F.radians(radius_deg))
+    hit = in_convex_polygon(n)
+    for i in range(n):
+        near = F.abs(dot(_columns(f"_n{i}"), p)) <= sin_r * F.col(f"_l{i}")
+        between = (dot(_columns(f"_f{i}"), p) >= 0.0) & (dot(_columns(f"_g{i}"), p) <= 0.0)
+        hit = hit | (dot(_columns(f"_v{i}"), p) >= cos_r) | (near & between)
     return hit
 
 

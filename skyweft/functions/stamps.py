@@ -1,4 +1,4 @@
-"""Star-mask shapes as per-pixel boolean expressions over (dx, dy, radius)."""
+"""Star-mask shapes as unions of bars and discs, as Column expressions."""
 
 from __future__ import annotations
 
@@ -79,35 +79,49 @@ def extent_pix(radius: Column, cfg: StarMask) -> Column:
     return F.greatest(radius, g["core"] + MAIN_ARM_LENGTH * g["arm_unit"] + g["half_width"])
 
 
-def _arm(dx: Column, dy: Column, angle: float, start, length, half_width) -> Column:
-    """A bar from ``start`` of the given length with a round tip."""
-    ca, sa = math.cos(angle), math.sin(angle)
-    along, across = dx * ca + dy * sa, dy * ca - dx * sa
-    end = start + length
-    bar = (along >= start) & (along <= end) & (F.abs(across) <= half_width)
-    tip = (along - end) * (along - end) + across * across <= half_width * half_width
-    return bar | tip
+def _part(angle: float, start, end, half_width, tip) -> Column:
+    """A bar along ``angle`` from start to end, with a disc of radius ``tip``
+    around its end. A plain disc is a part of zero length."""
+    values = {"ca": F.lit(math.cos(angle)), "sa": F.lit(math.sin(angle)),
+              "start": start, "end": end, "half_width": half_width, "tip": tip}
+    return F.struct(*[c.cast("double").alias(n) for n, c in values.items()])
 
 
-def in_stamp(dx: Column, dy: Column, radius: Column, cfg: StarMask, geometry: dict | None = None) -> Column:
-    r2 = dx * dx + dy * dy
-    if cfg.shape == "circle":
-        return r2 <= radius * radius
+def stamp_parts(cfg: StarMask, radius: str = "radius", geometry: dict[str, Column] | None = None) -> Column:
+    """The shape as an array of parts. The hexagonal core is the union of the
+    three rectangles between its opposite sides."""
+    rr, zero = F.col(radius), F.lit(0.0)
     turn = math.radians(cfg.rotation_deg)
+    if cfg.shape == "circle":
+        return F.array(_part(0.0, zero, zero, rr, rr))
     if cfg.shape == "jwst":
-        half_width = F.greatest(F.lit(HEX_SPIKE_HALF_WIDTH_MIN_PIX), HEX_SPIKE_HALF_WIDTH * radius)
         sector = math.pi / 3.0
-        theta = F.pmod(F.atan2(dy, dx) - turn + math.pi, F.lit(sector)) - sector / 2.0
-        inside = F.sqrt(r2) <= HEX_CORE * radius * math.cos(sector / 2.0) / F.cos(theta)
-        for k in range(6):
-            inside = inside | _arm(dx, dy, turn + k * sector, F.lit(0.0), HEX_SPIKE_LENGTH * radius, half_width)
-        return inside
-    g = geometry or arm_geometry(radius)
-    inside = r2 <= g["core"] * g["core"]
+        width = F.greatest(F.lit(HEX_SPIKE_HALF_WIDTH_MIN_PIX), HEX_SPIKE_HALF_WIDTH * rr)
+        apothem = HEX_CORE * rr * math.cos(sector / 2.0)
+        core = [_part(turn + (k + 0.5) * sector, -apothem, apothem, HEX_CORE * rr / 2.0, zero) for k in range(3)]
+        spikes = [_part(turn + k * sector, zero, HEX_SPIKE_LENGTH * rr, width, width) for k in range(6)]
+        return F.array(*core, *spikes)
+    g = geometry or arm_geometry(rr)
+    parts = [_part(0.0, zero, zero, g["core"], g["core"])]
     for angle in ARM_ANGLES[cfg.shape]:
         diagonal = cfg.shape == "star8" and angle % 90.0 != 0.0
-        length = (DIAGONAL_ARM_LENGTH if diagonal else MAIN_ARM_LENGTH) * g["arm_unit"]
-        length = length * ARM_LENGTH_SCALE.get(angle, 1.0)
+        length = (DIAGONAL_ARM_LENGTH if diagonal else MAIN_ARM_LENGTH) * ARM_LENGTH_SCALE.get(angle, 1.0) * g["arm_unit"]
         width = g["half_width"] * (DIAGONAL_ARM_WIDTH_SCALE if diagonal else 1.0)
-        inside = inside | _arm(dx, dy, math.radians(angle) + turn, g["core"], length, width)
-    return inside
+        parts.append(_part(math.radians(angle) + turn, g["core"], g["core"] + length, width, width))
+    return F.array(*parts)
+
+
+def in_part(dx: Column, dy: Column) -> Column:
+    """Whether an offset from the star lies in the part given by columns ca, sa,
+    start, end, half_width, tip."""
+    c = F.col
+    along, across = dx * c("ca") + dy * c("sa"), dy * c("ca") - dx * c("sa")
+    bar = (along >= c("start")) & (along <= c("end")) & (F.abs(across) <= c("half_width"))
+    return bar | ((along - c("end")) * (along - c("end")) + across * across <= c("tip") * c("tip"))
+
+
+def part_span(center: str, axis: str) -> tuple[Column, Column]:
+    """Bounds of a part along one image axis; ``axis`` is ca for x, sa for y."""
+    a, b = F.col("start") * F.col(axis), F.col("end") * F.col(axis)
+    pad = F.greatest("half_width", "tip")
+    return F.col(center) + F.least(a, b) - pad, F.col(center) + F.greatest(a, b) + pad

@@ -27,19 +27,22 @@ def place_stars(stars: DataFrame, wcs: TangentPlane, cfg: StarMask = StarMask(),
 
 
 def stamp_blocks(placed: DataFrame, cfg: StarMask) -> DataFrame:
-    """One row per (star, pixel block) the stamp can touch, with the arm geometry
-    computed once per star. Copies of a star collapse; a very bright star
-    becomes many rows, which spread."""
-    armed = cfg.shape.startswith("star")
-    geometry = stamps.arm_geometry(F.col("radius")) if armed else {}
-    base = placed.select("cx", "cy", "radius", stamps.extent_pix(F.col("radius"), cfg).alias("_e"),
-                         *[g.alias(f"_{n}") for n, g in geometry.items()]).distinct()
+    """One row per (part of a stamp, pixel block it can touch). Thin arms touch
+    few blocks, and a very bright star becomes many rows, which spread. Copies
+    of a star collapse first."""
+    base = placed.select("cx", "cy", "radius").distinct()
+    geometry = None
+    if cfg.shape.startswith("star"):
+        base = base.withColumns({f"_{n}": g for n, g in stamps.arm_geometry(F.col("radius")).items()})
+        geometry = {n: F.col(f"_{n}") for n in ("core", "half_width", "arm_unit")}
+    parts = base.select("cx", "cy", F.explode(stamps.stamp_parts(cfg, geometry=geometry)).alias("_p")).select(
+        "cx", "cy", "_p.*")
 
-    def span(c: str) -> Column:
-        return F.sequence(block_of(F.floor(F.col(c) - F.col("_e")), BLOCK),
-                          block_of(F.ceil(F.col(c) + F.col("_e")), BLOCK))
+    def blocks(center: str, axis: str) -> Column:
+        lo, hi = stamps.part_span(center, axis)
+        return F.sequence(block_of(F.floor(lo), BLOCK), block_of(F.ceil(hi), BLOCK))
 
-    return base.withColumn("_by", F.explode(span("cy"))).withColumn("_bx", F.explode(span("cx"))).drop("_e")
+    return parts.withColumn("_by", F.explode(blocks("cy", "sa"))).withColumn("_bx", F.explode(blocks("cx", "ca")))
 
 
 def masked_pixels(pixels: DataFrame, placed: DataFrame, cfg: StarMask = StarMask()) -> DataFrame:
@@ -53,8 +56,7 @@ def unmasked_pixels(pixels: DataFrame, placed: DataFrame, cfg: StarMask = StarMa
 
 def _stamp_join(pixels: DataFrame, placed: DataFrame, cfg: StarMask, how: str) -> DataFrame:
     blocks = stamp_blocks(placed, cfg)
-    geometry = {n: F.col(f"_{n}") for n in ("core", "half_width", "arm_unit")} if cfg.shape.startswith("star") else None
-    hit = stamps.in_stamp(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("radius"), cfg, geometry)
+    hit = stamps.in_part(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
     keyed = pixels.withColumns({"_by": block_of("y", BLOCK), "_bx": block_of("x", BLOCK)})
     return salted_join(keyed, blocks, BLOCK_KEYS, how, hit).drop(*BLOCK_KEYS)
 

@@ -1,10 +1,10 @@
 """Exact order statistics and clipped statistics without gathering a group.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task.
-That is fine for groups of bounded size; for whole images or hot groups the
-rank is found by repeated histograms instead: each round counts bins on the map
-side and zooms into the bin that holds the rank, so no task ever sees more than
-a histogram or ``SMALL`` values.
+It is used when the largest group is known to hold at most ``DIRECT`` values.
+Beyond that the rank is found by repeated histograms: each round counts bins on
+the map side and zooms into the bin that holds the rank, so no task ever sees
+more than a histogram or ``SMALL`` values.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..plans.skew import salted_join
 
 BINS = 1024
 SMALL = 4096
+DIRECT = 1_000_000
 ALL = "_all"
 
 
@@ -79,10 +80,22 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = (),
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Linear-interpolation quantiles, one column per name (numpy's default)."""
     by = list(by)
+    counted = df.groupBy(*by).agg(F.count(value).alias("cnt"))
+    largest = counted.agg(F.max("cnt")).first()[0] or 0
+    if largest <= direct:
+        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+            F.percentile(F.col(value).cast("double"), list(map(float, probs))).alias("_q"))
+        return found.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)]).where(
+            F.col(names[0]).isNotNull())
+    return _quantiles_by_rank(df, value, probs, names, by)
+
+
+def _quantiles_by_rank(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: list[str]) -> DataFrame:
     stats = df.groupBy(*by).agg(
         F.count(value).alias("cnt"), F.min(F.col(value).cast("double")).alias("lo"),
         F.max(F.col(value).cast("double")).alias("hi"),
@@ -104,18 +117,18 @@ def exact_quantiles(
     return joined.groupBy(*by).agg(*picks)
 
 
-def median(df: DataFrame, value: str) -> float | None:
-    row = exact_quantiles(df, value, [0.5], ["m"]).first()
+def median(df: DataFrame, value: str, direct: int = DIRECT) -> float | None:
+    row = exact_quantiles(df, value, [0.5], ["m"], direct=direct).first()
     return None if row is None else row["m"]
 
 
-def robust_sigma(df: DataFrame, value: str) -> tuple[float, float]:
+def robust_sigma(df: DataFrame, value: str, direct: int = DIRECT) -> tuple[float, float]:
     """(median, sigma): 1.4826 MAD, or the population deviation when the MAD is
     zero; no spread at all is an error."""
-    center = median(df, value)
+    center = median(df, value, direct)
     if center is None:
         raise ValueError("no values")
-    mad = median(df.select(F.abs(F.col(value) - center).alias("d")), "d")
+    mad = median(df.select(F.abs(F.col(value) - center).alias("d")), "d", direct)
     sigma = 1.4826 * mad
     if sigma <= 0:
         sigma = df.agg(F.stddev_pop(value)).first()[0]
@@ -124,7 +137,8 @@ def robust_sigma(df: DataFrame, value: str) -> tuple[float, float]:
     return center, sigma
 
 
-def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int = 5) -> dict[str, float]:
+def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int = 5,
+                  direct: int = DIRECT) -> dict[str, float]:
     """Sigma-clipped mean, median and deviation over the whole column. Only a few
     scalars per round pass through the driver; each round is a scan with two
     more literal bounds."""
@@ -137,19 +151,22 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
             out = out.where(F.col(value).between(lo, hi))
         return out
 
-    def measure() -> dict[str, float]:
-        row = survivors().agg(
-            F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
-        ).first()
-        return {**row.asDict(), "median": median(survivors(), value)}
+    def measure(at_most: int) -> dict[str, float]:
+        parts = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
+        if at_most <= direct:
+            parts.append(F.percentile(F.col(value).cast("double"), 0.5).alias("median"))
+            return survivors().agg(*parts).first().asDict()
+        row = survivors().agg(*parts).first()
+        return {**row.asDict(), "median": median(survivors(), value, direct)}
 
-    now = measure()
+    now = measure(data.count())
     for _ in range(max_iters):
         if not now["n"]:
             break
         half = sigma * now["std"]
         bounds.append((now["median"] - half, now["median"] + half))
-        before, now = now["n"], measure()
+        before = now["n"]
+        now = measure(before)
         if now["n"] == before:
             break
     return now
@@ -163,14 +180,22 @@ def stretch_channels(
     asinh_a: float = 8.0,
 ) -> DataFrame:
     """Percentile range per channel, then the asinh stretch, per pixel."""
+    names, probs = list(names), [p_low / 100.0, p_high / 100.0]
+    if channels.count() <= DIRECT:
+        limits = channels.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in names]).first().asDict()
+    else:
+        limits = {c: _pair(exact_quantiles(channels, c, probs, ["lo", "hi"]).first()) for c in names}
     out = channels
     for c in names:
-        row = exact_quantiles(channels, c, [p_low / 100.0, p_high / 100.0], ["lo", "hi"]).first()
-        lo, hi = (row["lo"], row["hi"]) if row else (math.nan, math.nan)
+        lo, hi = limits[c] or (math.nan, math.nan)
         out = out.withColumn(c, ph.asinh_stretch(F.col(c), F.lit(lo), F.lit(hi), asinh_a))
     return out
 
 
+def _pair(row) -> tuple[float, float] | None:
+    return None if row is None else (row["lo"], row["hi"])
+
+
 def rgb_composite(channels: DataFrame, cfg: RgbStretch = RgbStretch()) -> DataFrame:
     """Stretched, gained, gamma-corrected r, g, b in [0, 1] on one pixel grid."""
     out = stretch_channels(channels, ("r", "g", "b"), cfg.p_low, cfg.p_high, cfg.asinh_a)

@@ -203,18 +203,18 @@ def points_in_polygons(
     corners; it sets the cell size.
     """
     height = _level_height(max_radius_deg)
-    vectors = [sky.unit_vector(*c) for c in corners]
-    sx, sy, sz = (sum((v[i] for v in vectors[1:]), vectors[0][i]) for i in range(3))
-    placed = polygons.withColumns({
-        "_cra": sky.wrap360(F.degrees(F.atan2(sy, sx))),
-        "_cdec": F.degrees(F.atan2(sz, F.sqrt(sx * sx + sy * sy))),
-    })
-    circles = explode_circle_cells(placed, height, F.lit(max_radius_deg), "_cra", "_cdec").drop("_cra", "_cdec")
-    inside = sky.in_convex_polygon((F.col(ra), F.col(dec)), [(F.col(a), F.col(b)) for a, b in corners])
-    return salted_join(
-        with_point_cell(points, height, ra, dec), circles, CELL, "inner", inside,
-        hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE,
-    ).drop(*CELL)
+    circles = _polygon_cells(polygons, corners, max_radius_deg, height)
+    placed = sky.with_point_vector(with_point_cell(points, height, ra, dec), ra, dec)
+    hits = salted_join(placed, circles, CELL, "inner", sky.in_convex_polygon(len(corners)),
+                       hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE)
+    return hits.drop(*CELL, *sky.polygon_columns(hits))
+
+
+def _polygon_cells(polygons: DataFrame, corners, reach_deg: float, height: float, edges: bool = False) -> DataFrame:
+    shaped = sky.with_polygon_vectors(polygons, corners, edges)
+    ra0, dec0 = sky.polygon_center()
+    placed = shaped.withColumns({"_cra": ra0, "_cdec": dec0})
+    return explode_circle_cells(placed, height, F.lit(reach_deg), "_cra", "_cdec").drop("_cra", "_cdec")
 
 
 def newest_covering_mosaic(
@@ -235,17 +235,10 @@ def newest_covering_mosaic(
     target covered by very many mosaics ships one row per task."""
     reach = max_target_radius_deg + max_mosaic_radius_deg
     height = _level_height(reach)
-    vectors = [sky.unit_vector(*c) for c in corners]
-    sx, sy, sz = (sum((v[i] for v in vectors[1:]), vectors[0][i]) for i in range(3))
-    placed = mosaics.withColumns({
-        "_cra": sky.wrap360(F.degrees(F.atan2(sy, sx))),
-        "_cdec": F.degrees(F.atan2(sz, F.sqrt(sx * sx + sy * sy))),
-    })
-    circles = explode_circle_cells(placed, height, F.lit(reach), "_cra", "_cdec").drop("_cra", "_cdec")
-    meets = sky.circle_meets_polygon(
-        (F.col(ra), F.col(dec)), F.col(target_radius_deg), [(F.col(a), F.col(b)) for a, b in corners]
-    )
-    points = with_point_cell(targets.select(key, ra, dec, target_radius_deg), height, ra, dec)
+    circles = _polygon_cells(mosaics, corners, reach, height, edges=True)
+    points = sky.with_point_vector(
+        with_point_cell(targets.select(key, ra, dec, target_radius_deg), height, ra, dec), ra, dec)
+    meets = sky.circle_meets_polygon(target_radius_deg, len(corners))
     hits = salted_join(points, circles, CELL, "inner", meets, growth=MAX_CELLS_PER_CIRCLE)
     best = hits.groupBy(key).agg(
         F.max_by(F.struct(*keep, created), F.struct(created, *keep)).alias("_best")
