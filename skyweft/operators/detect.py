@@ -158,18 +158,20 @@ def _label_tile(planes, present, y0, x0, connectivity: int):
     return {"local": labels}
 
 
-def label_components(pixels: DataFrame, connectivity: int = 8, image: Sequence[str] = (), value: str = "v",
-                     tile: int = TILE) -> DataFrame:
-    """Add ``root``: the smallest pixel id of the connected component.
-
-    Tiles are labelled on their own; only pixels on tile borders make edges
-    between tile labels, and that far smaller graph is contracted. The pixel
-    rows themselves are shuffled once and joined once.
-    """
-    image = list(image)
-    local = cut_lineage(
+def tile_labels(pixels: DataFrame, connectivity: int = 8, image: Sequence[str] = (), value: str = "v",
+                tile: int = TILE) -> DataFrame:
+    """Add ``local``: the component id inside the pixel's tile. Written once,
+    because the border, the sizes and the result all read it."""
+    return cut_lineage(
         map_tiles(pixels, lambda p, m, y, x: {**_label_tile(p, m, y, x, connectivity), value: p[value]},
                   f"local bigint, {value} double", [value], image, tile), "labels")
+
+
+def merge_tiles(local: DataFrame, connectivity: int = 8, image: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """(image..., local, root) for tile labels that touch another tile's label.
+    Only pixels on tile borders make edges, so the graph is far smaller than
+    the image."""
+    image = list(image)
     edge_row, edge_col = F.pmod("y", F.lit(tile)), F.pmod("x", F.lit(tile))
     border = local.where(edge_row.isin(0, tile - 1) | edge_col.isin(0, tile - 1))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
@@ -177,51 +179,52 @@ def label_components(pixels: DataFrame, connectivity: int = 8, image: Sequence[s
     reach = border.withColumn("_s", F.explode(offsets)).select(
         *image, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"),
         F.col("local").alias("other"))
-    # Node ids must be unique across images.
-    node = F.struct(*[F.col(c) for c in image], F.col("local").alias("id"))
-    other = F.struct(*[F.col(c) for c in image], F.col("other").alias("id"))
+    node, other = F.col("local"), F.col("other")
+    if image:  # node ids must be unique across images
+        node = F.struct(*[F.col(c) for c in image], F.col("local").alias("id"))
+        other = F.struct(*[F.col(c) for c in image], F.col("other").alias("id"))
     touching = border.select(*image, "y", "x", "local").join(reach, [*image, "y", "x"])
+    merged = connected_components(touching.select(node.alias("u"), other.alias("v")))
     if not image:
-        node, other = F.col("local"), F.col("other")
-    edges = touching.select(node.alias("u"), other.alias("v"))
-    merged = connected_components(edges)
-    if image:
-        merged = merged.select(*[F.col(f"node.{c}").alias(c) for c in image],
-                               F.col("node.id").alias("local"), F.col("root.id").alias("root"))
-    else:
-        merged = merged.withColumnRenamed("node", "local")
-    # A tile label has at most tile**2 pixels, so this key cannot be hot.
-    return local.join(merged, [*image, "local"], "left").select(
-        *image, "y", "x", value, "local", F.coalesce("root", "local").alias("root"))
+        return merged.withColumnRenamed("node", "local")
+    return merged.select(*[F.col(f"node.{c}").alias(c) for c in image],
+                         F.col("node.id").alias("local"), F.col("root.id").alias("root"))
 
 
-def drop_small(labelled: DataFrame, npixels: int, image: Sequence[str] = ()) -> DataFrame:
-    """Keep components with at least ``npixels`` pixels. Sizes are summed per tile
-    label first, so the join back runs on tile labels and never on hot roots."""
+def label_components(pixels: DataFrame, connectivity: int = 8, image: Sequence[str] = (), value: str = "v",
+                     tile: int = TILE) -> DataFrame:
+    """Add ``root``: the smallest pixel id of the connected component."""
     image = list(image)
-    tile_sizes = labelled.groupBy(*image, "root", "local").agg(F.count("*").alias("_n"))
-    totals = tile_sizes.groupBy(*image, "root").agg(F.sum("_n").alias("_total")).where(F.col("_total") >= npixels)
-    kept = salted_join(tile_sizes.drop("_n"), totals, [*image, "root"], "left_semi").select(*image, "local")
-    return labelled.join(kept, [*image, "local"], "left_semi")
+    local = tile_labels(pixels, connectivity, image, value, tile)
+    merged = merge_tiles(local, connectivity, image, tile)
+    # A tile label has at most tile**2 pixels, so this key cannot be hot.
+    return local.join(merged, [*image, "local"], "left").select(
+        *image, "y", "x", value, F.coalesce("root", "local").alias("root"))
 
 
 def segment(pixels: DataFrame, threshold: Column | float, npixels: int, connectivity: int = 8,
             image: Sequence[str] = (), value: str = "v", tile: int = TILE) -> DataFrame:
-    """Pixels above the threshold in components of at least ``npixels`` pixels."""
-    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    above = pixels.where(F.col(value) > limit).select(*image, "y", "x", value)
-    return drop_small(label_components(above, connectivity, image, value, tile), npixels, image)
-
+    """Components of at least ``npixels`` pixels above the threshold, labelled
+    1..n in raster order of their first pixel (the seed).
 
-def number_labels(segments: DataFrame, image: Sequence[str] = ()) -> DataFrame:
-    """Replace roots by labels 1..n in raster order of each component's first pixel."""
+    Sizes, roots and labels are worked out on tile labels; the pixels are
+    shuffled once to be labelled and joined once to their label.
+    """
     image = list(image)
-    roots = segments.select(*image, "root", "local").distinct()
-    ordered = with_row_number(roots.select(*image, "root").distinct(), "label", [*image, "root"])
-    by_local = salted_join(roots, ordered, [*image, "root"], "inner").select(*image, "local", "label")
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    above = pixels.where(F.col(value) > limit).select(*image, "y", "x", value)
+    local = tile_labels(above, connectivity, image, value, tile)
+    merged = merge_tiles(local, connectivity, image, tile)
+    parts = cut_lineage(
+        local.groupBy(*image, "local").agg(F.count("*").alias("_n")).join(merged, [*image, "local"], "left")
+        .select(*image, "local", F.coalesce("root", "local").alias("root"), "_n"), "parts")
+    whole = parts.groupBy(*image, "root").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= npixels)
+    numbered = with_row_number(whole.select(*image, "root"), "label", [*image, "root"])
     seed_x = F.pmod("root", F.lit(Y_SHIFT))
-    seeds = {"seed_y": F.floor((F.col("root") - seed_x) / F.lit(Y_SHIFT)).cast("int"), "seed_x": seed_x.cast("int")}
-    return segments.join(by_local, [*image, "local"]).withColumns(seeds).drop("local", "root")
+    labels = salted_join(parts.drop("_n"), numbered, [*image, "root"], "inner").select(
+        *image, "local", "label", F.floor((F.col("root") - seed_x) / F.lit(Y_SHIFT)).cast("int").alias("seed_y"),
+        seed_x.cast("int").alias("seed_x"))
+    return local.join(labels, [*image, "local"]).drop("local")
 
 
 # -- measurement ---------------------------------------------------------------------
@@ -346,8 +349,8 @@ def detect_sources(pixels: DataFrame, cfg: Detection = Detection()) -> tuple[Dat
     seen = smooth(filled, cfg.smooth_fwhm)
     if finite is not pixels:
         seen = seen.join(finite.select("y", "x"), ["y", "x"], "left_semi")
-    found = number_labels(segment(seen, threshold, cfg.npixels, cfg.connectivity))
-    measured = found.select("y", "x", "label", "seed_y", "seed_x").join(filled.select("y", "x", "v"), ["y", "x"])
+    found = segment(seen, threshold, cfg.npixels, cfg.connectivity).drop("v")
+    measured = cut_lineage(found.join(filled.select("y", "x", "v"), ["y", "x"]), "segments")
     return measured, {**stats, "threshold": threshold}
 
 
@@ -369,9 +372,9 @@ def extract_sources(pixels: DataFrame, cfg: Extraction = Extraction(), masked: D
     local = smoothed.join(seen.select("y", "x", "rms"), ["y", "x"])
     if masked is not None:
         local = local.join(masked.select("y", "x"), ["y", "x"], "left_anti")
-    above = local.where(F.col("v") > cfg.nsigma * F.col("rms")).select("y", "x", "v")
-    segments = number_labels(drop_small(label_components(above, 8), cfg.npixels))
-    pixels_of = segments.select("y", "x", "label", "seed_y", "seed_x").join(measured.select("y", "x", "v"), ["y", "x"])
+    above = local.where(F.col("v") > cfg.nsigma * F.col("rms"))
+    segments = segment(above, F.lit(float("-inf")), cfg.npixels).drop("v")
+    pixels_of = cut_lineage(segments.join(measured.select("y", "x", "v"), ["y", "x"]), "segments")
     shapes = moments(pixels_of)
     return shapes.join(kron_and_half_light(pixels_of, shapes), "label", "left").select(
         "label", F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"),

@@ -15,14 +15,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="skyweft-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="skyweft-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

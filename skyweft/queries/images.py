@@ -162,15 +162,14 @@ _REACH = f"""with recursive a as materialized {_ABOVE}, e as materialized (selec
 
 @query(f"""{_REACH} select a.y, a.x, s.label from a join c on c.id = a.id join s on s.root = c.root""")
 def segmentation(spark, sf):
-    found = detect.segment(fixture(spark, sf, "image"), 88.0, 3, tile=64)
-    return detect.number_labels(found).select("y", "x", "label")
+    return detect.segment(fixture(spark, sf, "image"), 88.0, 3, tile=64).select("y", "x", "label")
 
 
 @query(f"""{_REACH} select s.label, count(*) as npix, round(avg(a.x), 6) as xcentroid_pix, round(avg(a.y), 6) as ycentroid_pix,
    min(a.x) as xmin_pix, max(a.x) as xmax_pix, min(a.y) as ymin_pix, max(a.y) as ymax_pix
   from a join c on c.id = a.id join s on s.root = c.root group by s.label""")
 def segment_catalog(spark, sf):
-    found = detect.number_labels(detect.segment(fixture(spark, sf, "image"), 88.0, 3, tile=64))
+    found = detect.segment(fixture(spark, sf, "image"), 88.0, 3, tile=64)
     return detect.basic_catalog(found).withColumns(
         {c: F.round(c, 6) for c in ("xcentroid_pix", "ycentroid_pix")})
 

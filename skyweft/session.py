@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | int = 8, memory: str = "12g", app: str = "skyweft") -> SparkSession:
-    spark = (
+def local_session(cores: str | int = 8, memory: str = "12g", app: str = "skyweft", **conf: str) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -20,7 +20,9 @@ def local_session(cores: str | int = 8, memory: str = "12g", app: str = "skyweft
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
