@@ -75,7 +75,8 @@ def read_galaxy_list(spark: SparkSession, path: str, header: str = "# PGC_name")
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, file_name, length) without reading contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    local = F.regexp_replace("path", r"^file:/*", "/")  # local paths without a scheme
+    return files.select(local.alias("path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
 def list_cutouts(spark: SparkSession, folder: str, tile_id: str | None = None) -> DataFrame:
@@ -88,7 +89,8 @@ def list_cutouts(spark: SparkSession, folder: str, tile_id: str | None = None) -
         F.regexp_extract("file_name", CUTOUT_FILE, 1).alias("tile_id"),
         source_id(F.regexp_extract("file_name", CUTOUT_FILE, 2)).alias("source_id"), F.col("path").alias("cutout_path"))
     others = files.where(~F.col("file_name").rlike(CUTOUT_FILE)).select("path")
-    carded = header_cards(spark, folder, "*.fits").where("hdu = 0").groupBy("path").agg(
+    carded = header_cards(spark, folder, "*.fits").where("hdu = 0").groupBy(
+        F.regexp_replace("path", r"^file:/*", "/").alias("path")).agg(
         F.max(F.when(F.col("key") == "TILEID", F.col("value"))).alias("tile_id"),
         F.max(F.when(F.col("key") == "SRCID", F.col("value"))).alias("source_id"))
     resolved = others.join(carded, "path").where((F.col("tile_id") != "") & F.col("source_id").isNotNull()).select(
