@@ -120,7 +120,7 @@ def dot(a, b) -> Column:
 AXES = "xyz"
 
 
-def _columns(name: str) -> tuple[Column, Column, Column]:
+def vector_columns(name: str) -> tuple[Column, Column, Column]:
     return tuple(F.col(f"{name}{a}") for a in AXES)
 
 
@@ -132,60 +132,84 @@ def with_point_vector(df, ra: str = "ra", dec: str = "dec_"):
     return df.withColumns(_named("_p", unit_vector(ra, dec)))
 
 
-def with_polygon_vectors(df, corners: list[tuple[str, str]], edges: bool = False):
-    """Corner vectors, edge normals and the centre of a convex footprint as
-    columns, so a join condition needs only dot products. ``edges`` adds what
-    the circle test needs."""
+def with_polygon_edges(df, corners: list[tuple[str, str]]):
+    """Add the shape of a convex footprint as columns: its unit centre ``_c``,
+    ``_cosr`` and ``_capr`` (the centre-to-corner radius) and ``_edges``, one struct
+    per edge with start corner v, normal n of length l, and the two vectors f, g
+    that tell whether a point lies between the edge's ends. Join conditions then
+    need only dot products."""
     n = len(corners)
-    for i, c in enumerate(corners):
-        df = df.withColumns(_named(f"_v{i}", unit_vector(*c)))
-    v = [_columns(f"_v{i}") for i in range(n)]
-    center = tuple(sum((u[k] for u in v[1:]), v[0][k]) for k in range(3))
-    columns = _named("_ctr", center)
-    for i in range(n):
-        columns |= _named(f"_n{i}", cross(v[i], v[(i + 1) % n]))
-    df = df.withColumns(columns)
-    if edges:
-        more = {}
-        for i in range(n):
-            normal = _columns(f"_n{i}")
-            more |= _named(f"_f{i}", cross(normal, v[i])) | _named(f"_g{i}", cross(normal, v[(i + 1) % n]))
-            more[f"_l{i}"] = F.sqrt(dot(normal, normal))
-        df = df.withColumns(more)
-    return df
-
-
-def polygon_columns(df) -> list[str]:
-    return [c for c in df.columns if c[:2] in ("_v", "_n", "_f", "_g", "_l") or c.startswith(("_ctr", "_p"))]
+
+    def struct_of(prefix: str, vector) -> list[Column]:
+        return [c.alias(f"{prefix}{a}") for a, c in zip(AXES, vector)]
+
+    def edge(a: Column, i: Column) -> Column:
+        """Edge from corner i to the next; lambdas name the intermediate vectors."""
+        va = _field(a, "v")
+
+        def with_next(b: Column) -> Column:
+            vb = _field(b, "v")
+
+            def with_normal(e: Column) -> Column:
+                normal = _field(e, "n")
+                return F.struct(*struct_of("v", va), *struct_of("n", normal), *struct_of("f", cross(normal, va)),
+                                *struct_of("g", cross(normal, vb)), F.sqrt(dot(normal, normal)).alias("l"))
+
+            return bind(F.struct(*struct_of("n", cross(va, vb))), with_normal)
+
+        return bind(F.get("_vs", (i + 1) % n), with_next)
+
+    places = F.array(*[F.struct(F.col(r).alias("ra"), F.col(d).alias("dec")) for r, d in corners])
+    df = df.withColumn("_vs", F.transform(places, lambda c: F.struct(*struct_of("v", unit_vector(c["ra"], c["dec"])))))
+    df = df.withColumns({f"_t{a}": F.aggregate("_vs", F.lit(0.0), lambda t, v: t + v[f"v{a}"]) for a in AXES})
+    length = F.sqrt(dot(vector_columns("_t"), vector_columns("_t")))
+    df = df.withColumns({f"_c{a}": F.col(f"_t{a}") / length for a in AXES})
+    nearest = F.array_min(F.transform("_vs", lambda v: dot(_field(v, "v"), vector_columns("_c"))))
+    df = df.withColumns({"_cosr": nearest - 1e-12, "_edges": F.transform("_vs", edge)})
+    return df.withColumn("_capr", F.acos("_cosr")).drop("_vs", "_tx", "_ty", "_tz")
+
+
+def bind(value: Column, body) -> Column:
+    """Let-binding: a one-element transform computes ``value`` once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+POLYGON_COLUMNS = ["_cx", "_cy", "_cz", "_cosr", "_capr", "_edges", "_px", "_py", "_pz"]
 
 
 def polygon_center() -> tuple[Column, Column]:
-    x, y, z = _columns("_ctr")
+    x, y, z = vector_columns("_c")
     return wrap360(F.degrees(F.atan2(y, x))), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
 
 
-def in_convex_polygon(n: int = 4) -> Column:
-    """The point is on one side of all edges, whatever the winding. The
-    antipodal polygon passes the same test, hence the hemisphere check."""
-    p = _columns("_p")
-    left, right = F.lit(True), F.lit(True)
-    for i in range(n):
-        side = dot(_columns(f"_n{i}"), p)
-        left, right = left & (side >= 0.0), right & (side <= 0.0)
-    return (left | right) & (dot(_columns("_ctr"), p) > 0.0)
+def in_bounding_cap() -> Column:
+    return dot(vector_columns("_c"), vector_columns("_p")) >= F.col("_cosr")
+
+
+def _field(e: Column, name: str) -> tuple[Column, Column, Column]:
+    return tuple(e[f"{name}{a}"] for a in AXES)
 
 
-def circle_meets_polygon(radius_deg: str, n: int = 4) -> Column:
+def in_convex_polygon() -> Column:
+    """The point is on one side of all edges, whatever the winding. Use together
+    with ``in_bounding_cap``, which rules out the antipodal polygon."""
+    p = vector_columns("_p")
+    return F.forall("_edges", lambda e: dot(_field(e, "n"), p) >= 0.0) | F.forall(
+        "_edges", lambda e: dot(_field(e, "n"), p) <= 0.0)
+
+
+def circle_meets_polygon(radius_deg: str) -> Column:
     """Circle and convex polygon overlap: centre inside, a corner in reach, or an
     edge (great-circle segment) in reach."""
-    p = _columns("_p")
+    p = vector_columns("_p")
     sin_r, cos_r = F.sin(F.radians(radius_deg)), F.cos(F.radians(radius_deg))
-    hit = in_convex_polygon(n)
-    for i in range(n):
-        near = F.abs(dot(_columns(f"_n{i}"), p)) <= sin_r * F.col(f"_l{i}")
-        between = (dot(_columns(f"_f{i}"), p) >= 0.0) & (dot(_columns(f"_g{i}"), p) <= 0.0)
-        hit = hit | (dot(_columns(f"_v{i}"), p) >= cos_r) | (near & between)
-    return hit
+
+    def reached(e: Column) -> Column:
+        near = F.abs(dot(_field(e, "n"), p)) <= sin_r * e["l"]
+        between = (dot(_field(e, "f"), p) >= 0.0) & (dot(_field(e, "g"), p) <= 0.0)
+        return (dot(_field(e, "v"), p) >= cos_r) | (near & between)
+
+    return (in_bounding_cap() & in_convex_polygon()) | F.exists("_edges", reached)
 
 
 # -- equal-height cells for range joins ---------------------------------------

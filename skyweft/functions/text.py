@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sky import bind
+
 # Patterns and file-name formats of the input catalogs.
 HEADER_LINE = r"^#\s*(\d+)\s+([A-Za-z0-9_]+)\b"
 UNSAFE_CHARS = r"[^A-Za-z0-9._-]+"
@@ -73,26 +75,39 @@ def fixed_point(value: Column | str, digits: int) -> Column:
     its rounding error (two-product), so the tie test is exact. Values beyond
     2**52 / 10**digits fall back to ``format_string``; non-finite prints nan.
     """
-    v = col(value).cast("double")
     scale, split = float(10**digits), float(2**27 + 1)
+    ph = scale * split - (scale * split - scale)
+    pl = scale - ph
+    ten = F.lit(10**digits).cast("bigint")
+
+    def units(a: Column) -> Column:
+        y = a * scale
+        ah = a * split - (a * split - a)
+        err = ((ah * ph - y) + ah * pl + (a - ah) * ph) + (a - ah) * pl
+        near = F.rint(y)
+        up, down = ((y - near) - 0.5) + err > 0.0, ((y - near) + 0.5) + err < 0.0
+        return (near + up.cast("double") - down.cast("double")).cast("bigint")
+
+    def digits_of(u: Column) -> Column:
+        if digits == 0:
+            return u.cast("string")
+        rest = u % ten
+        whole = ((u - rest) / ten).cast("bigint").cast("string")
+        return F.concat(whole, F.lit("."), F.substring((ten + rest).cast("string"), 2, digits))
+
+    # Only values next to a tie need the exact test; the rest go through decimals.
+    v = col(value).cast("double")
     a = F.abs(v)
     y = a * scale
-    ah = a * split - (a * split - a)
-    ph = scale * split - (scale * split - scale)
-    al, pl = a - ah, scale - ph
-    err = ((ah * ph - y) + ah * pl + al * ph) + al * pl
-    near = F.rint(y)
-    up, down = ((y - near) - 0.5) + err > 0.0, ((y - near) + 0.5) + err < 0.0
-    units = (near + up.cast("double") - down.cast("double")).cast("bigint")
-    body = F.format_string(f"%0{digits + 1}d", units)
-    if digits > 0:
-        body = F.regexp_replace(body, rf"(\d{{{digits}}})$", ".$1")
+    near_tie = F.abs(y - F.floor(y) - 0.5) <= y * 4e-16
+    exact = bind(units(a), digits_of)
+    quick = a.cast(f"decimal(18,{digits})").cast("string")
     sign = F.when(v < 0.0, "-").otherwise("")
     return (
         F.when(v.isNull() | F.isnan(v), "nan")
         .when(a == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(a < float(2**52) / scale, F.concat(sign, body))
-        .otherwise(F.format_string(f"%.{digits}f", v))
+        .when(a >= float(2**52) / scale, F.format_string(f"%.{digits}f", v))
+        .otherwise(F.concat(sign, F.when(near_tie, exact).otherwise(quick)))
     )
 
 

@@ -92,16 +92,15 @@ def clipped_coadd(
     and one aggregate per iteration.
     """
     by = list(by)
-    clean = sanitize_weights(samples, cfg).where(is_finite("sci") & is_finite("wht")).select(*by, "sci", "wht")
-    pixels = sanitize_weights(samples, cfg).select(*by).distinct()
+    weighed = sanitize_weights(samples, cfg).select(*by, "sci", "wht")
+    usable = is_finite("sci") & is_finite("wht")
     deep = cut_lineage(
-        clean.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > stack_rows).select(*by), "deep"
-    )
+        weighed.groupBy(*by).agg(F.count_if(usable).alias("_n")).where(F.col("_n") > stack_rows).select(*by), "deep")
     has_deep = not deep.isEmpty()
-    shallow = clean.join(deep, by, "left_anti") if has_deep else clean
-    stacks = shallow.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("sci").alias("x"), F.col("wht").alias("w")))).alias("s")
-    )
+    shallow = weighed.join(deep, by, "left_anti") if has_deep else weighed
+    # Unusable samples add no element, so a pixel without any keeps an empty stack.
+    element = F.when(usable, F.struct(F.col("sci").alias("x"), F.col("wht").alias("w")))
+    stacks = shallow.groupBy(*by).agg(F.sort_array(F.collect_list(element)).alias("s"))
     kept = stacks.select(*by, clip_array(cfg.sigma, cfg.max_iters).alias("k"))
     zero = F.lit(0.0)
     sums = kept.select(
@@ -110,9 +109,8 @@ def clipped_coadd(
         F.aggregate("k", zero, lambda t, e: t + e["w"] * e["x"]).alias("_wx"),
     )
     if has_deep:
-        sums = sums.unionByName(_clip_deep(clean.join(deep, by, "left_semi"), cfg, by))
-    everything = pixels.join(sums, by, "left").fillna(0.0, ["_w", "_wx"])
-    return _finish(everything, by, cfg)
+        sums = sums.unionByName(_clip_deep(weighed.where(usable).join(deep, by, "left_semi"), cfg, by))
+    return _finish(sums, by, cfg)
 
 
 def _clip_deep(samples: DataFrame, cfg: Coadd, by: list[str]) -> DataFrame:

@@ -20,8 +20,8 @@ from ..plans.halo import block_of
 from ..plans.ranking import with_row_number
 from ..plans.skew import salted_join
 
-BLOCK = 64
-BLOCK_KEYS = ["_by", "_bx"]
+BLOCK = 32
+BLOCK_KEYS = ["_y", "_bx"]
 
 
 def plan_kron_cutouts(sources: DataFrame, pixel_scale: float | None, cfg: KronCutout = KronCutout(),
@@ -61,15 +61,15 @@ def with_windows(sources: DataFrame, cx: str = "cx", cy: str = "cy", side: str =
 
 def cutout_pixels(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
     """(key, y, x, value) of the image pixels inside each window: a range join on
-    pixel blocks. Many windows on one block are spread over salts."""
-    def span(lo: str, hi: str) -> Column:
-        return F.sequence(block_of(lo, BLOCK), block_of(F.col(hi) - 1, BLOCK))
-
-    blocks = windows.select(key, "wx0", "wx1", "wy0", "wy1").withColumn("_by", F.explode(span("wy0", "wy1")))
-    blocks = blocks.withColumn("_bx", F.explode(span("wx0", "wx1")))
-    keyed = pixels.select("y", "x", value).withColumns({"_by": block_of("y", BLOCK), "_bx": block_of("x", BLOCK)})
-    inside = F.col("y").between(F.col("wy0"), F.col("wy1") - 1) & F.col("x").between(F.col("wx0"), F.col("wx1") - 1)
-    return salted_join(blocks, keyed, BLOCK_KEYS, "inner", inside).select(key, "y", "x", value)
+    runs of ``BLOCK`` pixels of one image row, so a window tests little more than
+    it keeps, whatever its size. Many windows on one run are spread over salts."""
+    rows = F.sequence("wy0", F.col("wy1") - 1)
+    runs = F.sequence(block_of("wx0", BLOCK), block_of(F.col("wx1") - 1, BLOCK))
+    asked = windows.select(key, "wx0", "wx1", F.explode(rows).alias("_y"), runs.alias("_runs")).select(
+        key, "wx0", "wx1", "_y", F.explode("_runs").alias("_bx"))
+    keyed = pixels.select(F.col("y").alias("_y"), "x", value).withColumn("_bx", block_of("x", BLOCK))
+    inside = (F.col("x") >= F.col("wx0")) & (F.col("x") < F.col("wx1"))
+    return salted_join(asked, keyed, BLOCK_KEYS, "inner", inside).select(key, F.col("_y").alias("y"), "x", value)
 
 
 def partial_cutouts(pixels: DataFrame, windows: DataFrame, key: str, fill: float = 0.0, value: str = "v") -> DataFrame:

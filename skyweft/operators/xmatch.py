@@ -205,13 +205,14 @@ def points_in_polygons(
     height = _level_height(max_radius_deg)
     circles = _polygon_cells(polygons, corners, max_radius_deg, height)
     placed = sky.with_point_vector(with_point_cell(points, height, ra, dec), ra, dec)
-    hits = salted_join(placed, circles, CELL, "inner", sky.in_convex_polygon(len(corners)),
-                       hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE)
-    return hits.drop(*CELL, *sky.polygon_columns(hits))
+    # The cheap cap test comes first; AND stops there for most pairs.
+    inside = sky.in_bounding_cap() & sky.in_convex_polygon()
+    hits = salted_join(placed, circles, CELL, "inner", inside, hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE)
+    return hits.drop(*CELL, *sky.POLYGON_COLUMNS)
 
 
-def _polygon_cells(polygons: DataFrame, corners, reach_deg: float, height: float, edges: bool = False) -> DataFrame:
-    shaped = sky.with_polygon_vectors(polygons, corners, edges)
+def _polygon_cells(polygons: DataFrame, corners, reach_deg: float, height: float) -> DataFrame:
+    shaped = sky.with_polygon_edges(polygons, corners)
     ra0, dec0 = sky.polygon_center()
     placed = shaped.withColumns({"_cra": ra0, "_cdec": dec0})
     return explode_circle_cells(placed, height, F.lit(reach_deg), "_cra", "_cdec").drop("_cra", "_cdec")
@@ -235,11 +236,13 @@ def newest_covering_mosaic(
     target covered by very many mosaics ships one row per task."""
     reach = max_target_radius_deg + max_mosaic_radius_deg
     height = _level_height(reach)
-    circles = _polygon_cells(mosaics, corners, reach, height, edges=True)
+    circles = _polygon_cells(mosaics, corners, reach, height)
     points = sky.with_point_vector(
         with_point_cell(targets.select(key, ra, dec, target_radius_deg), height, ra, dec), ra, dec)
-    meets = sky.circle_meets_polygon(target_radius_deg, len(corners))
-    hits = salted_join(points, circles, CELL, "inner", meets, growth=MAX_CELLS_PER_CIRCLE)
+    close = sky.dot(sky.vector_columns("_c"), sky.vector_columns("_p")) >= F.cos(
+        F.col("_capr") + F.radians(target_radius_deg)) - 1e-12
+    hits = salted_join(points, circles, CELL, "inner", close & sky.circle_meets_polygon(target_radius_deg),
+                       growth=MAX_CELLS_PER_CIRCLE)
     best = hits.groupBy(key).agg(
         F.max_by(F.struct(*keep, created), F.struct(created, *keep)).alias("_best")
     )
