@@ -97,7 +97,7 @@ def clipped_coadd(
     deep = cut_lineage(
         weighed.groupBy(*by).agg(F.count_if(usable).alias("_n")).where(F.col("_n") > stack_rows).select(*by), "deep")
     has_deep = not deep.isEmpty()
-    shallow = weighed.join(deep, by, "left_anti") if has_deep else weighed
+    shallow = salted_join(weighed, deep, by, "left_anti") if has_deep else weighed
     # Unusable samples add no element, so a pixel without any keeps an empty stack.
     element = F.when(usable, F.struct(F.col("sci").alias("x"), F.col("wht").alias("w")))
     stacks = shallow.groupBy(*by).agg(F.sort_array(F.collect_list(element)).alias("s"))
@@ -109,7 +109,7 @@ def clipped_coadd(
         F.aggregate("k", zero, lambda t, e: t + e["w"] * e["x"]).alias("_wx"),
     )
     if has_deep:
-        sums = sums.unionByName(_clip_deep(weighed.where(usable).join(deep, by, "left_semi"), cfg, by))
+        sums = sums.unionByName(_clip_deep(salted_join(weighed.where(usable), deep, by, "left_semi"), cfg, by))
     return _finish(sums, by, cfg)
 
 

@@ -18,7 +18,7 @@ from ..functions.sky import TangentPlane
 from ..functions.text import metric_name
 from ..plans.halo import block_of
 from ..plans.ranking import with_row_number
-from ..plans.skew import salted_join
+from ..plans.skew import rows_fit_broadcast, salted_join
 
 BLOCK = 32
 BLOCK_KEYS = ["_y", "_bx"]
@@ -62,13 +62,18 @@ def with_windows(sources: DataFrame, cx: str = "cx", cy: str = "cy", side: str =
 def cutout_pixels(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
     """(key, y, x, value) of the image pixels inside each window: a range join on
     runs of ``BLOCK`` pixels of one image row, so a window tests little more than
-    it keeps, whatever its size. Many windows on one run are spread over salts."""
+    it keeps, whatever its size. Few windows are broadcast after counting their
+    runs; otherwise many windows on one run are spread over salts."""
     rows = F.sequence("wy0", F.col("wy1") - 1)
     runs = F.sequence(block_of("wx0", BLOCK), block_of(F.col("wx1") - 1, BLOCK))
     asked = windows.select(key, "wx0", "wx1", F.explode(rows).alias("_y"), runs.alias("_runs")).select(
         key, "wx0", "wx1", "_y", F.explode("_runs").alias("_bx"))
     keyed = pixels.select(F.col("y").alias("_y"), "x", value).withColumn("_bx", block_of("x", BLOCK))
     inside = (F.col("x") >= F.col("wx0")) & (F.col("x") < F.col("wx1"))
+    n = windows.agg(F.sum((F.col("wy1") - F.col("wy0")).cast("bigint") * F.size(runs))).first()[0] or 0
+    if rows_fit_broadcast(pixels.sparkSession, n):
+        joined = keyed.join(F.broadcast(asked), BLOCK_KEYS).where(inside)
+        return joined.select(key, F.col("_y").alias("y"), "x", value)
     return salted_join(asked, keyed, BLOCK_KEYS, "inner", inside).select(key, F.col("_y").alias("y"), "x", value)
 
 
@@ -210,11 +215,11 @@ def spread_metrics(measured: DataFrame, names: Sequence[str] | None = None) -> D
 def attach_catalog(metrics: DataFrame, catalog: DataFrame, key: str = "source_id", suffix: str = "_cat") -> DataFrame:
     """Left join of metrics and catalog rows; colliding catalog columns get a suffix."""
     clash = {c: c + suffix for c in catalog.columns if c in metrics.columns and c != key}
-    return metrics.join(catalog.withColumnsRenamed(clash), key, "left")
+    return salted_join(metrics, catalog.withColumnsRenamed(clash), [key], "left")
 
 
 def keep_listed(cutouts: DataFrame, catalog: DataFrame, key: str = "source_id") -> DataFrame:
-    return cutouts.join(catalog.select(key), key, "left_semi")
+    return salted_join(cutouts, catalog.select(key).distinct(), [key], "left_semi")
 
 
 def array_nanmax(values: Column | str) -> Column:

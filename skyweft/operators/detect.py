@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Detection, Extraction
 from ..functions.kernels import gaussian_kernel
+from ..functions.sky import finite
 from ..plans.halo import block_of, map_tiles
 from ..plans.lineage import cut_lineage
 from ..plans.ranking import with_row_number
@@ -22,6 +23,7 @@ from ..plans.skew import salted_join
 from .coadd import clip_array
 from .graph import connected_components
 from .stats import clipped_stats
+from .tiles import in_core
 
 TILE = 256
 Y_SHIFT = 1 << 32  # pixel id = y * 2**32 + x, ordered like a raster scan
@@ -344,11 +346,11 @@ def detect_sources(pixels: DataFrame, cfg: Detection = Detection()) -> tuple[Dat
     if not stats["n"]:
         raise ValueError("image has no finite pixels")
     threshold = stats["median"] + cfg.threshold_sigma * stats["std"]
-    finite = pixels.where(F.col("v").isNotNull())
     filled = pixels.withColumn("v", F.coalesce(F.col("v"), F.lit(stats["median"])))
     seen = smooth(filled, cfg.smooth_fwhm)
-    if finite is not pixels:
-        seen = seen.join(finite.select("y", "x"), ["y", "x"], "left_semi")
+    gaps = pixels.where(F.col("v").isNull()).select("y", "x")
+    if not gaps.isEmpty():  # filled pixels may not be detected
+        seen = seen.join(gaps, ["y", "x"], "left_anti")
     found = segment(seen, threshold, cfg.npixels, cfg.connectivity).drop("v")
     measured = cut_lineage(found.join(filled.select("y", "x", "v"), ["y", "x"]), "segments")
     return measured, {**stats, "threshold": threshold}
@@ -359,6 +361,21 @@ def subtract_background(pixels: DataFrame, cfg: Extraction = Extraction(), image
     return with_background(pixels, mesh, cfg.box_size, image).withColumn("v", F.col("v") - F.col("level"))
 
 
+def detector_rows(catalog: DataFrame) -> DataFrame:
+    """Rows of an external detector's catalog: 0-based positions, usable ones
+    that touch no flagged pixel."""
+    x, y = finite("X_IMAGE") - 1.0, finite("Y_IMAGE") - 1.0
+    flags = F.coalesce(F.col("IMAFLAGS_ISO"), F.lit(0)) if "IMAFLAGS_ISO" in catalog.columns else F.lit(0)
+    return catalog.withColumns({"x": x, "y": y}).where(F.col("x").isNotNull() & F.col("y").isNotNull() & (flags == 0))
+
+
+def core_sources(tile_catalog: DataFrame) -> DataFrame:
+    """Tile-relative detections of halo tiles: shift to image coordinates and
+    keep those in the tile's own core, so overlaps count once."""
+    kept = tile_catalog.where(in_core(F.col("x"), F.col("y")))
+    return kept.withColumns({"x": F.col("x") + F.col("x0"), "y": F.col("y") + F.col("y0")})
+
+
 def extract_sources(pixels: DataFrame, cfg: Extraction = Extraction(), masked: DataFrame | None = None,
                     detection: DataFrame | None = None) -> DataFrame:
     """Background-subtracted detection with a local threshold; measured catalog.

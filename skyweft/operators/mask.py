@@ -26,10 +26,9 @@ def place_stars(stars: DataFrame, wcs: TangentPlane, cfg: StarMask = StarMask(),
     return placed.where(F.col("cx").isNotNull() & F.col("cy").isNotNull() & (F.col("radius") > 0.0))
 
 
-def stamp_blocks(placed: DataFrame, cfg: StarMask) -> DataFrame:
-    """One row per (part of a stamp, pixel block it can touch). Thin arms touch
-    few blocks, and a very bright star becomes many rows, which spread. Copies
-    of a star collapse first."""
+def stamp_parts(placed: DataFrame, cfg: StarMask) -> DataFrame:
+    """One row per part of a stamp with the pixel blocks it can touch. Thin arms
+    touch few blocks. Copies of a star collapse first."""
     base = placed.select("cx", "cy", "radius").distinct()
     geometry = None
     if cfg.shape.startswith("star"):
@@ -38,11 +37,12 @@ def stamp_blocks(placed: DataFrame, cfg: StarMask) -> DataFrame:
     parts = base.select("cx", "cy", F.explode(stamps.stamp_parts(cfg, geometry=geometry)).alias("_p")).select(
         "cx", "cy", "_p.*")
 
-    def blocks(center: str, axis: str) -> Column:
-        lo, hi = stamps.part_span(center, axis)
-        return F.sequence(block_of(F.floor(lo), BLOCK), block_of(F.ceil(hi), BLOCK))
+    return parts.withColumns({"_bys": _blocks("cy", "sa"), "_bxs": _blocks("cx", "ca")})
 
-    return parts.withColumn("_by", F.explode(blocks("cy", "sa"))).withColumn("_bx", F.explode(blocks("cx", "ca")))
+
+def _blocks(center: str, axis: str) -> Column:
+    lo, hi = stamps.part_span(center, axis)
+    return F.sequence(block_of(F.floor(lo), BLOCK), block_of(F.ceil(hi), BLOCK))
 
 
 def masked_pixels(pixels: DataFrame, placed: DataFrame, cfg: StarMask = StarMask()) -> DataFrame:
@@ -55,10 +55,13 @@ def unmasked_pixels(pixels: DataFrame, placed: DataFrame, cfg: StarMask = StarMa
 
 
 def _stamp_join(pixels: DataFrame, placed: DataFrame, cfg: StarMask, how: str) -> DataFrame:
-    blocks = stamp_blocks(placed, cfg)
+    parts = stamp_parts(placed, cfg)
+    # The block count per part has no fixed bound, so count exactly (stars only).
+    n = parts.agg(F.sum(F.size("_bys") * F.size("_bxs"))).first()[0] or 0
+    blocks = parts.withColumn("_by", F.explode("_bys")).withColumn("_bx", F.explode("_bxs")).drop("_bys", "_bxs")
     hit = stamps.in_part(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
     keyed = pixels.withColumns({"_by": block_of("y", BLOCK), "_bx": block_of("x", BLOCK)})
-    return salted_join(keyed, blocks, BLOCK_KEYS, how, hit).drop(*BLOCK_KEYS)
+    return salted_join(keyed, blocks, BLOCK_KEYS, how, hit, cold_rows=n).drop(*BLOCK_KEYS)
 
 
 def grid_pixels(spark, height: int, width: int) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import photometry as ph
 from ..functions.sky import finite
 from ..functions.text import first_nonempty
 from ..plans.ranking import with_row_number
+from ..plans.skew import salted_join
 
 REQUIRED = ("object_id", "ra", "dec_", "fwhm", "flux_vis_psf", "fluxerr_vis_psf", "extended_prob")
 
@@ -124,7 +125,7 @@ def latest_version(df: DataFrame, group: Sequence[str], version: str) -> DataFra
 
 def pending(runs: DataFrame, existing: DataFrame, key: Sequence[str], force: bool = False) -> DataFrame:
     """Runs without an output yet."""
-    return runs if force else runs.join(existing, list(key), "left_anti")
+    return runs if force else salted_join(runs, existing.select(*key).distinct(), key, "left_anti")
 
 
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:

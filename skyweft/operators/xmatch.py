@@ -181,7 +181,7 @@ def sanitize_stars(
 
 def join_parameters(sources: DataFrame, parameters: DataFrame, key: str = "source_id") -> DataFrame:
     """Inner join: sources without a parameter row drop out."""
-    return sources.join(parameters, key)
+    return salted_join(sources, parameters, [key], "inner")
 
 
 def _level_height(radius_deg: float) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # At most this many keys are salted, so the table of hot keys always fits a
@@ -25,6 +25,12 @@ def fits_broadcast(df: DataFrame, growth: int = 1) -> bool:
     return estimated_bytes(df) * growth <= conf.autoBroadcastJoinThreshold()
 
 
+def rows_fit_broadcast(spark: SparkSession, rows: int, row_bytes: int = 100) -> bool:
+    """The same check from an exact row count, for sides whose explode factor
+    depends on the data and which Catalyst therefore underestimates."""
+    return rows * row_bytes <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of salts each gets.
 
@@ -50,6 +56,7 @@ def salted_join(
     hot_side: str = "left",
     hot_rows: int = HOT_ROWS,
     growth: int = 1,
+    cold_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join on ``keys`` with an optional residual ``condition``.
 
@@ -58,13 +65,18 @@ def salted_join(
     ``hot_side`` and the other side is replicated to the same salts.
     ``keys`` must exist on both sides; in the result they come from the left.
     With ``hot_side="right"`` and a semi join, the left rows of hot keys are
-    replicated, so the caller must de-duplicate.
+    replicated, so the caller must de-duplicate. ``growth`` bounds the rows an
+    explode adds to the cold side; ``cold_rows`` is its exact size when known.
     """
     keys = list(keys)
     cold = right if hot_side == "left" else left
     if how in ("left_anti", "left", "left_outer") and hot_side == "right":
         raise ValueError("replicating the left side changes outer and anti joins")
-    if fits_broadcast(cold, growth):
+    if cold_rows is None:
+        small = fits_broadcast(cold, growth)
+    else:
+        small = rows_fit_broadcast(cold.sparkSession, cold_rows)
+    if small:
         return _join(left, right, keys, how, condition)
 
     hot = left if hot_side == "left" else right
@@ -86,7 +98,8 @@ def salted_join(
         left, right = spread(left), replicate(right)
     else:
         left, right = replicate(left), spread(right)
-    return _join(left, right, [*keys, "_salt"], how, condition).drop("_salt")
+    # The size check failed, so Catalyst must not broadcast on its own estimate.
+    return _join(left.hint("merge"), right.hint("merge"), [*keys, "_salt"], how, condition).drop("_salt")
 
 
 def _join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import StarMask, StarRadius
 from ..fixtures import fixture
 from ..functions import kernels, photometry as ph, sky, stamps, text
-from ..operators import cutouts, tiles
+from ..operators import cutouts, detect, tiles
 from . import query
 from .sqltext import (
     CATALOG, LABELS, MOSAICS, RADIUS, SKY, STARS, TARGETS, TILE_X, TILE_Y, mod_floor, sep_arcsec,
@@ -339,10 +339,25 @@ def json_property(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", props["k"].cast("double").alias("k"))
 
 
-@query("""with n as (select n_nationkey, 0.6e0 + n_nationkey*0.05e0 as sigma from nation),
-  k as (select n_nationkey, cast(a.v as integer) as dy, cast(b.v as integer) as dx,
+@query("""with n as (select s_suppkey, 0.6e0 + (s_suppkey % 50)*0.03e0 as sigma from supplier),
+  k as (select s_suppkey, cast(a.v as integer) as dy, cast(b.v as integer) as dx,
      exp(-(a.v*a.v + b.v*b.v)/(2e0*sigma*sigma)) as e from n, range(-4, 5) a(v), range(-4, 5) b(v))
-  select n_nationkey, dy, dx, round(e/sum(e) over (partition by n_nationkey), 9) as weight from k""")
+  select s_suppkey, dy, dx, round(e/sum(e) over (partition by s_suppkey), 9) as weight from k""")
 def gaussian_kernels(spark, sf):
-    n = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey", "0.6e0 + n_nationkey*0.05e0 as sigma")
-    return kernels.kernel_table(n, "sigma", 9).select("n_nationkey", "dy", "dx", r("weight", 9).alias("weight"))
+    n = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey", "0.6e0 + (s_suppkey % 50)*0.03e0 as sigma")
+    return kernels.kernel_table(n, "sigma", 9).select("s_suppkey", "dy", "dx", r("weight", 9).alias("weight"))
+
+
+_HALO = """(select o_orderkey, cast(o_orderkey % 7 as integer)*100 - least(20, cast(o_orderkey % 7 as integer)*100) as x0,
+   cast(o_custkey % 5 as integer)*80 - least(20, cast(o_custkey % 5 as integer)*80) as y0,
+   cast(o_orderkey % 7 as integer)*100 as core_x0, cast(o_orderkey % 7 as integer)*100 + 100 as core_x1,
+   cast(o_custkey % 5 as integer)*80 as core_y0, cast(o_custkey % 5 as integer)*80 + 80 as core_y1,
+   (o_totalprice % 140e0) as x, (o_totalprice*1.7e0) % 120e0 as y from orders)"""
+
+
+@query(f"""select o_orderkey, round(x + x0, 6) as x, round(y + y0, 6) as y from {_HALO}
+   where x >= core_x0 - x0 and x < core_x1 - x0 and y >= core_y0 - y0 and y < core_y1 - y0""")
+def core_of_halo_tiles(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("_halo_orders")
+    found = spark.sql(_HALO[1:-1].replace("from orders", "from _halo_orders"))
+    return detect.core_sources(found).select("o_orderkey", r("x").alias("x"), r("y").alias("y"))
