@@ -193,7 +193,19 @@ def local_maxima(spark, sf):
     return out.select("y", "x", F.round("v", 6).alias("v"))
 
 
-@query()
+def _greedy_sql(rounds: int, sep: float) -> str:
+    """Rounds of greedy suppression: a point that beats all open neighbours stays."""
+    near = f"(a.y - b.y)*(a.y - b.y) + (a.x - b.x)*(a.x - b.x) < {sep * sep}e0"
+    beats = "(b.v > a.v or (b.v = a.v and (b.y < a.y or (b.y = a.y and b.x < a.x))))"
+    steps, kept = ["o0 as materialized (select * from pk)"], []
+    for i in range(rounds):
+        steps.append(f"w{i} as materialized (select * from o{i} a where not exists (select 1 from o{i} b where {near} and {beats}))")
+        steps.append(f"o{i + 1} as materialized (select * from o{i} a where not exists (select 1 from w{i} b where {near}))")
+        kept.append(f"select * from w{i}")
+    return f"{_PEAK}, {', '.join(steps)}, k as ({' union all '.join(kept)}) select y, x, round(v, 6) as v from k"
+
+
+@query(_greedy_sql(10, 5.0))
 def separated_maxima(spark, sf):
     height = spark.read.parquet(f"{sf}/orders.parquet").agg(F.max("o_orderkey")).first()[0] // IMAGE_WIDTH + 1
     peaks = match.local_maxima(fixture(spark, sf, "image"), 60.0, height, IMAGE_WIDTH, block=64)
