@@ -92,13 +92,14 @@ def clean_catalog(
     stars: DataFrame,
     radius: StarRadius = StarRadius(),
     quality: QualityCuts = QualityCuts(),
+    row_key: tuple[str, ...] = (),
 ) -> DataFrame:
     """Star exclusion, quality cuts and surface-brightness columns in one lazy plan.
 
     The quality predicates read only the row itself and commute with the star
     match, so they run first and the join sees fewer rows.
     """
-    return with_surface_brightness(exclude_near_stars(keep_good(catalog, quality), stars, radius))
+    return with_surface_brightness(exclude_near_stars(keep_good(catalog, quality), stars, radius, row_key=row_key))
 
 
 def with_kron_pixels(df: DataFrame, pixel_scale: float | None) -> DataFrame:

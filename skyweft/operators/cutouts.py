@@ -74,7 +74,7 @@ def cutout_pixels(pixels: DataFrame, windows: DataFrame, key: str, value: str =
     if rows_fit_broadcast(pixels.sparkSession, n):
         joined = keyed.join(F.broadcast(asked), BLOCK_KEYS).where(inside)
         return joined.select(key, F.col("_y").alias("y"), "x", value)
-    return salted_join(asked, keyed, BLOCK_KEYS, "inner", inside).select(key, F.col("_y").alias("y"), "x", value)
+    return salted_join(asked, keyed, BLOCK_KEYS, "inner", inside, spread_by=(key,)).select(key, F.col("_y").alias("y"), "x", value)
 
 
 def partial_cutouts(pixels: DataFrame, windows: DataFrame, key: str, fill: float = 0.0, value: str = "v") -> DataFrame:

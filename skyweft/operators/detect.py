@@ -294,7 +294,7 @@ def kron_and_half_light(labelled: DataFrame, shapes: DataFrame, keys: Sequence[s
     along = (dx * F.cos(t) + dy * F.sin(t)) / F.col("semimajor_sigma")
     across = (dy * F.cos(t) - dx * F.sin(t)) / F.when(F.col("semiminor_sigma") > 0, F.col("semiminor_sigma"))
     shape = shapes.select(*keys, "xcentroid", "ycentroid", "semimajor_sigma", "semiminor_sigma", "orientation")
-    pixels = salted_join(labelled, shape, keys, "inner").select(
+    pixels = salted_join(labelled, shape, keys, "inner", spread_by=("y", "x")).select(
         *keys, F.greatest(F.col(value), F.lit(0.0)).alias("_f"),
         F.sqrt(along * along + across * across).alias("_re"), F.sqrt(dx * dx + dy * dy).alias("_r"))
     rings = pixels.groupBy(*keys, F.floor(F.col("_r") / bin_pix).alias("_ring")).agg(

@@ -61,7 +61,7 @@ def _stamp_join(pixels: DataFrame, placed: DataFrame, cfg: StarMask, how: str) -
     blocks = parts.withColumn("_by", F.explode("_bys")).withColumn("_bx", F.explode("_bxs")).drop("_bys", "_bxs")
     hit = stamps.in_part(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
     keyed = pixels.withColumns({"_by": block_of("y", BLOCK), "_bx": block_of("x", BLOCK)})
-    return salted_join(keyed, blocks, BLOCK_KEYS, how, hit, cold_rows=n).drop(*BLOCK_KEYS)
+    return salted_join(keyed, blocks, BLOCK_KEYS, how, hit, cold_rows=n, spread_by=("y", "x")).drop(*BLOCK_KEYS)
 
 
 def grid_pixels(spark, height: int, width: int) -> DataFrame:

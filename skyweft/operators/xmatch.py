@@ -60,9 +60,11 @@ def exclude_near_stars(
     dec: str = "dec_",
     mag: str = "phot_g_mean_mag",
     hot_rows: int = HOT_ROWS,
+    row_key: tuple[str, ...] = (),
 ) -> DataFrame:
     """Anti-join: drop catalog rows within the magnitude-dependent radius of any
-    star. Rows without coordinates stay."""
+    star. Rows without coordinates stay. ``row_key`` names the catalog's unique
+    columns, used only to spread very dense cells."""
     height = cell_height(cfg.max_radius / sky.ARCSEC)
     circles = explode_circle_cells(
         _star_circles(stars, cfg, ra, dec, mag), height, F.col("_radius") / sky.ARCSEC, "_ra", "_dec"
@@ -70,7 +72,7 @@ def exclude_near_stars(
     near = sky.separation_arcsec(F.col(ra), F.col(dec), F.col("_ra"), F.col("_dec")) <= F.col("_radius")
     return salted_join(
         with_point_cell(catalog, height, ra, dec), circles, CELL, "left_anti", near,
-        hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE,
+        hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE, spread_by=row_key,
     ).drop(*CELL)
 
 

@@ -57,6 +57,7 @@ def salted_join(
     hot_rows: int = HOT_ROWS,
     growth: int = 1,
     cold_rows: int | None = None,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Equi-join on ``keys`` with an optional residual ``condition``.
 
@@ -67,6 +68,9 @@ def salted_join(
     With ``hot_side="right"`` and a semi join, the left rows of hot keys are
     replicated, so the caller must de-duplicate. ``growth`` bounds the rows an
     explode adds to the cold side; ``cold_rows`` is its exact size when known.
+    ``spread_by`` names the row key of the hot side that is hashed into the
+    salt; without it all columns are hashed, which also makes the scan read
+    them all. (A row number would not be stable when a task is repeated.)
     """
     keys = list(keys)
     cold = right if hot_side == "left" else left
@@ -83,7 +87,7 @@ def salted_join(
     listed = F.broadcast(hot_keys(hot, keys, hot_rows))
 
     def spread(df: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_salts").cast("bigint"))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or df.columns]), F.col("_salts").cast("bigint"))
         return (
             df.join(listed, keys, "left")
             .withColumn("_salt", F.coalesce(salt.cast("int"), F.lit(0)))

@@ -25,7 +25,7 @@ _CLEAN = f"(select q.* from {_QUALITY} q where not (flags_bad or point_like or f
 @query(f"""with c as {_CLEAN} select source_number, ra, dec_, {rounded(BRIGHT_COLUMNS)}
   from (select *, {BRIGHTNESS} from c where {NOT_NEAR_STAR})""")
 def clean_catalog(spark, sf):
-    clean = cat.clean_catalog(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars"))
+    clean = cat.clean_catalog(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars"), row_key=("source_number",))
     return clean.select("source_number", "ra", "dec_", *_bright(clean))
 
 
@@ -41,7 +41,8 @@ def quality_flags(spark, sf):
    count_if(faint_bad)::bigint as rows_removed_faint,
    count_if(not (flags_bad or point_like or faint_bad))::bigint as rows_written from q""")
 def quality_counters(spark, sf):
-    kept = xmatch.exclude_near_stars(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars"))
+    kept = xmatch.exclude_near_stars(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars"),
+                                     row_key=("source_number",))
     return cat.quality_counters(kept)
 
 

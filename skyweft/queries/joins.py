@@ -15,7 +15,8 @@ from .sqltext import (
 
 @query(f"select source_number, ra, dec_ from {CATALOG} c where {NOT_NEAR_STAR}")
 def exclude_near_stars(spark, sf):
-    return xmatch.exclude_near_stars(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars")).select(
+    return xmatch.exclude_near_stars(fixture(spark, sf, "catalog"), fixture(spark, sf, "stars"),
+                                     row_key=("source_number",)).select(
         "source_number", "ra", "dec_")
 
 
