@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from ..plans.lineage import checkpoint_root
+from . import bpe, rans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,9 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 @query()
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch(spark, "token-files")
+    rans.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), target)
+    return rans.read_files(spark, target)
