@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, rans
+from . import bpe, rans, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,13 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), target)
+    return warc.read_archives(spark, target).drop("url")
+
+
 @query()
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "token-files")
