@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, rans, warc
+from . import bpe, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +55,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "token-files")
     rans.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), target)
     return rans.read_files(spark, target)
+
+
+@query()
+def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
