@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, rans, simhash, warc
+from . import bpe, difference_cover, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return difference_cover.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "windows"))
