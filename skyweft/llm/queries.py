@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, difference_cover, rans, simhash, warc
+from . import bpe, difference_cover, embedding_dedup, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,17 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "windows"))
+
+
+@query("""with recursive v as (
+    select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and list_sum(list_transform(embedding::double[], x -> x * x)) > 0),
+  links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+    and list_cosine_similarity(a.e, b.e) >= 0.95e0),
+  reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+  least as (select a, min(b) as c from reach group by a)
+  select e.vec_id, coalesce(n, 0) as n_links, c as component_id, e.vec_id = c as kept from embeddings e join least on a = e.vec_id
+    left join (select a as k, count(*) as n from links group by a) on k = e.vec_id""")
+def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
