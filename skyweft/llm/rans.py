@@ -24,11 +24,11 @@ columns are read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +44,7 @@ STEPS = 512
 SCALE = 20  # frequencies of a table sum to 2 ** SCALE
 LOW = np.uint64(1 << 31)  # states stay in [LOW, LOW << 32)
 FILE_TOKENS = 1 << 22
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
 # Cutting before a space that a visible character follows never changes the ids.
 _CUT = re.compile(r" (?=\S)")
 
@@ -162,32 +162,46 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        self.token_bytes = np.array([len(self.library.id_to_token(i)) for i in range(self.size)], np.int64)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.first: dict[str, list[int]] = {}
-        self.later: dict[str, list[int]] = {}
-
-    def _learn(self, table: dict[str, list[int]], pieces: list[str], lead: str) -> None:
-        for piece, found in zip(pieces, self.library.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False), strict=True):
-            table[piece] = found.ids
-
-    def encode(self, texts: list[str], end: int) -> list[array]:
-        for table in (self.first, self.later):
-            if len(table) > CACHED_PIECES:
-                table.clear()
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+
+    def _learn(self, table: dict[str, bytes], pieces: list[str], lead: str) -> None:
+        """Encode new pieces in one call of the library. Later pieces stay apart
+        because each begins with a space; the first pieces go one by one."""
+        if not pieces:
+            return
+        joined = [lead + p for p in pieces]
+        ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+        # No token reaches over a cut, and tokens spell the text byte by byte.
+        until = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in joined])
+        ends = ((np.searchsorted(np.cumsum(self.token_bytes[ids]), until) + 1) * 4).tolist()
+        raw, at = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends, strict=True):
+            table[piece] = raw[at:end]
+            at = end
+
+    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """Ids of each text with the end id, as unsigned 32-bit arrays."""
+        for name in ("first", "later"):
+            if len(getattr(self, name)) > CACHED_PIECES:  # pieces met early are the frequent ones
+                setattr(self, name, dict(itertools.islice(getattr(self, name).items(), CACHED_PIECES // 2)))
         # An added token in a text changes how the white space before it is cut.
         whole = [self.added is not None and "<|" in t and bool(self.added.search(t)) for t in texts]
         cut = [[] if w else _CUT.split(t) for t, w in zip(texts, whole, strict=True)]
         first, later = self.first, self.later
-        self._learn(first, list({c[0] for c in cut if c and c[0] not in first}), "")
-        self._learn(later, list({p for c in cut for p in c[1:] if p not in later}), " ")
-        out = []
+        for piece in {c[0] for c in cut if c}.difference(first):
+            self._learn(first, [piece], "")
+        self._learn(later, list(set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(later)), " ")
+        mark, out = np.array([end], "<u4").tobytes(), []
         for text, pieces, w in zip(texts, cut, whole, strict=True):
-            ids = array("I", self.library.encode(text, add_special_tokens=False).ids if w else first[pieces[0]])
-            for piece in pieces[1:]:
-                ids.extend(later[piece])
-            ids.append(end)
-            out.append(ids)
+            if w:
+                raw = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + mark
+            else:
+                raw = b"".join([first[pieces[0]], *map(later.__getitem__, pieces[1:]), mark])
+            out.append(np.frombuffer(raw, "<u4"))
         return out
 
 
@@ -234,7 +248,7 @@ def write_files(
                 rows = batch.slice(at, _STEP)
                 coded = encoder.encode([t or "" for t in rows.column(1).to_pylist()], end_id)
                 for name, ids in zip(rows.column(0).to_pylist(), coded, strict=True):
-                    held.append(np.frombuffer(ids, np.uint32))
+                    held.append(ids)
                     names.append(name)
                     waiting += len(ids)
                     if waiting >= file_tokens:
