@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, decontaminate, difference_cover, embedding_dedup, langid, rans, simhash, warc
+from . import bpe, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
