@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, warc
+from . import bpe, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "suffixes"))
