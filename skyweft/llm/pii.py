@@ -9,8 +9,8 @@ an entity a word reveals: with document counts n(t, c), n(t), n(c) out of N,
                      = log2(n(t, c) N / (n(t) n(c))) / log2(N / n(c)),
 
 which is 1 if the word occurs only with the entity. A word seen with an entity
-in at least SUPPORT different contexts whose disclosure reaches REMOVE is taken
-out of every text; from GENERALISE on it is replaced by a general label.
+in at least SUPPORT different contexts, which must not be copies of one another,
+and whose disclosure reaches REMOVE is taken out of every text; from GENERALISE on it is replaced by a general label.
 
 Only DataFrame functions are used. Quantifiers in the patterns are possessive
 where that matches the same text, so long runs neither backtrack nor recurse;
@@ -42,6 +42,8 @@ _IP = r"^(?:0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.(?=[0-9])|$)){4
 WORD = r"\p{L}{3,}+"
 CONTEXT = 120  # characters on either side of an entity
 SUPPORT = 3
+#: Where more of the words around an entity recur, its contexts are copies.
+COPIED = 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 _BLOCK = 256
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,value:string>"
@@ -170,9 +172,12 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     pairs = (
         seen.select("row", "entity", "context", F.explode("words").alias("term"))
         .groupBy("term", "entity").agg(F.count_distinct("row").alias("n_tc"), F.count_distinct("context").alias("contexts"))
-        .where(F.col("contexts") >= support)
     )
     pairs = cut_lineage(pairs.join(entities, "entity"), "pairs")
+    # Copies of one text: most words come back around the entity, not just a few.
+    back = F.sum(F.when(F.col("n_tc") * 2 >= F.col("n_c"), F.col("n_tc")).otherwise(0)) / F.sum("n_tc")
+    independent = pairs.groupBy("entity").agg(back.alias("back")).where(F.col("back") <= COPIED).select("entity")
+    pairs = cut_lineage(pairs.where(F.col("contexts") >= support).join(independent, "entity"), "supported-pairs")
     counted = _words(docs, text_col).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(max(1, found.count())))
     # A text holds a term that stands next to one of its entities, so n_t >= n_tc up to case and cuts.

@@ -64,7 +64,7 @@ def test_random_texts_against_brute_force(spark):
 def corpus():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
-    common = [word() for _ in range(40)]
+    common = [word() for _ in range(900)]
     fill = lambda n: " ".join(rng.choice(common) for _ in range(n))
     rows = [(i, f"{fill(30)} Zanzibrook {fill(2)} reach me at jo@corp.org {fill(30)}") for i in range(6)]
     rows += [(100 + i, fill(60)) for i in range(60)] + [(200, f"{fill(5)} zanzibrook {fill(5)}"), (201, f"{fill(3)} someone@else.net {fill(3)}")]
