@@ -8,7 +8,8 @@ and one streaming pass decide for every row:
 * its context occurred before: *settled*, all of its windows are repeats;
 * it is the first with its context, but its anchor also has another context:
   *open*, its windows have to be compared with those of the other contexts;
-* its anchor has no other context: nothing is repeated, and no row comes out.
+* its anchor has no other context (or, where only other documents count, none in
+  another document): nothing is repeated, and no row comes out.
 
 Hot anchors: every task first settles rows whose context it has already seen, so
 a context held by a third of all documents reaches the shuffle once per chunk of
@@ -36,12 +37,13 @@ NO_ID = (1 << 63) - 1  # stands for a null id: after all others
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, doc, tag): ``tag`` tells rows apart that share an id."""
+    """(doc_id, text, doc, tag): ``tag`` tells rows apart that share an id; it is
+    zero, and costs nothing in a shuffle, where no id is repeated."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("tag"),
-    )
+    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
+    repeated = docs.select(doc.alias("doc")).groupBy("doc").count().where(F.col("count") > 1)
+    tag = F.lit(0) if repeated.isEmpty() else F.hash(text)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), doc.alias("doc"), tag.alias("tag"))
 
 
 def pack(tag: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -99,7 +101,8 @@ class _Stream:
     def __init__(self, within: bool):
         self.within = within
         self.a = self.c = self.d = self.t = None
-        self.several = False
+        self.contexts = self.documents = False  # more than one so far in this group
+        self.g = 0  # first document of the group
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, a: np.ndarray, c: np.ndarray, d: np.ndarray, t: np.ndarray, hot: np.ndarray) -> tuple[list, list]:
@@ -116,12 +119,18 @@ class _Stream:
         if self.within:
             settled |= (d == d0) & (t > t0)
         group = np.cumsum(new_a)
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[(new_c & ~new_a) | (hot == HOT)]] = True
-        several[0] |= self.several
+        contexts, documents = np.zeros(group[-1] + 1, bool), np.full(group[-1] + 1, self.within)
+        contexts[group[(new_c & ~new_a) | (hot == HOT)]] = True
+        opening = np.maximum.accumulate(np.where(new_a, np.arange(n), -1))
+        g0 = np.where(opening >= 0, d[opening], self.g)
+        documents[group[(d != g0) | (hot == HOT)]] = True
+        if not new_a[0]:
+            contexts[0] |= self.contexts
+            documents[0] |= self.documents
+        several = contexts & documents
         last = group[-1]
         done, open_ = [(d[settled], t[settled])], []
-        if several[0]:
+        if not new_a[0] and several[0]:
             open_ += self.held
         if last > 0 or several[0]:
             self.held = []
@@ -130,7 +139,8 @@ class _Stream:
         if not several[last]:
             keep = ~settled & (group == last)
             self.held.append((d[keep], t[keep]))
-        self.a, self.c, self.d, self.t, self.several = a[-1], c[-1], d0[-1], t0[-1], bool(several[last])
+        self.a, self.c, self.d, self.t, self.g = a[-1], c[-1], d0[-1], t0[-1], g0[-1]
+        self.contexts, self.documents = bool(contexts[last]), bool(documents[last])
         return done, open_
 
 

@@ -179,21 +179,25 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
     undecided = stored.where("open").select("doc_id", "doc", "tag", "text", "marks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for part, cut in _chunks(batches):
             flat, starts, _ = _joined(cut)
             hashes = [Powers(flat, base).of(WINDOW) for base in BASES]
             for row, words, begin in zip(part, cut, starts.tolist(), strict=True):
                 at = np.flatnonzero(_starts(row["marks"], len(words))[1])
                 keys = [mixed(h[begin + at]).view(np.int64) for h in hashes]
-                full = [np.full(len(at), row[k], t) for k, t in (("doc", np.int64), ("tag", np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*keys, *full, at.astype(np.int32))], names=["w1", "w2", "doc", "tag", "start"])
+                held.append((*keys, np.full(len(at), row["doc"]), pack(np.full(len(at), row["tag"]), at)))
+                count += len(at)
+            if count >= CHUNK_ROWS:
+                yield anchors.settle_early(*map(np.concatenate, zip(*held, strict=True)), none, False)
+                held, count = [], 0
+        if held:
+            yield anchors.settle_early(*map(np.concatenate, zip(*held, strict=True)), none, False)
 
-    opened = undecided.select("doc", "tag", "text", "marks").mapInArrow(windows, "w1 bigint, w2 bigint, doc bigint, tag int, start int")
-    shared = opened.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeats = (
-        opened.join(shared, ["w1", "w2"]).where("doc > first")
-        .groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"))
-    )
+    # The 128-bit window hash takes the places of anchor and context.
+    none = np.zeros(0, np.int64)
+    opened = undecided.select("doc", "tag", "text", "marks").mapInArrow(windows, anchors.ROWS)
+    repeats = anchors.per_document(anchors.decide(opened, within=False).where("settled")).withColumnRenamed("marks", "starts")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +206,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 for row in batch.slice(at, 256).to_pylist():
                     words = words_of(row["text"])
                     sure = _starts(row["marks"], len(words))[0]
-                    sure[row["starts"] or []] = True
+                    sure[np.array(row["starts"] or [], np.int64) >> 1] = True
                     made.append(_result(row["doc_id"], words, sure))
                 yield pa.RecordBatch.from_arrays(digest(made), names=names)
 
