@@ -72,8 +72,9 @@ def fixed_point(value: Column | str, digits: int) -> Column:
 
     ``format_string`` rounds the shortest decimal form half up, which differs
     on ties (0.125, 1.005). Here value * 10**digits is held as a product plus
-    its rounding error (two-product), so the tie test is exact. Values beyond
-    2**52 / 10**digits fall back to ``format_string``; non-finite prints nan.
+    its rounding error (two-product), so the tie test is exact. Beyond
+    2**52 / 10**digits the integer part and the fraction, both exact, are written
+    apart; up to 1e37. Non-finite prints nan.
     """
     scale, split = float(10**digits), float(2**27 + 1)
     ph = scale * split - (scale * split - scale)
@@ -103,10 +104,34 @@ def fixed_point(value: Column | str, digits: int) -> Column:
     exact = bind(units(a), digits_of)
     quick = a.cast(f"decimal(18,{digits})").cast("string")
     sign = F.when(v < 0.0, "-").otherwise("")
+    floor = F.when(a < float(2**53), F.floor(F.least(a, F.lit(float(2**53)))).cast("double")).otherwise(a)
+
+    def decimal_of(x: Column) -> Column:
+        """An integral double below 2**64, exactly; a plain cast would go through
+        the shortest decimal form."""
+        top = F.floor(x / float(2**32))
+        rest = (x - top.cast("double") * float(2**32)).cast("bigint")
+        return top.cast("decimal(10,0)") * F.lit(2**32).cast("decimal(10,0)") + rest.cast("decimal(10,0)")
+
+    def joined(u: Column) -> Column:  # u: the fraction in units of the last digit
+        carry = u >= ten
+        rest = F.when(carry, u - ten).otherwise(u)
+        high = F.floor(F.least(floor, F.lit(1e37)) / float(2**64))
+        low = F.least(floor, F.lit(1e37)) - high.cast("double") * float(2**64)
+        base = F.lit("18446744073709551616").cast("decimal(20,0)")
+        whole = (high.cast("decimal(18,0)") * base).cast("decimal(38,0)") + decimal_of(low).cast("decimal(21,0)") + carry.cast("int")
+        tail = F.lit("") if digits == 0 else F.concat(F.lit("."), F.substring((ten + rest).cast("string"), 2, digits))
+        return F.concat(whole.cast("decimal(38,0)").cast("string"), tail)
+
+    fraction = a - floor
+    # At digits = 0 a tie goes to the even integer, which needs the integer's parity.
+    odd = (floor % 2 == 1) & (fraction == 0.5)
+    large = bind(units(fraction) + odd.cast("bigint") if digits == 0 else units(fraction), joined)
     return (
         F.when(v.isNull() | F.isnan(v), "nan")
         .when(a == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(a >= float(2**52) / scale, F.format_string(f"%.{digits}f", v))
+        .when(a >= 1e37, F.format_string(f"%.{digits}f", v))
+        .when(a >= float(2**52) / scale, F.concat(sign, large))
         .otherwise(F.concat(sign, F.when(near_tie, exact).otherwise(quick)))
     )
 

@@ -108,12 +108,16 @@ def preview(df: DataFrame, limit: int = 20, keys: Sequence[str] = ("distance", "
 # -- versions and status ----------------------------------------------------------
 
 def version_key(name: Column | str) -> Column:
-    """Sort key that orders digit runs by number (as ``sort -V`` does): digit runs
-    are left-padded, the text between them stays."""
+    """Sort key that orders digit runs by number (as ``sort -V`` does): a run is
+    led by its length without leading zeros, the text between runs stays."""
     c = F.col(name) if isinstance(name, str) else name
     parts = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def keyed(p: Column) -> Column:
+        run = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(run).cast("string"), 10, "0"), run)).otherwise(p)
+
+    return F.array_join(F.transform(parts, keyed), "")
 
 
 def latest_version(df: DataFrame, group: Sequence[str], version: str) -> DataFrame:

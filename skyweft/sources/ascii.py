@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,68 +18,96 @@ BOUND_COLUMNS = {
 POSITION_COLUMNS = {"ra": ("ALPHA_J2000", "RA"), "dec_": ("DELTA_J2000", "DEC")}
 
 
+def located_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, line): seq keeps file order; blank lines stay. Text splits
+    carry increasing partition ids, so the id is monotone within a file."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+
+
 def catalog_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line): seq keeps file order; blank lines stay. Text splits carry
-    increasing partition ids, so the id is monotone within a file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-
-
-def header_lines(spark: SparkSession, path: str, leading_only: bool = False, scan_lines: int = 10_000) -> list[str]:
-    """Header lines in order. They lead the file in practice, so the first lines
-    are enough; a file whose first ``scan_lines`` are all headers is scanned whole."""
-    lines = [r["value"] for r in spark.read.text(path).limit(scan_lines).collect()]
-    found = [line for line in lines if line.startswith("#")]
-    if leading_only:
-        body = next((i for i, line in enumerate(lines) if not line.startswith("#")), len(lines))
-        return lines[:body]
-    if len(found) == scan_lines:
-        found = [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
-    return found
-
-
-def column_map(headers: list[str]) -> dict[str, int]:
-    """NAME -> 0-based position; a repeated name keeps its last position."""
-    out: dict[str, int] = {}
-    for line in headers:
-        m = re.match(HEADER_LINE, line)
-        if m:
-            out[m.group(2)] = int(m.group(1)) - 1
-    return out
+    return located_lines(spark, path).drop("file")
+
+
+def header_lines(lines: DataFrame, leading_only: bool = False) -> DataFrame:
+    """All header lines of each file, wherever they stand; with ``leading_only``
+    those before the file's first other line."""
+    heads = lines.where(F.col("line").startswith("#"))
+    if not leading_only:
+        return heads
+    body = lines.where(~F.col("line").startswith("#")).groupBy("file").agg(F.min("seq").alias("_body"))
+    return heads.join(body, "file", "left").where(F.col("_body").isNull() | (F.col("seq") < F.col("_body"))).drop("_body")
+
+
+def column_maps(headers: DataFrame) -> DataFrame:
+    """(file, columns): NAME -> 0-based position; a repeated name keeps its last."""
+    parsed = headers.where(F.col("line").rlike(HEADER_LINE)).select(
+        "file", "seq", F.regexp_extract("line", HEADER_LINE, 2).alias("name"),
+        (F.regexp_extract("line", HEADER_LINE, 1).cast("int") - 1).alias("at"))
+    last = parsed.groupBy("file", "name").agg(F.max_by("at", "seq").alias("at"))
+    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("columns"))
+
+
+def _first_position(columns: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_element_at(columns, F.lit(n)) for n in names])
+
+
+def _require(lines: DataFrame, maps: DataFrame, present: Column, message: str) -> None:
+    """Every file of the path must have the columns: one small job over the maps."""
+    files = lines.select("file").distinct().join(maps, "file", "left")
+    bad = files.where(~F.coalesce(present, F.lit(False))).select(F.min("file")).first()[0]
+    if bad is not None:
+        raise ValueError(f"{message}: {bad}")
+
+
+def _body(lines: DataFrame, maps: DataFrame, blanks: bool) -> DataFrame:
+    """Body lines with their tokens and their own file's column map."""
+    body = lines.where(~F.col("line").startswith("#"))
+    if not blanks:
+        body = body.where(F.trim("line") != "")
+    return body.join(maps, "file").withColumn("_t", tokens())
 
 
 def tokens(line: str = "line") -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
-def number_at(parts: Column, index: int | None) -> Column:
-    if index is None or index < 0:
-        return F.lit(None).cast("double")
-    return finite(F.get(parts, index).try_cast("double"))
+def token_at(columns: Column, *names: str) -> Column:
+    """Token of the first of the names that the row's file has."""
+    at = _first_position(columns, names)
+    return F.when(at >= 0, F.get("_t", at))
+
+
+def number_at(columns: Column, *names: str) -> Column:
+    return finite(token_at(columns, *names).try_cast("double"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(seq, line, ra, dec_, bound columns): one row per body line, NULL for
-    missing, malformed or non-finite tokens."""
-    columns = column_map(header_lines(spark, path))
-    position = {k: next((columns[n] for n in names if n in columns), None) for k, names in POSITION_COLUMNS.items()}
-    if None in position.values():
-        raise ValueError("catalog has no ALPHA_J2000/DELTA_J2000 (or RA/DEC) columns")
-    body = catalog_lines(spark, path).where(~F.col("line").startswith("#")).withColumn("_t", tokens())
-    picked = {**position, **{v: columns.get(k) for k, v in BOUND_COLUMNS.items()}}
-    return body.select("seq", "line", *[number_at(F.col("_t"), i).alias(n) for n, i in picked.items()])
+    missing, malformed or non-finite tokens. Each file of a folder is read by its
+    own header."""
+    lines = located_lines(spark, path)
+    maps = column_maps(header_lines(lines))
+    c = F.col("columns")
+    placed = _first_position(c, POSITION_COLUMNS["ra"]).isNotNull() & _first_position(c, POSITION_COLUMNS["dec_"]).isNotNull()
+    _require(lines, maps, placed, "catalog has no ALPHA_J2000/DELTA_J2000 (or RA/DEC) columns")
+    wanted = {**POSITION_COLUMNS, **{v: (k,) for k, v in BOUND_COLUMNS.items()}}
+    return _body(lines, maps, blanks=True).select("seq", "line", *[number_at(c, *names).alias(n) for n, names in wanted.items()])
 
 
 def read_wide_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """All columns, blank lines dropped: a column is double when every non-missing
-    token parses as a number, else string. Adds source_id from NUMBER."""
-    columns = column_map(header_lines(spark, path))
-    if not columns:
+    """All columns of all files, blank lines dropped: a column is double when
+    every non-missing token parses as a number, else string. Adds source_id from
+    NUMBER. The names are header fields, listed on the driver in order of place."""
+    lines = located_lines(spark, path)
+    maps = column_maps(header_lines(lines))
+    c = F.col("columns")
+    listed = maps.select(F.explode("columns").alias("name", "at")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    if not listed:
         raise ValueError("catalog has no indexed header")
-    if "NUMBER" not in columns:
-        raise ValueError("catalog has no NUMBER column")
-    body = catalog_lines(spark, path).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    names = sorted(columns, key=columns.get)
-    raw = body.withColumn("_t", tokens()).select("seq", *[F.get("_t", columns[n]).alias(n) for n in names])
+    _require(lines, maps, _first_position(c, ("NUMBER",)).isNotNull(), "catalog has no NUMBER column")
+    names = [r["name"] for r in listed]
+    raw = _body(lines, maps, blanks=False).select("seq", *[token_at(c, n).alias(n) for n in names])
     missing = r"(?i)^[+-]?nan$"
 
     def text_seen(n: str) -> Column:
@@ -99,28 +125,28 @@ def read_wide_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cutout_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(seq, source_id, x_image, y_image, kron_radius, a_world, snr_sb_cog); the
-    columns NUMBER, X_IMAGE and Y_IMAGE are required."""
-    columns = column_map(header_lines(spark, path))
-    if not {"NUMBER", "X_IMAGE", "Y_IMAGE"} <= set(columns):
-        raise ValueError("catalog must include NUMBER, X_IMAGE and Y_IMAGE")
-    body = catalog_lines(spark, path).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    parts = body.withColumn("_t", tokens()).where(F.size("_t") > columns["NUMBER"])
+    columns NUMBER, X_IMAGE and Y_IMAGE are required in every file."""
+    lines = located_lines(spark, path)
+    maps = column_maps(header_lines(lines))
+    c = F.col("columns")
+    needed = [_first_position(c, (n,)).isNotNull() for n in ("NUMBER", "X_IMAGE", "Y_IMAGE")]
+    _require(lines, maps, needed[0] & needed[1] & needed[2], "catalog must include NUMBER, X_IMAGE and Y_IMAGE")
+    parts = _body(lines, maps, blanks=False).where(F.size("_t") > _first_position(c, ("NUMBER",)))
     out = parts.select(
-        "seq", source_id(F.get("_t", columns["NUMBER"])).alias("source_id"),
-        *[number_at(F.col("_t"), columns.get(n)).alias(n.lower())
-          for n in ("X_IMAGE", "Y_IMAGE", "KRON_RADIUS", "A_WORLD", "SNR_SB_COG")],
+        "seq", source_id(token_at(c, "NUMBER")).alias("source_id"),
+        *[number_at(c, n).alias(n.lower()) for n in ("X_IMAGE", "Y_IMAGE", "KRON_RADIUS", "A_WORLD", "SNR_SB_COG")],
     )
-    return out if "SNR_SB_COG" in columns else out.drop("snr_sb_cog")
+    rated = maps.where(_first_position(c, ("SNR_SB_COG",)).isNotNull())
+    return out.drop("snr_sb_cog") if rated.isEmpty() else out
 
 
 def read_region_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Columns needed for region export; the header ends at the first other line."""
-    columns = column_map(header_lines(spark, path, leading_only=True))
-    missing = [n for n in ("ALPHA_J2000", "DELTA_J2000") if n not in columns]
-    if missing:
-        raise ValueError(f"catalog lacks column(s): {missing}")
-    body = catalog_lines(spark, path).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    """Columns needed for region export; a file's header ends at its first other line."""
+    lines = located_lines(spark, path)
+    maps = column_maps(header_lines(lines, leading_only=True))
+    c = F.col("columns")
+    for name in ("ALPHA_J2000", "DELTA_J2000"):
+        _require(lines, maps, _first_position(c, (name,)).isNotNull(), f"catalog lacks column {name}")
     names = {"ALPHA_J2000": "ra", "DELTA_J2000": "dec_", "A_WORLD": "a_world", "B_WORLD": "b_world",
              "THETA_J2000": "theta_j2000", "KRON_RADIUS": "kron_radius", "FWHM_WORLD": "fwhm_world"}
-    return body.withColumn("_t", tokens()).select(
-        "seq", *[number_at(F.col("_t"), columns.get(k)).alias(v) for k, v in names.items()])
+    return _body(lines, maps, blanks=False).select("seq", *[number_at(c, k).alias(v) for k, v in names.items()])

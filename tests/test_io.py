@@ -75,14 +75,36 @@ def test_clean_lines_and_header(spark, catalog_path, tmp_path):
     df = ascii_source.read_catalog(spark, catalog_path)
     lines = sink.clean_lines(catalog.with_surface_brightness(df)).orderBy("seq").collect()
     assert lines[0]["line"].endswith("1 10.5 20.5 150.0 2.0 3.5 20.1 ok nan nan nan nan nan")
-    headers = ascii_source.header_lines(spark, catalog_path)
-    full = sink.clean_header(headers, max(ascii_source.column_map(headers).values()) + 2)
+    found = ascii_source.header_lines(ascii_source.located_lines(spark, catalog_path))
+    headers = [r["line"] for r in found.orderBy("seq").collect()]
+    columns = ascii_source.column_maps(found).first()["columns"]
+    full = sink.clean_header(headers, max(columns.values()) + 2)
     assert len(headers) == 9 and full[9].startswith("#   9 AREA_KRON_ARCSEC2 Kron") and full[-1].startswith("#  13 SNR_SB_COG ")
     out = str(tmp_path / "out")
     sink.write_lines(full, sink.clean_lines(catalog.with_surface_brightness(df)), out, ["seq"])
     assert spark.read.text(f"{out}/body").count() == 5 and spark.read.text(f"{out}/header").count() == 14
 
 
+def test_late_headers_and_files_with_other_columns(spark, tmp_path):
+    """A header after ten thousand body lines counts; every file has its own."""
+    (tmp_path / "late").mkdir()
+    body = "".join(f"{i} 1.5 2.5\n" for i in range(10_050))
+    (tmp_path / "late" / "a.cat").write_text("# 1 NUMBER\n# 2 RA\n" + body + "# late comment\n# 3 DEC\n7 8.5 9.5\n")
+    lines = ascii_source.located_lines(spark, str(tmp_path / "late"))
+    assert [r["line"] for r in ascii_source.header_lines(lines).orderBy("seq").collect()] == ["# 1 NUMBER", "# 2 RA", "# late comment", "# 3 DEC"]
+    assert ascii_source.header_lines(lines, leading_only=True).count() == 2
+    read = ascii_source.read_catalog(spark, str(tmp_path / "late"))
+    assert read.count() == 10_051 and read.where("dec_ = 9.5 and ra = 8.5").count() == 1
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.cat").write_text("# 1 RA\n# 2 DEC\n# 3 MAG_AUTO\n10 20 30\n")
+    (tmp_path / "two" / "b.cat").write_text("# 1 MAG_AUTO\n# 2 RA\n# 3 DEC\n30 10 20\n")
+    two = ascii_source.read_catalog(spark, str(tmp_path / "two")).select("ra", "dec_", "mag_auto").collect()
+    assert [tuple(r) for r in two] == [(10.0, 20.0, 30.0)] * 2
+    (tmp_path / "two" / "c.cat").write_text("# 1 MAG_AUTO\n30\n")
+    with pytest.raises(ValueError, match="c.cat"):
+        ascii_source.read_catalog(spark, str(tmp_path / "two"))
+
+
 def test_fixed_point_matches_c_rounding(spark):
     rng = np.random.default_rng(0)
     values = [0.125, 1.005, 2.675, 0.5, 1.5, 2.5, -0.001, -0.125, 0.0, 1e-9, 123456789.125, 359.99999999, 0.045, 1.115]
@@ -91,6 +113,10 @@ def test_fixed_point_matches_c_rounding(spark):
     for digits in (0, 2, 3, 6, 8, 10):
         got = [r[0] for r in df.select(text.fixed_point("v", digits)).collect()]
         assert got == [f"{v:.{digits}f}" for v in values]
+    large = [1e9 + 0.1, 4503599627370497.5, 9007199254740993.0, 123456789012.34567, 1e15 + 0.3, 1e22, 9e36, -1e18, 99999999.999999999, 2.0**70 + 2.0**18]
+    wide = spark.createDataFrame([(v,) for v in large], "v double")
+    for digits in (0, 2, 6, 8):
+        assert [r[0] for r in wide.select(text.fixed_point("v", digits)).collect()] == [f"{v:.{digits}f}" for v in large]
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),)], "v double")
     assert [r[0] for r in odd.select(text.fixed_point("v", 2)).collect()] == ["nan", "nan", "-inf"]
 
