@@ -37,8 +37,8 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 REACH = WINDOW - ANCHOR  # a window may start up to so many words before its anchor
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_ROWS = 1 << 20
-CACHED_WORDS = 1_000_000
+CHUNK_ROWS = 1 << 19
+CACHED_WORDS = 400_000
 _known: dict[bytes, int] = {}
 
 

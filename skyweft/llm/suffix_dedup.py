@@ -41,7 +41,7 @@ LENGTH = 100
 GRAM = 24
 REACH = LENGTH - GRAM  # a window starts at most so many bytes before its anchor
 CHUNK_BYTES = 1 << 20
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 19
 SHARD_BYTES = 1 << 21
 QUEUE_ITEMS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
