@@ -27,10 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 FEATURES = 1 << 15
 SIZES = (2, 3)
-PER_LANGUAGE = 1500
-MAX_ROWS = 20_000
+PER_LANGUAGE = 1000
+MAX_ROWS = 6000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 UNDETERMINED = "und"
@@ -107,7 +109,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> np.nd
 
     for _ in range(EPOCHS):
         for at, x, y in rows:
-            at, x = np.append(at, FEATURES), np.append(x, 1.0)
+            at, x = np.append(at.astype(np.int64), FEATURES), np.append(x, 1.0)
             w = weights(at)
             error = softmax(x @ w)
             error[y] -= 1
@@ -161,28 +163,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         counts[r["feature"]] = r["n"]
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
 
-    labels = rows.groupBy("label").count()
+    labels = cut_lineage(rows.groupBy("label").count(), "labels")  # written, so its size is known
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     share = F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.col("count"))
     drawn = rows.join(labels, "label").withColumn("draw", draw).where(F.col("draw") < share * (1 << 30))
     sample = drawn.orderBy("draw", "label", "text").limit(MAX_ROWS).select("label", "text")
-    kinds = "label string, at array<int>, tf array<double>"
+    kinds = "label string, at binary, tf binary"  # packed: the sample is what the driver holds
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())),
-                pa.array([m[1] for m in made], pa.list_(pa.float64())),
+                batch.column(0), pa.array([m[0].astype("<u2").tobytes() for m in made], pa.binary()),
+                pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary()),
             ], names=["label", "at", "tf"])
 
     learned = sample.mapInArrow(featured, kinds).collect()
     languages = sorted({r["label"] for r in learned})
     vectors = []
     for r in learned:
-        at = np.array(r["at"], np.int64)
-        x = np.array(r["tf"]) * idf[at]
-        vectors.append((at, x / max(np.linalg.norm(x), 1e-12), languages.index(r["label"])))
+        at = np.frombuffer(r["at"], "<u2")
+        x = np.frombuffer(r["tf"], "<f4") * idf[at]
+        vectors.append((at, (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32), languages.index(r["label"])))
     if not languages:
         return Model([], idf, np.zeros((FEATURES + 1, 1)), 1.0)
     weights = train([v for i, v in enumerate(vectors) if i % 5], len(languages))
