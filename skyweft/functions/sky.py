@@ -76,9 +76,10 @@ def tile_column(ra: Column | str, row: Column) -> Column:
 
 
 def sky_tile(ra: Column | str, dec: Column | str) -> Column:
-    """struct(tile_x, tile_y)"""
-    row = tile_row(dec)
-    return F.struct(tile_column(ra, row).alias("tile_x"), row.alias("tile_y"))
+    """struct(tile_x, tile_y); both are NULL where a coordinate is missing or not finite"""
+    both = finite(ra).isNotNull() & finite(dec).isNotNull()
+    row = F.when(both, tile_row(finite(dec)))
+    return F.struct(F.when(both, tile_column(finite(ra), row)).alias("tile_x"), row.alias("tile_y"))
 
 
 def tile_center_dec(tile_y: Column | str) -> Column:

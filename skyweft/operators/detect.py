@@ -324,15 +324,14 @@ def extended_catalog(labelled: DataFrame, names: Sequence[str] = EXTENDED, value
     return shapes.select("label", *wanted)
 
 
-def merge_catalogs(basic: DataFrame, extended: DataFrame, seq: str | None = None, prefix: str = "sc_") -> DataFrame:
+def merge_catalogs(basic: DataFrame, extended: DataFrame, seq: str, prefix: str = "sc_") -> DataFrame:
     """Left join on the integer label with prefixed columns; of several rows with
     one label the last one (by ``seq``) wins; rows without a usable label stay
     unmerged."""
     number = F.col("label").try_cast("int")
     names = [c for c in extended.columns if c not in ("label", seq)]
-    order = F.col(seq) if seq else F.lit(0)
     last = extended.where(number.isNotNull()).groupBy(number.alias("_label")).agg(
-        F.max_by(F.struct(*names), order).alias("_row"))
+        F.max_by(F.struct(*names), F.col(seq)).alias("_row"))
     return basic.join(last, number == F.col("_label"), "left").select(
         basic["*"], *[F.col(f"_row.{c}").alias(prefix + c) for c in names])
 

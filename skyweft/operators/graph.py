@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     while True:
-        edges = cut_lineage(_rewire(edges, True), "edges")
-        edges = cut_lineage(_rewire(edges, False), "edges")
+        edges = cut_lineage(_rewire(edges, True), "edges", supersedes=edges)
+        edges = cut_lineage(_rewire(edges, False), "edges", supersedes=edges)
         # Converged when the edge multiset stops changing.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -1,10 +1,11 @@
 """Exact order statistics and clipped statistics without gathering a group.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task.
-It is used when the largest group is known to hold at most ``DIRECT`` values.
-Beyond that the rank is found by repeated histograms: each round counts bins on
-the map side and zooms into the bin that holds the rank, so no task ever sees
-more than a histogram or ``SMALL`` values.
+Non-finite values are missing values for every statistic here. A group's values
+are sorted as one array when the largest group is known to hold at most
+``DIRECT`` of them. Beyond that the rank is found by repeated histograms: each
+round counts bins on the map side and zooms into the bin that holds the rank, so
+no task ever sees more than a histogram or ``SMALL`` values. Both ways look up
+the same two neighbours and blend them by one expression.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import RgbStretch
 from ..functions import photometry as ph
+from ..functions.sky import finite
 from ..plans.lineage import cut_lineage
 from ..plans.skew import salted_join
 
@@ -38,7 +40,7 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
     rank, and the group's lo, hi and cnt. NULL values are ignored."""
     by = list(by)
     keys = by or [ALL]
-    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    data = df.select(*by, finite(value).alias("_v")).where(F.col("_v").isNotNull())
     state = ranks
     if not by:
         data, state = data.withColumn(ALL, F.lit(0)), state.withColumn(ALL, F.lit(0))
@@ -49,10 +51,15 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
         return salted_join(data, intervals.select(*keys, "lo", "hi").distinct(), keys, "inner", inside)
 
     wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL)
+    before_round = None
     while True:
         active = state.where(wide)
-        if active.isEmpty():
+        left = active.agg(F.sum("cnt")).first()[0]
+        if left is None:
             break
+        if left == before_round:
+            raise RuntimeError("histogram bins no longer split")
+        before_round = left
         hist = (
             within(active)
             .groupBy(*keys, "lo", "hi", _bin(F.col("_v"), F.col("lo"), F.col("hi")).alias("_bin"))
@@ -67,7 +74,7 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
             .select(*keys, "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"),
                     F.col("n").alias("cnt"), (F.col("base") + F.col("before")).alias("base"))
         )
-        state = cut_lineage(state.where(~wide).unionByName(zoomed, allowMissingColumns=True), "ranks")
+        state = cut_lineage(state.where(~wide).unionByName(zoomed, allowMissingColumns=True), "ranks", supersedes=state)
 
     settled = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("value"))
     rest = state.where(F.col("lo") < F.col("hi"))
@@ -81,18 +88,24 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = (),
-    direct: int = DIRECT,
+    direct: int = DIRECT, largest: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantiles, one column per name (numpy's default)."""
+    """Linear-interpolation quantiles, one column per name (numpy's default).
+    ``largest`` bounds the rows of a group where the caller knows it."""
     by = list(by)
-    counted = df.groupBy(*by).agg(F.count(value).alias("cnt"))
-    largest = counted.agg(F.max("cnt")).first()[0] or 0
+    data = df.select(*by, finite(value).alias("_v")).where(F.col("_v").isNotNull())
+    if largest is None:
+        largest = data.groupBy(*by).agg(F.count("*").alias("cnt")).agg(F.max("cnt")).first()[0] or 0
     if largest <= direct:
-        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-            F.percentile(F.col(value).cast("double"), list(map(float, probs))).alias("_q"))
-        return found.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)]).where(
-            F.col(names[0]).isNotNull())
-    return _quantiles_by_rank(df, value, probs, names, by)
+        found = data.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_vs")).where(F.size("_vs") > 0)
+        spot = [F.lit(float(p)) * (F.size("_vs") - 1) for p in probs]
+        at = [[F.get("_vs", r(s).cast("int")) for r in (F.floor, F.ceil)] for s in spot]
+        return found.select(*by, *[_blend(s, *v).alias(n) for s, v, n in zip(spot, at, names, strict=True)])
+    return _quantiles_by_rank(data, "_v", probs, names, by)
+
+
+def _blend(position: Column, below: Column, above: Column) -> Column:
+    return below + (position - F.floor(position)) * (above - below)
 
 
 def _quantiles_by_rank(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: list[str]) -> DataFrame:
@@ -111,14 +124,14 @@ def _quantiles_by_rank(df: DataFrame, value: str, probs: Sequence[float], names:
     low = found.select(*by, F.col("rank").alias("_r0"), F.col("value").alias("_v0"))
     high = found.select(*by, F.col("rank").alias("_r1"), F.col("value").alias("_v1"))
     spots = spots.withColumns({"_r0": F.floor("_pos"), "_r1": F.ceil("_pos")})
-    blend = F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))
+    blend = _blend(F.col("_pos"), F.col("_v0"), F.col("_v1"))
     joined = spots.join(low, [*by, "_r0"]).join(high, [*by, "_r1"]).withColumn("_blend", blend)
     picks = [F.max(F.when(F.col("_q") == i, F.col("_blend"))).alias(n) for i, n in enumerate(names)]
     return joined.groupBy(*by).agg(*picks)
 
 
-def median(df: DataFrame, value: str, direct: int = DIRECT) -> float | None:
-    row = exact_quantiles(df, value, [0.5], ["m"], direct=direct).first()
+def median(df: DataFrame, value: str, direct: int = DIRECT, largest: int | None = None) -> float | None:
+    row = exact_quantiles(df, value, [0.5], ["m"], direct=direct, largest=largest).first()
     return None if row is None else row["m"]
 
 
@@ -131,7 +144,7 @@ def robust_sigma(df: DataFrame, value: str, direct: int = DIRECT) -> tuple[float
     mad = median(df.select(F.abs(F.col(value) - center).alias("d")), "d", direct)
     sigma = 1.4826 * mad
     if sigma <= 0:
-        sigma = df.agg(F.stddev_pop(value)).first()[0]
+        sigma = df.agg(F.stddev_pop(finite(value))).first()[0]
     if not sigma > 0:
         raise ValueError("cannot estimate a non-zero noise sigma")
     return center, sigma
@@ -142,7 +155,7 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
     """Sigma-clipped mean, median and deviation over the whole column. Only a few
     scalars per round pass through the driver; each round is a scan with two
     more literal bounds."""
-    data = df.where(F.col(value).isNotNull()).select(value)
+    data = df.select(finite(value).alias(value)).where(F.col(value).isNotNull())
     bounds: list[tuple[float, float]] = []
 
     def survivors() -> DataFrame:
@@ -153,11 +166,8 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
 
     def measure(at_most: int) -> dict[str, float]:
         parts = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
-        if at_most <= direct:
-            parts.append(F.percentile(F.col(value).cast("double"), 0.5).alias("median"))
-            return survivors().agg(*parts).first().asDict()
         row = survivors().agg(*parts).first()
-        return {**row.asDict(), "median": median(survivors(), value, direct)}
+        return {**row.asDict(), "median": median(survivors(), value, direct, at_most)}
 
     now = measure(data.count())
     for _ in range(max_iters):
@@ -181,10 +191,8 @@ def stretch_channels(
 ) -> DataFrame:
     """Percentile range per channel, then the asinh stretch, per pixel."""
     names, probs = list(names), [p_low / 100.0, p_high / 100.0]
-    if channels.count() <= DIRECT:
-        limits = channels.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in names]).first().asDict()
-    else:
-        limits = {c: _pair(exact_quantiles(channels, c, probs, ["lo", "hi"]).first()) for c in names}
+    rows = channels.count()
+    limits = {c: _pair(exact_quantiles(channels, c, probs, ["lo", "hi"], largest=rows).first()) for c in names}
     out = channels
     for c in names:
         lo, hi = limits[c] or (math.nan, math.nan)
@@ -217,7 +225,8 @@ def rgb_fractions(rgb: DataFrame) -> DataFrame:
 
 def unit_range(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Missing and strongly negative values to 0, then min-max scaling."""
-    v = F.when(F.col(value).isNull() | F.isnan(value) | (F.col(value) < -10.0), 0.0).otherwise(F.col(value))
+    held = finite(value)
+    v = F.when(held.isNull() | (held < -10.0), 0.0).otherwise(held)
     row = pixels.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     lo, hi = row["lo"], row["hi"]
     return pixels.withColumn(value, F.try_divide(v - F.lit(lo), F.lit(hi) - F.lit(lo)))

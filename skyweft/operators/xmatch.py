@@ -105,10 +105,10 @@ def radius_range(stars: DataFrame, cfg: StarRadius = StarRadius(), mag: str = "p
 
 
 def footprint_center(df: DataFrame, ra: str = "ra", dec: str = "dec_") -> DataFrame:
-    """One row: direction of the mean unit vector of all rows with coordinates."""
-    x, y, z = sky.unit_vector(ra, dec)
-    both = F.col(ra).isNotNull() & F.col(dec).isNotNull()
-    mean = df.where(both).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(z).alias("z"))
+    """One row: direction of the mean unit vector of all rows with finite coordinates."""
+    x, y, z = sky.unit_vector("_ra", "_dec")
+    both = F.col("_ra").isNotNull() & F.col("_dec").isNotNull()
+    mean = df.select(sky.finite(ra).alias("_ra"), sky.finite(dec).alias("_dec")).where(both).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(z).alias("z"))
     return mean.select(
         sky.wrap360(F.degrees(F.atan2("y", "x"))).alias("center_ra"),
         F.degrees(F.atan2(F.col("z"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))).alias("center_dec"),
@@ -128,7 +128,7 @@ def footprint_cone(
     if center is None or center["center_ra"] is None:
         raise ValueError("catalog has no valid sky coordinates")
     ra0, dec0 = F.lit(center["center_ra"]), F.lit(center["center_dec"])
-    sep = F.degrees(sky.separation_rad(F.col(ra), F.col(dec), ra0, dec0))
+    sep = F.degrees(sky.separation_rad(sky.finite(ra), sky.finite(dec), ra0, dec0))
     out = df.agg((F.max(sep) + cfg.padding_deg).alias("radius_deg")).select(
         ra0.alias("center_ra"), dec0.alias("center_dec"), "radius_deg"
     )

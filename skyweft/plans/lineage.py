@@ -25,9 +25,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def cut_lineage(df: DataFrame, label: str, supersedes: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table. ``supersedes``
+    is an earlier result of this function that nothing reads any more once the
+    new table is there, such as the last round of a loop; its files go."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_table(supersedes)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop_table(df: DataFrame | None) -> None:
+    """Delete the files behind a result of ``cut_lineage``."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# At most this many keys are salted, so the table of hot keys always fits a
-# broadcast. A key outside the list holds at most rows / MAX_HOT_KEYS rows.
-MAX_HOT_KEYS = 10_000
+from .lineage import cut_lineage
+
+# A key is hot when one side has more rows of it than this, or when its pairs
+# exceed this many rows times PAIRS_PER_ROW.
 HOT_ROWS = 1_000_000
+PAIRS_PER_ROW = 100
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -31,20 +35,17 @@ def rows_fit_broadcast(spark: SparkSession, rows: int, row_bytes: int = 100) ->
     return rows * row_bytes <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of salts each gets.
-
-    Only the top MAX_HOT_KEYS keys can appear; this bounds the broadcast and
-    drops nothing, because a key that is not listed is simply not salted.
-    """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.col("_n").desc())
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, other: DataFrame | None = None) -> DataFrame:
+    """Hot keys and the number of salts each gets, judged by the rows of ``df``
+    and, with ``other``, by the pairs they make. The list has at most one entry
+    per ``hot_rows`` rows or per so many pairs; it is never cut."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    salts = F.col("_n") / hot_rows
+    if other is not None:
+        pairs = other.groupBy(*keys).agg(F.count("*").alias("_m"))
+        counts = counts.join(pairs, list(keys), "left")
+        salts = F.greatest(salts, F.least(F.col("_n"), F.col("_n") * F.coalesce("_m", F.lit(0)) / (hot_rows * PAIRS_PER_ROW)))
+    return counts.where(salts > 1).select(*keys, F.ceil(salts).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -71,6 +72,10 @@ def salted_join(
     ``spread_by`` names the row key of the hot side that is hashed into the
     salt; without it all columns are hashed, which also makes the scan read
     them all. (A row number would not be stable when a task is repeated.)
+
+    Rows with a NULL key match nothing: they are set aside before the shuffle
+    and, in anti and left joins, come back untouched. The list of hot keys is
+    written once, so both sides see the same salts.
     """
     keys = list(keys)
     cold = right if hot_side == "left" else left
@@ -83,8 +88,11 @@ def salted_join(
     if small:
         return _join(left, right, keys, how, condition)
 
-    hot = left if hot_side == "left" else right
-    listed = F.broadcast(hot_keys(hot, keys, hot_rows))
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    unmatched = left.where(~keyed) if how in ("left_anti", "left", "left_outer") else None
+    left, right = left.where(keyed), right.where(keyed)
+    hot, other = (left, right) if hot_side == "left" else (right, left)
+    listed = cut_lineage(hot_keys(hot, keys, hot_rows, other), "hot-keys")
 
     def spread(df: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or df.columns]), F.col("_salts").cast("bigint"))
@@ -103,7 +111,8 @@ def salted_join(
     else:
         left, right = replicate(left), spread(right)
     # The size check failed, so Catalyst must not broadcast on its own estimate.
-    return _join(left.hint("merge"), right.hint("merge"), [*keys, "_salt"], how, condition).drop("_salt")
+    out = _join(left.hint("merge"), right.hint("merge"), [*keys, "_salt"], how, condition).drop("_salt")
+    return out if unmatched is None else out.unionByName(unmatched, allowMissingColumns=True)
 
 
 def _join(

@@ -177,7 +177,7 @@ def segment_catalog(spark, sf):
 @query()
 def detected_sources(spark, sf):
     found, _ = detect.detect_sources(fixture(spark, sf, "image"), Detection(threshold_sigma=2.0))
-    return detect.merge_catalogs(detect.basic_catalog(found), detect.extended_catalog(found))
+    return detect.merge_catalogs(detect.basic_catalog(found), detect.extended_catalog(found).withColumn("seq", F.lit(0)), "seq")
 
 
 _PEAK = f"""with recursive lim as (select max(y) as ymax from {IMAGE}),

@@ -112,13 +112,14 @@ def peak_points(df: DataFrame) -> DataFrame:
 
 
 def write_lines(header: Sequence[str], body: DataFrame, path: str, order: Sequence[Column | str] = ()) -> None:
-    """Text folder: one header file part followed by ordered body parts. With an
-    ``order`` the body is range-sorted, so its parts concatenate in order."""
+    """Text folder whose parts concatenate to one file: the header is the first
+    part, the body follows and is range-sorted when ``order`` is given. A repeated
+    run replaces the folder."""
     spark = body.sparkSession
     lines = body.orderBy(*order).select("line") if order else body.select("line")
     if header:
-        spark.createDataFrame([(h,) for h in header], "line string").coalesce(1).write.mode("append").text(f"{path}/header")
-    lines.write.mode("append").text(f"{path}/body")
+        lines = spark.createDataFrame([(h,) for h in header], "line string").coalesce(1).union(lines)
+    lines.write.mode("overwrite").text(path)
 
 
 # -- pass-through catalogs ----------------------------------------------------------------
@@ -139,7 +140,7 @@ def clean_lines(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, order: Sequence[Column | str] = ()) -> None:
     """CSV folder with a header in every part; ordered when asked."""
-    (df.orderBy(*order) if order else df).write.mode("append").option("header", True).csv(path)
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def union_of_columns(frames: Sequence[DataFrame], preferred: Sequence[str] = (), sort_rest: bool = True) -> DataFrame:

@@ -211,7 +211,7 @@ def test_detect_and_measure(spark):
     img += 80 * np.exp(-0.5 * (((x - 20) / 3) ** 2 + ((y - 40) / 1.5) ** 2))
     found, s = detect.detect_sources(pixels(spark, img), Detection(threshold_sigma=5.0, npixels=8))
     assert s["median"] == pytest.approx(10, abs=0.1)
-    rows = detect.merge_catalogs(detect.basic_catalog(found), detect.extended_catalog(found)).collect()
+    rows = detect.merge_catalogs(detect.basic_catalog(found), detect.extended_catalog(found).withColumn("seq", F.lit(0)), "seq").collect()
     assert len(rows) == 1
     r = rows[0]
     assert (r["sc_xcentroid"], r["sc_ycentroid"]) == pytest.approx((20, 40), abs=0.2)
