@@ -98,7 +98,7 @@ def _signed(classes: DataFrame, planes: int, tables: int) -> DataFrame:
     return classes.select("node", "copies", "vector").mapInArrow(run, "node bigint, copies bigint, vector array<double>, signs array<int>")
 
 
-def _smallest_linked(near: np.ndarray) -> np.ndarray:
+def smallest_linked(near: np.ndarray) -> np.ndarray:
     """Index of the smallest member that each member hangs together with."""
     label = np.arange(len(near))
     while True:
@@ -131,7 +131,7 @@ def _compare(table: int, left: dict, right: dict | None, threshold: float) -> li
             met |= both["signs"][i, t] == both["signs"][j, t]
         first[i[met], j[met]] = False
     weight = first @ both["copies"]
-    root = both["node"][_smallest_linked(near)]
+    root = both["node"][smallest_linked(near)]
     return [(n, w, r) for n, w, r in zip(both["node"].tolist(), weight.tolist(), root.tolist(), strict=True) if w or n != r]
 
 

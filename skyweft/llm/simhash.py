@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.lineage import cut_lineage
+from .embedding_dedup import smallest_linked
 
 SHINGLE = 3
 SEED = 42
@@ -100,14 +101,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- documents alike in most of their five-word shingles --------------------------
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Segments of the fingerprint over words, by which candidates meet.
+SEGMENTS, SEGMENT_BITS = 16, 24
+#: 64-bit lanes of the fingerprint over shingles, which decides.
+LANES = 16
+BLOCK = 512
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Majority bits of ``lanes`` independent 64-bit hashes made from each hash."""
+    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 4096):
+        h = (hashes[at : at + 4096, None] + steps) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        for part in range(0, len(bits), 255):  # so many ones fit a byte
+            counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).view(np.uint64)
+
+
+def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(segments over the different words, lanes over the different shingles)."""
+    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    n = min(len(words), WIDE_SHINGLE) or 1
+    shingles = np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*[words[k:] for k in range(n)]))), np.uint64))
+    single = np.fromiter((digest(w, SEED) for w in set(words)), np.uint64)
+    bits = np.unpackbits(_lanes(single, 6).view(np.uint8))[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
+    return (bits.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(axis=1), _lanes(shingles, LANES)
+
+
+def most_bits(similarity: float = SIMILARITY, lanes: int = LANES) -> int:
+    """Differing bits of two equally large sets that are so similar: what to
+    expect, and 1.2 standard deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * lanes
+    return round(bits * share + 1.2 * np.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row, linking documents whose five-word
+    shingles are alike to at least ``similarity``, as far as 1024 bits tell.
+
+    Multi-index hashing again, for larger distances: candidates agree in one of
+    sixteen 24-bit segments (the ball of radius zero) of a fingerprint over words,
+    which an edit moves little; the complete fingerprint over shingles verifies
+    them. Buckets are compared whole, large ones in pairs of blocks, and emit one
+    row per member, never pairs."""
+    limit = most_bits(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())),
+                pa.array([m[1].tobytes() for m in made], pa.binary()),
+            ], names=["doc_id", "segments", "lanes"])
+
+    read = docs.select(F.col(id_col).cast("bigint"), text_col)
+    rows = cut_lineage(read.mapInArrow(prints, "doc_id bigint, segments array<int>, lanes binary"), "wide-fingerprints")
+    # Equal fingerprints are one class, whichever texts they come from.
+    classes = rows.groupBy("segments", "lanes").agg(F.min("doc_id").alias("first"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = classes.select("node", F.posexplode("segments").alias("segment", "value"))
+    sizes = entries.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "buckets")
+    spread = entries.join(sizes, ["segment", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    units = spread.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "segment", "value", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "node")
+    units = units.join(classes.select("node", "lanes"), "node").select("segment", "value", "low", "high", "node", "lanes")
+    keys = ["segment", "value", "low", "high"]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        current = None
+
+        def close() -> list[tuple[int, int]]:
+            node = np.array([h[0] for h in held])
+            order = np.argsort(node)
+            x = np.frombuffer(b"".join([held[i][1] for i in order]), np.uint64).reshape(-1, LANES)
+            near = np.zeros((len(x), len(x)), bool)
+            for at in range(0, len(x), 64):
+                near[at : at + 64] = np.bitwise_count(x[at : at + 64, None] ^ x[None]).sum(axis=2, dtype=np.int32) <= limit
+            held.clear()
+            root = smallest_linked(near)
+            return [(int(node[order[i]]), int(node[order[r]])) for i, r in enumerate(root.tolist()) if i != r]
+
+        for batch in batches:
+            made: list[tuple[int, int]] = []
+            for *key, node, lanes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != current:
+                    if len(held) > 1:
+                        made += close()
+                    held, current = [], key
+                held.append((node, lanes))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in zip(*made, strict=True)], names=["u", "v"])
+        if len(held) > 1 and (made := close()):
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in zip(*made, strict=True)], names=["u", "v"])
+
+    edges = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "u bigint, v bigint")
+    rooted = classes.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    component = rooted.join(smallest, "root").select("segments", "lanes", "component_id")
+    return rows.join(component, ["segments", "lanes"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the
-    smallest id stays. Rows without an id are not compared and stay. Where an id
+    """The rows of ``docs`` without near-duplicates (five-word shingles, see
+    ``similar_documents``): of each component the smallest id stays. Rows without an id are not compared and stay. Where an id
     that stays is repeated, the row with the smallest text stays."""
-    found = cut_lineage(near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near-duplicates")
+    found = cut_lineage(similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near-duplicates")
     kept = (
-        found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-        .select(F.col("doc_id").alias("__kept"), F.col("copies").alias("__copies"))
+        found.groupBy("doc_id").agg(F.count("*").alias("copies"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+        .where("stays").select(F.col("doc_id").alias("__kept"), F.col("copies").alias("__copies"))
     )
     joined = docs.join(kept, docs[id_col] == F.col("__kept"))
     order = Window.partitionBy("__kept").orderBy(text_col)

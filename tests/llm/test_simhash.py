@@ -74,11 +74,43 @@ def test_components_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
     assert hexed(simhash.near_duplicates(docs)) == brute(rows)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_keep_one_finds_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    stop = [word()[:2] for _ in range(20)]
+    make = lambda n: [rng.choice(stop) if rng.random() < 0.4 else word() for _ in range(n)]
+    rows, near, clean = [], [], []
+    for d in range(60):
+        base = make(rng.randint(80, 600))
+        rows.append((d, " ".join(base)))
+        copy = list(base)
+        if d % 2:
+            for at in range(rng.randint(0, 59), len(copy), 60):
+                copy[at] = word()
+            near.append(d)
+        else:
+            copy = make(300)
+            clean += [d, d + 1000]
+        rows.append((d + 1000, " ".join(copy)))
+    rows += [(2000 + k, rows[7][1]) for k in range(30)] + [(7, rows[7][1]), (None, "no id"), (None, "no id"), (3000, None), (3001, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {d for d, _, c in brute([r for r in rows if r[0] is not None]) if d == c}
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+    texts = dict(rows)
+    alike = [d for d in near if len(shingle_set(texts[d]) & shingle_set(texts[d + 1000])) / len(shingle_set(texts[d]) | shingle_set(texts[d + 1000])) >= 0.82]
+    assert len(alike) > 20 and sum(d + 1000 not in ids for d in alike) >= 0.9 * len(alike)
+    assert set(clean) <= set(ids) and set(near) <= set(ids) and ids.count(None) == 2
+    assert not any(2000 <= (i or 0) < 2030 for i in ids) and 3000 in ids and 3001 not in ids and ids.count(7) == 1
+    assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_query(spark):
