@@ -6,9 +6,12 @@ the anchor, hash of its context, document and place. One shuffle by anchor hash
 and one streaming pass decide for every row:
 
 * its context occurred before: *settled*, all of its windows are repeats;
-* it is the first with its context, but its anchor also has another context:
-  *open*, its windows have to be compared with those of the other contexts;
-* its anchor has no other context (or, where only other documents count, none in
+* it is the first with its context, but another context of its anchor goes on
+  alike to the left or to the right: *open* on that side, its windows have to be
+  compared with those of the other contexts. (A window around an anchor covers
+  all of its left or all of its right side, so each row carries 16 bits of a hash
+  of either side.)
+* there is no such context (or, where only other documents count, none in
   another document): nothing is repeated, and no row comes out.
 
 Hot anchors: every task first settles rows whose context it has already seen, so
@@ -32,7 +35,12 @@ SAMPLE = 64
 #: An anchor is hot from this many estimated rows on, and from this share of all.
 HOT_ROWS, HOT_SHARE = 20_000, 1 / 2000
 NORMAL, HOT, SETTLED = 0, 1, 2
-ROWS = "ahash bigint, chash bigint, doc bigint, at bigint, flag tinyint"
+#: States of a place, as bits.
+SURE, LEFT, RIGHT = 1, 2, 4
+#: Rows of one anchor that are held to compare their sides; beyond, all stay open.
+HELD_ROWS = 1 << 20
+#: ``flag``: the kind in two bits, then 16 bits each of the left and right side.
+ROWS = "ahash bigint, chash bigint, doc bigint, at bigint, flag bigint"
 NO_ID = (1 << 63) - 1  # stands for a null id: after all others
 
 
@@ -79,7 +87,9 @@ class Powers:
         return self.values[length]
 
 
-def settle_early(ahash: np.ndarray, chash: np.ndarray, doc: np.ndarray, at: np.ndarray, hot: np.ndarray, within: bool) -> pa.RecordBatch:
+def settle_early(
+    ahash: np.ndarray, chash: np.ndarray, doc: np.ndarray, at: np.ndarray, sides: np.ndarray, hot: np.ndarray, within: bool
+) -> pa.RecordBatch:
     """Rows of one chunk of a task, with those flagged that the chunk settles."""
     order = np.lexsort((at, doc, chash, ahash))
     a, c, d, t = ahash[order], chash[order], doc[order], at[order]
@@ -91,22 +101,33 @@ def settle_early(ahash: np.ndarray, chash: np.ndarray, doc: np.ndarray, at: np.n
     if within:
         settled |= (d == d[first]) & (t > t[first])
     flag[settled] = SETTLED
-    columns = [pa.array(v.astype(np.int64, copy=False)) for v in (a, c, d, t)] + [pa.array(flag.astype(np.int8))]
+    columns = [pa.array(v.astype(np.int64, copy=False)) for v in (a, c, d, t, flag | sides[order] << 2)]
     return pa.RecordBatch.from_arrays(columns, names=["ahash", "chash", "doc", "at", "flag"])
 
 
+def sides_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """16 bits of the hash of either side, in one integer."""
+    return ((left >> np.uint64(48)) | (right >> np.uint64(48)) << np.uint64(16)).astype(np.int64)
+
+
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows whose side another row of the group has, too."""
+    _, inverse, counts = np.unique(group << 16 | side, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
 class _Stream:
-    """Decides rows sorted by anchor, context, document and place."""
+    """Decides rows sorted by anchor, context, document and place. Rows that are
+    first with their context wait until their anchor is complete."""
 
     def __init__(self, within: bool):
         self.within = within
         self.a = self.c = self.d = self.t = None
-        self.contexts = self.documents = False  # more than one so far in this group
-        self.g = 0  # first document of the group
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.overflow = 0, False
 
-    def add(self, a: np.ndarray, c: np.ndarray, d: np.ndarray, t: np.ndarray, hot: np.ndarray) -> tuple[list, list]:
-        """(settled, open): lists of (doc, at) arrays that are decided now."""
+    def add(self, a: np.ndarray, c: np.ndarray, d: np.ndarray, t: np.ndarray, flag: np.ndarray) -> list[tuple]:
+        """(doc, at, state) arrays that are decided now."""
         n = len(a)
         new_a, new_c = np.ones(n, bool), np.ones(n, bool)
         new_a[1:] = a[1:] != a[:-1]
@@ -118,30 +139,57 @@ class _Stream:
         settled = d > d0
         if self.within:
             settled |= (d == d0) & (t > t0)
-        group = np.cumsum(new_a)
-        contexts, documents = np.zeros(group[-1] + 1, bool), np.full(group[-1] + 1, self.within)
-        contexts[group[(new_c & ~new_a) | (hot == HOT)]] = True
-        opening = np.maximum.accumulate(np.where(new_a, np.arange(n), -1))
-        g0 = np.where(opening >= 0, d[opening], self.g)
-        documents[group[(d != g0) | (hot == HOT)]] = True
-        if not new_a[0]:
-            contexts[0] |= self.contexts
-            documents[0] |= self.documents
-        several = contexts & documents
-        last = group[-1]
-        done, open_ = [(d[settled], t[settled])], []
-        if not new_a[0] and several[0]:
-            open_ += self.held
-        if last > 0 or several[0]:
+        out = [(d[settled], t[settled], np.full(int(settled.sum()), SURE))]
+        cut = int(np.flatnonzero(new_a)[-1]) if new_a.any() else 0  # from here on the anchor goes on
+        rows = np.flatnonzero(~settled)
+        if new_a.any():
+            done = rows[rows < cut]
+            began = int(np.flatnonzero(new_a)[0])
+            out += self._close(self._hold(done[done < began], d, t, flag))
+            rest = done[done >= began]
+            out += self._sides(np.cumsum(new_a)[rest], d[rest], t[rest], flag[rest])
+            rows = rows[rows >= cut]
+        out += self._hold(rows, d, t, flag) or []
+        self.a, self.c, self.d, self.t = a[-1], c[-1], d0[-1], t0[-1]
+        return out
+
+    def _hold(self, rows: np.ndarray, d: np.ndarray, t: np.ndarray, flag: np.ndarray) -> list[tuple]:
+        """Keep rows of the unfinished anchor; of too many, all are open."""
+        self.held.append((d[rows], t[rows], flag[rows]))
+        self.waiting += len(rows)
+        if self.overflow or self.waiting > HELD_ROWS:
+            self.overflow = True
+            out = [(d, t, np.full(len(d), LEFT | RIGHT)) for d, t, _ in self.held]
             self.held = []
-        emit = ~settled & several[group]
-        open_.append((d[emit], t[emit]))
-        if not several[last]:
-            keep = ~settled & (group == last)
-            self.held.append((d[keep], t[keep]))
-        self.a, self.c, self.d, self.t, self.g = a[-1], c[-1], d0[-1], t0[-1], g0[-1]
-        self.contexts, self.documents = bool(contexts[last]), bool(documents[last])
-        return done, open_
+            return out
+        return []
+
+    def _close(self, before: list[tuple] | None = None) -> list[tuple]:
+        out = before or []
+        if self.held:
+            d, t, flag = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            out += self._sides(np.zeros(len(d), np.int64), d, t, flag)
+        self.held, self.waiting, self.overflow = [], 0, False
+        return out
+
+    def finish(self) -> list[tuple]:
+        return self._close()
+
+    def _sides(self, group: np.ndarray, d: np.ndarray, t: np.ndarray, flag: np.ndarray) -> list[tuple]:
+        """Rows of whole anchors: which sides another row shares."""
+        if not len(d):
+            return []
+        group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        left, right = _shared(group, flag >> 2 & 0xFFFF), _shared(group, flag >> 18 & 0xFFFF)
+        if not self.within:  # only other documents count
+            low, high = np.full(group[-1] + 1, NO_ID), np.full(group[-1] + 1, -NO_ID)
+            np.minimum.at(low, group, d)
+            np.maximum.at(high, group, d)
+            several = (low < high)[group]
+            left, right = left & several, right & several
+        state = np.where(flag & 3 == HOT, LEFT | RIGHT, left * LEFT + right * RIGHT)
+        live = state > 0
+        return [(d[live], t[live], state[live])]
 
 
 def hot_anchors(sample_rows: DataFrame) -> np.ndarray:
@@ -154,40 +202,71 @@ def hot_anchors(sample_rows: DataFrame) -> np.ndarray:
 
 
 def decide(rows: DataFrame, within: bool) -> DataFrame:
-    """(doc, at, settled) for all rows that are settled or open. ``within``: an
+    """(doc, at, state) for all rows that are settled or open. ``within``: an
     earlier place in the same document settles a context, too."""
-    spread = F.when(F.col("flag") == SETTLED, F.xxhash64("doc", "at")).when(F.col("flag") == HOT, F.xxhash64("ahash", "chash")).otherwise(F.col("ahash"))
+    kind = F.col("flag").bitwiseAND(F.lit(3))
+    spread = F.when(kind == SETTLED, F.xxhash64("doc", "at")).when(kind == HOT, F.xxhash64("ahash", "chash")).otherwise(F.col("ahash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _Stream(within)
+
+        def packed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            d, t, state = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(state.astype(np.int32))], names=["doc", "at", "state"])
+
         for batch in batches:
             a, c, d, t, flag = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            through = flag == SETTLED
-            parts = [(d[through], t[through], True)]
+            through = flag & 3 == SETTLED
+            parts = [(d[through], t[through], np.full(int(through.sum()), SURE))]
             if not through.all():
                 rest = ~through
-                settled, open_ = stream.add(a[rest], c[rest], d[rest], t[rest], flag[rest])
-                parts += [(*x, True) for x in settled] + [(*x, False) for x in open_]
-            d, t = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            if len(d):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d), pa.array(t), pa.array(np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]))],
-                    names=["doc", "at", "settled"],
-                )
+                parts += stream.add(a[rest], c[rest], d[rest], t[rest], flag[rest])
+            yield from packed(parts)
+        yield from packed(stream.finish())
 
-    placed = rows.repartition(spread).sortWithinPartitions("flag", "ahash", "chash", "doc", "at")
-    return placed.mapInArrow(run, "doc bigint, at bigint, settled boolean")
+    placed = rows.repartition(spread).sortWithinPartitions(kind, "ahash", "chash", "doc", "at")
+    return placed.mapInArrow(run, "doc bigint, at bigint, state int")
 
 
 def per_document(marks: DataFrame) -> DataFrame:
-    """(doc, tag, marks): places of a document, twice the position, plus one if settled."""
-    packed = F.shiftleft(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1) + F.col("settled").cast("int")
+    """(doc, tag, marks): places of a document, eight times the position plus the state."""
+    packed = F.shiftleft(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 3) + F.col("state")
     return (
         marks.select("doc", F.shiftright("at", 32).cast("int").alias("tag"), packed.alias("mark"))
         .groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
     )
 
 
+def window_starts(marks: list[int] | None, n: int, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(settled starts, open starts, open anchors) of a text of n units with
+    windows of ``length`` that begin up to ``reach`` before their anchor. Of an
+    open anchor: its position and the first and last start it leaves open."""
+    m = np.array(marks or [], np.int64)
+    position, state = m >> 3, m & 7
+    size, half = max(0, n - length + 1), half_reach(reach)
+    last = np.minimum(position, n - length) + 1
+
+    def within(bit: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        on = state & bit > 0
+        low, high = np.maximum(low[on], 0), np.minimum(high, last)[on]
+        return covered(low[low < high], high[low < high], size)
+
+    sure = within(SURE, position - reach, last)
+    maybe = within(LEFT, position - reach, position - half + 1) | within(RIGHT, position - half + 1, last)
+    on = state > SURE
+    low = np.where(state & LEFT > 0, position - reach, position - half + 1)
+    high = np.where(state & RIGHT > 0, position, position - half)
+    spans = np.stack([position, np.maximum(low, 0), np.minimum(high, n - length)], axis=1)[on]
+    return sure, maybe & ~sure, np.unique(spans[spans[:, 1] <= spans[:, 2]], axis=0)
+
+
+def half_reach(reach: int) -> int:
+    """Windows that begin at least so far before their anchor cover its left side,
+    the others its right side."""
+    return (reach + 1) // 2
+
+
 def covered(starts_from: np.ndarray, starts_to: np.ndarray, size: int) -> np.ndarray:
     """Boolean array: index inside one of the ranges [from, to)."""
     steps = np.zeros(size + 1, np.int64)

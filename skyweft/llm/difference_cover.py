@@ -36,6 +36,7 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 REACH = WINDOW - ANCHOR  # a window may start up to so many words before its anchor
+HALF = anchors.half_reach(REACH)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHUNK_ROWS = 1 << 19
 CACHED_WORDS = 400_000
@@ -104,7 +105,9 @@ def anchor_rows(keyed_docs: DataFrame, hot: np.ndarray | None = None) -> DataFra
             tag = np.array([rows[i]["tag"] for i in fit], np.int64)[owner]
             ahash = mixed(powers.of(ANCHOR)[place]).view(np.int64)
             chash = mixed(powers.of(REACH + WINDOW)[place - REACH]).view(np.int64)
-            held.append((ahash, chash, doc, pack(tag, position)))
+            left = mixed(powers.of(ANCHOR + HALF)[place - HALF])
+            right = mixed(powers.of(WINDOW - HALF + 1)[place])
+            held.append((ahash, chash, doc, pack(tag, position), anchors.sides_of(left, right)))
             count += len(ahash)
             if count >= CHUNK_ROWS:
                 yield anchors.settle_early(*map(np.concatenate, zip(*held, strict=True)), hot, False)
@@ -117,12 +120,7 @@ def anchor_rows(keyed_docs: DataFrame, hot: np.ndarray | None = None) -> DataFra
 
 def _starts(marks: list[int] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(settled, open): window starts of a text of n words, as booleans."""
-    m = np.array(marks or [], np.int64)
-    position, settled = m >> 1, (m & 1).astype(bool)
-    low, high = np.maximum(position - REACH, 0), np.minimum(position, n - WINDOW) + 1
-    sure = covered(low[settled], high[settled], max(0, n - WINDOW + 1))
-    maybe = covered(low[~settled], high[~settled], max(0, n - WINDOW + 1))
-    return sure, maybe & ~sure
+    return anchors.window_starts(marks, n, WINDOW, REACH)[:2]
 
 
 def _result(doc_id: int | None, words: list[bytes], starts: np.ndarray) -> dict:
@@ -186,7 +184,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
             for row, words, begin in zip(part, cut, starts.tolist(), strict=True):
                 at = np.flatnonzero(_starts(row["marks"], len(words))[1])
                 keys = [mixed(h[begin + at]).view(np.int64) for h in hashes]
-                held.append((*keys, np.full(len(at), row["doc"]), pack(np.full(len(at), row["tag"]), at)))
+                held.append((*keys, np.full(len(at), row["doc"]), pack(np.full(len(at), row["tag"]), at), np.zeros(len(at), np.int64)))
                 count += len(at)
             if count >= CHUNK_ROWS:
                 yield anchors.settle_early(*map(np.concatenate, zip(*held, strict=True)), none, False)
@@ -197,7 +195,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
     # The 128-bit window hash takes the places of anchor and context.
     none = np.zeros(0, np.int64)
     opened = undecided.select("doc", "tag", "text", "marks").mapInArrow(windows, anchors.ROWS)
-    repeats = anchors.per_document(anchors.decide(opened, within=False).where("settled")).withColumnRenamed("marks", "starts")
+    repeats = anchors.per_document(anchors.decide(opened, within=False).where(F.col("state") == anchors.SURE)).withColumnRenamed("marks", "starts")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +204,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 for row in batch.slice(at, 256).to_pylist():
                     words = words_of(row["text"])
                     sure = _starts(row["marks"], len(words))[0]
-                    sure[np.array(row["starts"] or [], np.int64) >> 1] = True
+                    sure[np.array(row["starts"] or [], np.int64) >> 3] = True
                     made.append(_result(row["doc_id"], words, sure))
                 yield pa.RecordBatch.from_arrays(digest(made), names=names)
 

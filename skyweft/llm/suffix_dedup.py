@@ -40,6 +40,7 @@ from .anchors import covered, keyed, mixed, pack
 LENGTH = 100
 GRAM = 24
 REACH = LENGTH - GRAM  # a window starts at most so many bytes before its anchor
+HALF = anchors.half_reach(REACH)
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 19
 SHARD_BYTES = 1 << 21
@@ -138,6 +139,7 @@ def anchor_rows(keyed_docs: DataFrame, hot: np.ndarray | None = None) -> DataFra
             held.append((
                 hashed.at(place, GRAM).view(np.int64), hashed.at(place - REACH, REACH + LENGTH).view(np.int64),
                 doc, pack(tag, place - starts[owner]),
+                anchors.sides_of(hashed.at(place - HALF, GRAM + HALF), hashed.at(place, LENGTH - HALF + 1)),
             ))
             count += len(place)
             if count >= CHUNK_ROWS:
@@ -321,12 +323,7 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def _starts(marks: list[int] | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(settled starts, open starts, open anchors) of a text of n bytes."""
-    m = np.array(marks or [], np.int64)
-    position, settled = m >> 1, (m & 1).astype(bool)
-    low, high = np.maximum(position - REACH, 0), np.minimum(position, n - LENGTH) + 1
-    sure = covered(low[settled], high[settled], max(0, n - LENGTH + 1))
-    maybe = covered(low[~settled], high[~settled], max(0, n - LENGTH + 1))
-    return sure, maybe & ~sure, np.unique(position[~settled])
+    return anchors.window_starts(marks, n, LENGTH, REACH)
 
 
 def _result(doc_id: int | None, text: bytes, starts: np.ndarray) -> dict:
@@ -385,9 +382,9 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
             hashed = RangeHash(codes)
             made: list[list] = [[], [], [], []]
             for row, text, begin in zip(part, texts, begins.tolist(), strict=True):
-                _, maybe, anchored = _starts(row["marks"], len(text))
+                _, maybe, spans = _starts(row["marks"], len(text))
                 seen = np.concatenate([[0], np.cumsum(maybe)])
-                low, high = np.maximum(anchored - REACH, 0), np.minimum(anchored, len(text) - LENGTH) + 1
+                anchored, low, high = spans[:, 0], spans[:, 1], spans[:, 2] + 1
                 live = seen[high] > seen[low]
                 anchored, low, high = anchored[live], low[live], high[live]
                 at = np.flatnonzero(maybe)
@@ -414,7 +411,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 found = repeated_windows(list(c), np.array(d, np.int64), np.array(t, np.int64))
                 shard.clear()
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([True] * len(found))], names=["doc", "at", "settled"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), anchors.SURE, np.int32))], names=["doc", "at", "state"])
 
         for batch in batches:
             for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -433,7 +430,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
 
     dealt = undecided.select("doc", "tag", "text", "marks").mapInArrow(contexts, "ahash bigint, doc bigint, at bigint, context binary")
     sorted_shards = dealt.repartition("ahash").sortWithinPartitions("ahash", "doc", "at")
-    repeats = anchors.per_document(sorted_shards.mapInArrow(shards, "doc bigint, at bigint, settled boolean").distinct()).withColumnRenamed("marks", "starts")
+    repeats = anchors.per_document(sorted_shards.mapInArrow(shards, "doc bigint, at bigint, state int").distinct()).withColumnRenamed("marks", "starts")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +439,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 for row in batch.slice(at, 256).to_pylist():
                     text = row["text"].encode("utf-8", "replace")
                     sure = _starts(row["marks"], len(text))[0]
-                    sure[np.array(row["starts"] or [], np.int64) >> 1] = True
+                    sure[np.array(row["starts"] or [], np.int64) >> 3] = True
                     made.append(_result(row["doc_id"], text, sure))
                 yield pa.RecordBatch.from_arrays(digest(made), names=names)
 
