@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import KronCutout, SourceCutout
 from ..functions import photometry as ph
-from ..functions.sky import TangentPlane
+from ..functions.sky import TangentPlane, finite
 from ..functions.text import metric_name
 from ..plans.halo import block_of
 from ..plans.ranking import with_row_number
@@ -129,12 +129,18 @@ def reproject(source: DataFrame, source_wcs: TangentPlane, reference: DataFrame,
     return sums
 
 
-def catalog_rows(sources: DataFrame, cfg: SourceCutout, pixscale_arcsec: float) -> DataFrame:
-    """Catalog columns of the extraction: kron_radius = kron * sma, pixel scale,
-    cutout sizes; non-finite measurements are NULL."""
-    clean = sources.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("sma", "smi", "kron")})
+def catalog_rows(
+    sources: DataFrame, cfg: SourceCutout, pixscale_arcsec: float | None = None, wcs: TangentPlane | None = None
+) -> DataFrame:
+    """Catalog columns of the extraction: position on the sky, kron_radius =
+    kron * sma, pixel scale, cutout sizes and whether a shape is missing.
+    Non-finite measurements are NULL; without ``wcs`` there is no position."""
+    clean = sources.withColumns({c: finite(c) for c in ("x", "y", "sma", "smi", "kron")})
+    ra, dec = wcs.world("x", "y") if wcs is not None else (F.lit(None).cast("double"),) * 2
+    scale = wcs.pixel_scale_arcsec() if pixscale_arcsec is None and wcs is not None else F.lit(pixscale_arcsec).cast("double")
+    shaped = F.col("sma").isNotNull() & F.col("smi").isNotNull() & F.col("kron").isNotNull()
     return plan_source_cutouts(clean, cfg).withColumns({
-        "kron_radius": F.col("kron") * F.col("sma"), "pixscale_arcsec": F.lit(float(pixscale_arcsec))})
+        "ra": ra, "dec_": dec, "kron_radius": F.col("kron") * F.col("sma"), "pixscale_arcsec": scale, "shape_missing": ~shaped})
 
 
 def numbered(catalog: DataFrame, order: Sequence[str] = ("y", "x")) -> DataFrame:

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import aggregates, catalogs, expressions, images, joins  # noqa: F401
+    from . import aggregates, catalogs, contracts, expressions, images, joins  # noqa: F401
