@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import json
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -114,14 +115,35 @@ class Written(WriterCommitMessage):
     rows: int
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, so that tasks write where readers look."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return pafs.LocalFileSystem(), path
+
+
+#: Cards that the writer sets itself; all others of a source header are kept.
+STRUCTURE = ("SIMPLE", "XTENSION", "BITPIX", "PCOUNT", "GCOUNT", "TFIELDS", "THEAP", "END")
+
+
+def kept_cards(cards: Sequence[str]) -> list[str]:
+    """Cards of a source table that still hold for a subset of its rows."""
+    own = (*STRUCTURE, "NAXIS", "TTYPE", "TFORM", "TSCAL", "TZERO", "TNULL", "TDIM")
+    return [c for c in cards if not c[:8].strip().startswith(own) and c[:8].strip() not in STRUCTURE]
+
+
 class TableWriter(DataSourceArrowWriter):
+    """Tasks write drafts; the driver's commit moves those of the successful
+    attempts to their names and removes all others."""
+
     def __init__(self, options, schema, overwrite):
-        self.folder = options["path"].removeprefix("file:")
+        self.folder = options["path"].rstrip("/")
+        self.overwrite = overwrite
+        self.cards = json.loads(options.get("cards", "[]"))
         widths = {k.removeprefix("width."): int(v) for k, v in options.items() if k.startswith("width.")}
         lower = {k.lower(): v for k, v in widths.items()}
         named = {f.name: lower[f.name.lower()] for f in schema.fields if f.name.lower() in lower}
         self.layout = table_layout(schema, named)
-        self.header = None
         self.run = uuid.uuid4().hex[:12]
 
     def _head(self, rows: int) -> bytes:
@@ -130,43 +152,52 @@ class TableWriter(DataSourceArrowWriter):
                  card("NAXIS2", rows), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(self.layout))]
         for i, (name, tform, _) in enumerate(self.layout, 1):
             cards += [card(f"TTYPE{i}", name), card(f"TFORM{i}", tform)]
-        return header_bytes(PRIMARY) + header_bytes(cards)
+        return header_bytes(PRIMARY) + header_bytes(cards + kept_cards(self.cards))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        final = f"{self.folder}/part-{task.partitionId():05d}-{self.run}.fits"
-        draft = f"{self.folder}/_attempt-{task.taskAttemptId()}-{self.run}"
-        fs = pafs.LocalFileSystem()
-        fs.create_dir(self.folder, recursive=True)
+        fs, folder = file_system(self.folder)
+        draft = f"{folder}/_attempt-{self.run}-{task.partitionId():05d}-{task.taskAttemptId()}"
         rows = 0
-        with open(draft, "wb") as f:
-            f.write(self._head(0))
+        with tempfile.TemporaryFile() as body:  # the header needs the number of rows first
             for batch in batches:
-                f.write(encode_rows(batch, self.layout))
+                body.write(encode_rows(batch, self.layout))
                 rows += batch.num_rows
-            f.write(b"\x00" * (-f.tell() % BLOCK))
-            f.seek(0)
-            f.write(self._head(rows))
-        if rows == 0:
-            os.remove(draft)
-            return Written("", 0)
-        os.replace(draft, final)  # atomic, so a repeated attempt leaves one file
-        return Written(final, rows)
+            if rows == 0:
+                return Written("", 0)
+            body.write(b"\x00" * (-body.tell() % BLOCK))
+            body.seek(0)
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(draft) as out:
+                out.write(self._head(rows))
+                while piece := body.read(1 << 22):
+                    out.write(piece)
+        return Written(draft, rows)
+
+    def _clear(self, keep: set[str], old: bool) -> None:
+        fs, folder = file_system(self.folder)
+        for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            name = f.base_name
+            if f.path not in keep and (name.startswith(f"_attempt-{self.run}-") or (old and name.startswith("part-"))):
+                fs.delete_file(f.path)
 
     def commit(self, messages) -> None:
-        return None
+        drafts = {m.path for m in messages if m is not None and m.path}
+        self._clear(drafts, self.overwrite)
+        fs, folder = file_system(self.folder)
+        for draft in sorted(drafts):
+            part = draft.rsplit("/", 1)[1].split("-")[2]
+            fs.move(draft, f"{folder}/part-{part}-{self.run}.fits")
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clear(set(), False)
 
 
 class FitsTableSink(DataSource):
     """Folder of binary-table files, one per non-empty task. Options: path,
-    width.<column> for strings."""
+    width.<column> for strings, cards (a JSON list of header cards to keep)."""
 
     @classmethod
     def name(cls):
@@ -176,11 +207,13 @@ class FitsTableSink(DataSource):
         return TableWriter(dict(self.options), schema, overwrite)
 
 
-def write_table(df: DataFrame, folder: str, widths: dict[str, int] | None = None) -> None:
+def write_table(df: DataFrame, folder: str, widths: dict[str, int] | None = None, cards: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """Write the rows; ``cards`` are those of the table they came from. A second
+    run replaces the files of the first unless ``mode`` is append."""
     from ..sources.fits import register
 
     register(df.sparkSession)
-    writer = df.write.format("fits_table_sink").mode("append")
+    writer = df.write.format("fits_table_sink").mode(mode).option("cards", json.dumps(list(cards)))
     for k, v in (widths or {}).items():
         writer = writer.option(f"width.{k}", v)
     writer.save(folder)
@@ -232,33 +265,37 @@ def coadd_cards(n_inputs: int, sigma: float | None, err_mode: str, floor: float,
 
 def write_image_bands(pixels: DataFrame, folder: str, planes: Sequence[str], width: int, height: int,
                       band_rows: int = 1024, missing: float = float("nan"), cards: Sequence[str] = (),
-                      dtype: str = "float32") -> DataFrame:
-    """Write an image as horizontal band files, one extension per plane; returns
-    (path, y0, rows). A band is the unit of one task: band_rows * width pixels.
-    An image no taller than ``band_rows`` becomes a single ordinary file. Cards
-    that place the image (CRPIX2) are shifted per band."""
-    folder = folder.removeprefix("file:")
-    planes, cards = list(planes), list(cards)
+                      dtype: str = "float32", band_columns: int | None = None) -> DataFrame:
+    """Write an image as files of at most band_rows * band_columns pixels, one
+    extension per plane; returns (path, y0, rows, x0, columns). Such a block is
+    the unit of one task; without ``band_columns`` a block is as wide as the
+    image, and an image no taller than ``band_rows`` becomes a single ordinary
+    file. Cards that place the image (CRPIX1, CRPIX2) are shifted per block."""
+    planes, cards, wide = list(planes), list(cards), band_columns or width
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from ..sources.fits import card_value
 
-        y0 = int(pdf["_band"].iat[0]) * band_rows
-        rows = min(band_rows, height - y0)
-        moved = [card("CRPIX2", float(card_value(c)) - y0) if c.startswith("CRPIX2") else c for c in cards]
-        body = header_bytes([*PRIMARY, card("BANDY0", y0, "first image row of this band")])
+        y0, x0 = int(pdf["_band"].iat[0]) * band_rows, int(pdf["_block"].iat[0]) * wide
+        rows, columns = min(band_rows, height - y0), min(wide, width - x0)
+        shift = {"CRPIX1": x0, "CRPIX2": y0}
+        moved = [card(c[:6], float(card_value(c)) - shift[c[:6]]) if c[:6] in shift and c[6:8] == "  " else c for c in cards]
+        place = [card("BANDY0", y0, "first image row of this block"), card("BANDX0", x0, "first image column of this block")]
+        body = header_bytes([*PRIMARY, *place])
         for p in planes:
-            plane = np.full((rows, width), missing, dtype)
+            plane = np.full((rows, columns), missing, dtype)
             ok = pdf[p].notna().to_numpy()
-            plane[pdf["y"].to_numpy()[ok] - y0, pdf["x"].to_numpy()[ok]] = pdf[p].to_numpy()[ok]
+            plane[pdf["y"].to_numpy()[ok] - y0, pdf["x"].to_numpy()[ok] - x0] = pdf[p].to_numpy()[ok]
             body += image_hdu(plane, moved, p.upper())
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/band-{y0:08d}.fits"
-        draft = f"{path}.{uuid.uuid4().hex}"
-        with open(draft, "wb") as f:
-            f.write(body)
-        os.replace(draft, path)
-        return pd.DataFrame({"path": [path], "y0": [y0], "rows": [rows]})
-
-    keyed = pixels.select("y", "x", *planes).withColumn("_band", F.floor(F.col("y") / F.lit(band_rows)).cast("int"))
-    return keyed.groupBy("_band").applyInPandas(run, "path string, y0 int, rows int")
+        fs, where = file_system(folder.rstrip("/"))
+        fs.create_dir(where, recursive=True)
+        name = f"band-{y0:08d}.fits" if band_columns is None else f"band-{y0:08d}-{x0:08d}.fits"
+        draft = f"{where}/_attempt-{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as out:
+            out.write(body)
+        fs.move(draft, f"{where}/{name}")  # a repeated attempt replaces equal bytes
+        return pd.DataFrame({"path": [f"{folder.rstrip('/')}/{name}"], "y0": [y0], "rows": [rows], "x0": [x0], "columns": [columns]})
+
+    keyed = pixels.select("y", "x", *planes).withColumns({
+        "_band": F.floor(F.col("y") / F.lit(band_rows)).cast("int"), "_block": F.floor(F.col("x") / F.lit(wide)).cast("int")})
+    return keyed.groupBy("_band", "_block").applyInPandas(run, "path string, y0 int, rows int, x0 int, columns int")

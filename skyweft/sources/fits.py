@@ -1,7 +1,9 @@
 """FITS readers as Python Data Sources: headers, binary tables, image blocks.
 
-Tables are read by row range and images by row band, so one large file is many
-tasks; only the requested columns or rows are decoded.
+Files are planned as byte ranges from their sizes alone, so one large file is
+many tasks and the driver opens only the first table for the schema. A task reads
+the table rows, or the image bands, that begin in its range; only the requested
+columns or rows are decoded.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # The file format.
 BLOCK = 2880
 CARD = 80
-ROWS_PER_CHUNK = 200_000
+RANGE_BYTES = 64 << 20
 TFORM = re.compile(r"(\d*)([LXBIJKAEDCMPQ])")
 TFORM_BYTES = {"L": 1, "X": 1, "B": 1, "A": 1, "I": 2, "J": 4, "K": 8, "E": 4, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}
 TFORM_NUMPY = {"B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "C": ">f4", "M": ">f8", "L": "u1"}
@@ -265,45 +267,58 @@ def find_table(path: str) -> Hdu:
 
 
 @dataclass
-class RowRange(InputPartition):
+class ByteRange(InputPartition):
+    """The rows of a file that begin in [low, high). Planning needs only sizes;
+    every task reads the headers of its own file."""
+
     path: str
-    data_start: int
-    row_bytes: int
-    first: int
-    rows: int
+    low: int
+    high: int
+
+
+def byte_ranges(paths: list[str], size: int) -> list[InputPartition]:
+    out: list[InputPartition] = []
+    for path in paths:
+        fs, where = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        total = max(1, fs.get_file_info(where).size)
+        out += [ByteRange(path, low, low + size) for low in range(0, total, size)]
+    return out
+
+
+def rows_beginning(part: ByteRange, start: int, row_bytes: int, rows: int) -> tuple[int, int]:
+    """First and end row of those that begin in the byte range."""
+    first, end = (min(rows, max(0, -((start - b) // row_bytes))) for b in (part.low, part.high))
+    return first, end
 
 
 class TableReader(DataSourceReader):
-    def __init__(self, paths, wanted, rows_per_chunk):
-        self.paths, self.wanted, self.chunk = paths, wanted, rows_per_chunk
+    def __init__(self, paths, wanted, range_bytes):
+        self.paths, self.wanted, self.range_bytes = paths, wanted, range_bytes
 
     def partitions(self):
-        out = []
-        for p in self.paths:
-            hdu = find_table(p)
-            rows, size = int(hdu.header["NAXIS2"]), int(hdu.header["NAXIS1"])
-            out += [RowRange(p, hdu.data_start, size, first, min(self.chunk, rows - first))
-                    for first in range(0, rows, self.chunk)]
-        return out or [RowRange(self.paths[0], 0, 1, 0, 0)]
+        return byte_ranges(self.paths, self.range_bytes)
 
     def read(self, part):
-        columns = {c.name: c for c in table_columns(find_table(part.path).header)}
-        step = max(1, (8 << 20) // part.row_bytes)  # about 8 MB per batch
+        hdu = find_table(part.path)
+        columns = {c.name: c for c in table_columns(hdu.header)}
+        row_bytes = int(hdu.header["NAXIS1"])
+        begin, end = rows_beginning(part, hdu.data_start, row_bytes, int(hdu.header["NAXIS2"]))
+        step = max(1, (8 << 20) // row_bytes)  # about 8 MB per batch
         with open_input(part.path) as f:
-            for first in range(part.first, part.first + part.rows, step):
-                n = min(step, part.first + part.rows - first)
-                f.seek(part.data_start + first * part.row_bytes)
-                raw = f.read(n * part.row_bytes)
-                if len(raw) != n * part.row_bytes:
+            for first in range(begin, end, step):
+                n = min(step, end - first)
+                f.seek(hdu.data_start + first * row_bytes)
+                raw = f.read(n * row_bytes)
+                if len(raw) != n * row_bytes:
                     raise ValueError(f"truncated table data at row {first}")
-                rows = np.frombuffer(raw, "u1").reshape(n, part.row_bytes)
+                rows = np.frombuffer(raw, "u1").reshape(n, row_bytes)
                 arrays = [columns[w].decode(rows) for w in self.wanted]
                 yield pa.RecordBatch.from_arrays(arrays, self.wanted)
 
 
 class FitsTableSource(DataSource):
     """Rows of the first binary table. Options: path, pattern, columns (comma
-    list; nothing else is decoded), rowsPerChunk."""
+    list; nothing else is decoded), rangeBytes."""
 
     @classmethod
     def name(cls):
@@ -328,25 +343,12 @@ class FitsTableSource(DataSource):
         return ", ".join(f"`{c.name}` {c.sql}" for c in self._wanted())
 
     def reader(self, schema):
-        chunk = int(self.options.get("rowsPerChunk", ROWS_PER_CHUNK))
-        return TableReader(self._paths(), [f.name for f in schema.fields], chunk)
+        size = int(self.options.get("rangeBytes", RANGE_BYTES))
+        return TableReader(self._paths(), [f.name for f in schema.fields], size)
 
 
 # -- images ---------------------------------------------------------------------------
 
-@dataclass
-class Band(InputPartition):
-    path: str
-    hdu: int
-    start: int
-    bitpix: int
-    width: int
-    y0: int
-    y1: int
-    bscale: float
-    bzero: float
-
-
 class ImageReader(DataSourceReader):
     def __init__(self, paths, options):
         self.paths, self.o = paths, options
@@ -361,45 +363,48 @@ class ImageReader(DataSourceReader):
         raise ValueError(f"no 2-D image HDU {wanted!r} in {path}")
 
     def partitions(self):
-        size = int(self.o.get("block", 256))
-        out = []
-        for p in self.paths:
-            hdu = self._choose(p)
-            h, w = hdu.shape[-2:]
-            planes = int(np.prod(hdu.shape[:-2], dtype=int))
-            plane = {"first": 0, "last": planes - 1}.get(self.o.get("plane", "first"))
-            if self.o.get("plane") == "squeeze":
-                if planes != 1:
-                    raise ValueError(f"{p} is a cube of {planes} planes")
-                plane = 0
-            bitpix = int(hdu.header["BITPIX"])
-            start = hdu.data_start + plane * h * w * abs(bitpix) // 8
-            lo, hi = int(self.o.get("y0", 0)), min(h, int(self.o.get("y1", h)))
-            raw = self.o.get("scaled", "true").lower() == "false"
-            scale = (1.0, 0.0) if raw else (float(hdu.header.get("BSCALE", 1.0)), float(hdu.header.get("BZERO", 0.0)))
-            first = lo - lo % size
-            out += [Band(p, hdu.index, start, bitpix, w, max(lo, y), min(hi, y + size), *scale)
-                    for y in range(first, hi, size)]
-        return out or [Band(self.paths[0], 0, 0, 8, 0, 0, 0, 1.0, 0.0)]
+        return byte_ranges(self.paths, int(self.o.get("rangeBytes", RANGE_BYTES)))
 
     def read(self, part):
+        """Bands of ``block`` rows whose first row begins in the byte range."""
         size = int(self.o.get("block", 256))
-        lo, hi = int(self.o.get("x0", 0)), min(part.width, int(self.o.get("x1", part.width)))
-        if part.y1 <= part.y0 or hi <= lo:
+        hdu = self._choose(part.path)
+        height, width = hdu.shape[-2:]
+        planes = int(np.prod(hdu.shape[:-2], dtype=int))
+        plane = {"first": 0, "last": planes - 1}.get(self.o.get("plane", "first"))
+        if self.o.get("plane") == "squeeze":
+            if planes != 1:
+                raise ValueError(f"{part.path} is a cube of {planes} planes")
+            plane = 0
+        bitpix = int(hdu.header["BITPIX"])
+        kind = np.dtype(BITPIX_NUMPY[bitpix])
+        start = hdu.data_start + plane * height * width * kind.itemsize
+        raw_values = self.o.get("scaled", "true").lower() == "false"
+        scale, zero = (1.0, 0.0) if raw_values else (float(hdu.header.get("BSCALE", 1.0)), float(hdu.header.get("BZERO", 0.0)))
+        blank = hdu.header.get("BLANK") if bitpix > 0 else None
+        y_low, y_high = max(0, int(self.o.get("y0", 0))), min(height, int(self.o.get("y1", height)))
+        lo, hi = max(0, int(self.o.get("x0", 0))), min(width, int(self.o.get("x1", width)))
+        if hi <= lo:
             return
-        kind = np.dtype(BITPIX_NUMPY[part.bitpix])
+        row_bytes = width * kind.itemsize
+        begin, end = rows_beginning(part, start, row_bytes, height)
         with open_input(part.path) as f:
-            f.seek(part.start + part.y0 * part.width * kind.itemsize)
-            raw = f.read((part.y1 - part.y0) * part.width * kind.itemsize)
-        band = np.frombuffer(raw, kind).reshape(part.y1 - part.y0, part.width).astype("f8")
-        band = band * part.bscale + part.bzero
-        for x in range(lo - lo % size, hi, size):
-            a, b = max(lo, x), min(hi, x + size)
-            values = pa.array(band[:, a:b].ravel(), pa.float64(), from_pandas=True)  # NaN becomes NULL
-            data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            head = [pa.array([part.path]), pa.array([part.hdu], pa.int32())]
-            ints = [pa.array([int(v)], pa.int32()) for v in (part.y0, a, part.y1 - part.y0, b - a)]
-            yield pa.RecordBatch.from_arrays([*head, *ints, data], ["path", "hdu", "y0", "x0", "height", "width", "data"])
+            for y in range(begin + -begin % size, end, size):
+                y0, y1 = max(y_low, y), min(y_high, y + size)
+                if y1 <= y0:
+                    continue
+                f.seek(start + y0 * row_bytes)
+                stored = np.frombuffer(f.read((y1 - y0) * row_bytes), kind).reshape(y1 - y0, width)
+                band = stored.astype("f8") * scale + zero
+                if blank is not None:
+                    band[stored == int(blank)] = np.nan
+                for x in range(lo - lo % size, hi, size):
+                    a, b = max(lo, x), min(hi, x + size)
+                    values = pa.array(band[:, a:b].ravel(), pa.float64(), from_pandas=True)  # NaN becomes NULL
+                    data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    head = [pa.array([part.path]), pa.array([hdu.index], pa.int32())]
+                    ints = [pa.array([int(v)], pa.int32()) for v in (y0, a, y1 - y0, b - a)]
+                    yield pa.RecordBatch.from_arrays([*head, *ints, data], ["path", "hdu", "y0", "x0", "height", "width", "data"])
 
 
 class FitsImageSource(DataSource):
@@ -433,9 +438,12 @@ def header_cards(spark: SparkSession, path: str, pattern: str = "*.fits") -> Dat
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of the table; NaN and infinities become NULL, as everywhere in the engine."""
+    from ..operators.catalog import nulls_for_nonfinite
+
     register(spark)
     reader = spark.read.format("fits_table")
-    return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
+    return nulls_for_nonfinite((reader.option("columns", ",".join(columns)) if columns else reader).load(path))
 
 
 def read_blocks(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -196,7 +196,7 @@ def test_fits_table_round_trip(spark, tmp_path):
     fits_sink.write_table(df.repartition(3), folder, {"NAME": 6})
     assert len([f for f in os.listdir(folder) if f.endswith(".fits")]) == 3
     fits.register(spark)
-    back = spark.read.format("fits_table").option("rowsPerChunk", 50).load(folder)
+    back = spark.read.format("fits_table").option("rangeBytes", 1000).load(folder)
     assert dict(back.dtypes) == {"id": "bigint", "RA": "double", "DEC": "float", "N": "int", "NAME": "string", "OK": "boolean"}
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert fits.read_table(spark, folder, ["DEC", "id"]).columns == ["DEC", "id"]
@@ -346,3 +346,38 @@ def test_incremental_coadd_equals_batch(spark, tmp_path):
     appended = str(tmp_path / "cat")
     incremental.append_catalog(stream, appended, str(tmp_path / "ck2")).awaitTermination(120)
     assert spark.read.parquet(appended).count() == 60
+
+
+def test_fits_table_writer_replaces_and_keeps_cards(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("N"), (F.col("id") * 1.5).alias("V"))
+    folder = (tmp_path / "t").as_uri()
+    source = [fits_sink.card("TTYPE1", "OLD"), fits_sink.card("NAXIS2", 7), fits_sink.card("TELESCOP", "survey"), fits_sink.card("EPOCH", 2000.0)]
+    for _ in range(2):
+        fits_sink.write_table(df.repartition(3), folder, cards=source)
+    assert fits.read_table(spark, folder).count() == 100
+    fits_sink.write_table(df.limit(5), folder, mode="append")
+    assert fits.read_table(spark, folder).count() == 105
+    cards = {r["key"]: r["value"] for r in fits.header_cards(spark, folder).where("hdu = 1").collect() if r["key"] in ("TELESCOP", "TTYPE1")}
+    assert cards == {"TELESCOP": "survey", "TTYPE1": "N"}
+    assert not [f for f in os.listdir(tmp_path / "t") if f.startswith("_attempt")]
+
+
+def test_fits_nonfinite_and_blank_become_null(spark, tmp_path):
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 4.0)], "N long, V double")
+    fits_sink.write_table(df, str(tmp_path / "n"))
+    assert sorted((r["N"], r["V"]) for r in fits.read_table(spark, str(tmp_path / "n")).where("V is not null").collect()) == [(3, 4.0)]
+    head = [fits_sink.card("SIMPLE", True), fits_sink.card("BITPIX", 16), fits_sink.card("NAXIS", 2), fits_sink.card("NAXIS1", 2),
+            fits_sink.card("NAXIS2", 2), fits_sink.card("BLANK", -9), fits_sink.card("BSCALE", 2.0)]
+    (tmp_path / "b.fits").write_bytes(fits_sink.header_bytes(head) + fits_sink.padded(np.array([[1, -9], [3, 4]], ">i2").tobytes()))
+    assert list(fits.read_blocks(spark, str(tmp_path / "b.fits")).first()["data"]) == [2.0, None, 6.0, 8.0]
+
+
+def test_image_in_column_blocks(spark, tmp_path):
+    px = spark.range(12 * 10).select((F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"), F.col("id").cast("double").alias("sci"))
+    files = fits_sink.write_image_bands(px, str(tmp_path / "i"), ["sci"], 10, 12, band_rows=8, band_columns=6,
+                                        cards=[fits_sink.card("CRPIX1", 3.0), fits_sink.card("CRPIX2", 9.0)]).collect()
+    assert sorted((r["y0"], r["rows"], r["x0"], r["columns"]) for r in files) == [(0, 8, 0, 6), (0, 8, 6, 4), (8, 4, 0, 6), (8, 4, 6, 4)]
+    last = next(r["path"] for r in files if (r["y0"], r["x0"]) == (8, 6))
+    assert {(r["y"], r["x"]): r["v"] for r in fits.read_pixels(spark, last, hdu="SCI").collect()}[1, 2] == 98.0
+    head = fits.image_header(last, 1)
+    assert head["CRPIX1"] == -3.0 and head["CRPIX2"] == 1.0
