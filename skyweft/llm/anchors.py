@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,6 +268,19 @@ def half_reach(reach: int) -> int:
     return (reach + 1) // 2
 
 
+def packed_text(text: str) -> bytes:
+    """Text that still has to travel, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(text.encode("utf-8", "replace"))
+
+
+def take_text(row: dict) -> bytes:
+    """The row's text in UTF-8; it leaves the row."""
+    packed = row.pop("packed", None)
+    if packed is not None:
+        return zstandard.ZstdDecompressor().decompress(packed)
+    return row.pop("text").encode("utf-8", "replace")
+
+
 def covered(starts_from: np.ndarray, starts_to: np.ndarray, size: int) -> np.ndarray:
     """Boolean array: index inside one of the ranges [from, to)."""
     steps = np.zeros(size + 1, np.int64)

@@ -64,7 +64,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: int = 1 << 18) -> Iterator
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             for row in batch.slice(at, 64).to_pylist():
-                cut.append(words_of(row.pop("text")))
+                cut.append(anchors.take_text(row).split())
                 rows.append(row)
                 held += len(cut[-1])
                 if held >= words:
@@ -151,22 +151,23 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
     result = RESULT + ", kept string" * with_text
-    carried = "doc bigint, tag int, text string, marks array<bigint>, open boolean"
+    carried = "doc bigint, tag int, packed binary, marks array<bigint>, open boolean"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish texts without open windows; pass the others on."""
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                made, extra = [], {"doc": [], "tag": [], "text": [], "marks": [], "open": []}
+                made, extra = [], {"doc": [], "tag": [], "packed": [], "marks": [], "open": []}
                 for row in batch.slice(at, 256).to_pylist():
                     words = words_of(row["text"])
                     sure, maybe = _starts(row["marks"], len(words))
                     left = bool(maybe.any())
                     made.append({"doc_id": row["doc_id"], "n_words": 0, "n_removed": 0, "kept": b""} if left else _result(row["doc_id"], words, sure))
-                    for k in ("doc", "tag", "text", "marks"):
+                    for k in ("doc", "tag", "marks"):
                         extra[k].append(row[k] if left else None)
+                    extra["packed"].append(anchors.packed_text(row["text"]) if left else None)
                     extra["open"].append(left)
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [*digest(made), *[pa.array(v, k) for v, k in zip(extra.values(), kinds, strict=True)]], names=[*names, *extra]
                 )
@@ -174,7 +175,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
     joined = rows.join(marks, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "text", "marks")
     joined.mapInArrow(first, f"{result}, {carried}").write.partitionBy("open").parquet(target)
     stored = spark.read.schema(f"{result}, {carried}").parquet(target)
-    undecided = stored.where("open").select("doc_id", "doc", "tag", "text", "marks")
+    undecided = stored.where("open").select("doc_id", "doc", "tag", "packed", "marks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
 
     # The 128-bit window hash takes the places of anchor and context.
     none = np.zeros(0, np.int64)
-    opened = undecided.select("doc", "tag", "text", "marks").mapInArrow(windows, anchors.ROWS)
+    opened = undecided.select("doc", "tag", "packed", "marks").mapInArrow(windows, anchors.ROWS)
     repeats = anchors.per_document(anchors.decide(opened, within=False).where(F.col("state") == anchors.SURE)).withColumnRenamed("marks", "starts")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +203,11 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
             for at in range(0, batch.num_rows, 256):
                 made = []
                 for row in batch.slice(at, 256).to_pylist():
-                    words = words_of(row["text"])
+                    words = anchors.take_text(row).split()
                     sure = _starts(row["marks"], len(words))[0]
                     sure[np.array(row["starts"] or [], np.int64) >> 3] = True
                     made.append(_result(row["doc_id"], words, sure))
                 yield pa.RecordBatch.from_arrays(digest(made), names=names)
 
-    late = undecided.join(repeats, ["doc", "tag"], "left").select("doc_id", "text", "marks", "starts").mapInArrow(second, result)
+    late = undecided.join(repeats, ["doc", "tag"], "left").select("doc_id", "packed", "marks", "starts").mapInArrow(second, result)
     return stored.where("not open").select(*names).unionByName(late)

@@ -110,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], lis
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             for row in batch.slice(at, 64).to_pylist():
-                texts.append(row.pop("text").encode("utf-8", "replace"))
+                texts.append(anchors.take_text(row))
                 rows.append(row)
                 held += len(texts[-1])
                 if held >= CHUNK_BYTES:
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
     marks = anchors.per_document(anchors.decide(anchor_rows(rows, hot), within=True))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
     result = RESULT + ", kept binary" * with_text
-    carried = "doc bigint, tag int, text string, marks array<bigint>, open boolean"
+    carried = "doc bigint, tag int, packed binary, marks array<bigint>, open boolean"
 
     def digest(made: list[dict]) -> list[pa.Array]:
         out = [pa.array([m[k] for m in made], pa.int64()) for k in names[:4]]
@@ -356,16 +356,17 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
         """Finish texts without open windows; pass the others on."""
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                made, extra = [], {"doc": [], "tag": [], "text": [], "marks": [], "open": []}
+                made, extra = [], {"doc": [], "tag": [], "packed": [], "marks": [], "open": []}
                 for row in batch.slice(at, 256).to_pylist():
                     text = row["text"].encode("utf-8", "replace")
                     sure, maybe, _ = _starts(row["marks"], len(text))
                     left = bool(maybe.any())
                     made.append({"doc_id": row["doc_id"], "n_bytes": 0, "n_removed": 0, "n_spans": 0, "kept": b""} if left else _result(row["doc_id"], text, sure))
-                    for k in ("doc", "tag", "text", "marks"):
+                    for k in ("doc", "tag", "marks"):
                         extra[k].append(row[k] if left else None)
+                    extra["packed"].append(anchors.packed_text(row["text"]) if left else None)
                     extra["open"].append(left)
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [*digest(made), *[pa.array(v, k) for v, k in zip(extra.values(), kinds, strict=True)]], names=[*names, *extra]
                 )
@@ -373,7 +374,7 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
     joined = rows.join(marks, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "text", "marks")
     joined.mapInArrow(first, f"{result}, {carried}").write.partitionBy("open").parquet(target)
     stored = spark.read.schema(f"{result}, {carried}").parquet(target)
-    undecided = stored.where("open").select("doc_id", "doc", "tag", "text", "marks")
+    undecided = stored.where("open").select("doc_id", "doc", "tag", "packed", "marks")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per open anchor: the bytes of its windows that are not settled."""
@@ -400,7 +401,8 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 )
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by anchor: whole anchors are gathered to shards and sorted."""
+        """Rows sorted by anchor: whole anchors are gathered to shards and sorted.
+        Repeats come out as runs of starts."""
         group: list[tuple[int, int, bytes]] = []
         shard: list[tuple[int, int, bytes]] = []
         held, current = 0, None
@@ -411,7 +413,10 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
                 found = repeated_windows(list(c), np.array(d, np.int64), np.array(t, np.int64))
                 shard.clear()
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), anchors.SURE, np.int32))], names=["doc", "at", "state"])
+                    new = np.concatenate([[True], (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] != found[:-1, 1] + 1)])
+                    first = np.flatnonzero(new)
+                    size = np.diff(np.append(first, len(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found[first, 0]), pa.array(found[first, 1]), pa.array(size)], names=["doc", "at", "size"])
 
         for batch in batches:
             for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -428,20 +433,23 @@ def remove_repeats(docs: DataFrame, target: str, id_col: str = "doc_id", text_co
             shard += group
         yield from solve()
 
-    dealt = undecided.select("doc", "tag", "text", "marks").mapInArrow(contexts, "ahash bigint, doc bigint, at bigint, context binary")
+    dealt = undecided.select("doc", "tag", "packed", "marks").mapInArrow(contexts, "ahash bigint, doc bigint, at bigint, context binary")
     sorted_shards = dealt.repartition("ahash").sortWithinPartitions("ahash", "doc", "at")
-    repeats = anchors.per_document(sorted_shards.mapInArrow(shards, "doc bigint, at bigint, state int").distinct()).withColumnRenamed("marks", "starts")
+    runs = sorted_shards.mapInArrow(shards, "doc bigint, at bigint, size bigint")
+    place = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), "size")
+    repeats = runs.groupBy("doc", F.shiftright("at", 32).cast("int").alias("tag")).agg(F.collect_list(place).alias("starts"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 made = []
                 for row in batch.slice(at, 256).to_pylist():
-                    text = row["text"].encode("utf-8", "replace")
+                    text = anchors.take_text(row)
                     sure = _starts(row["marks"], len(text))[0]
-                    sure[np.array(row["starts"] or [], np.int64) >> 3] = True
+                    for run in row["starts"] or []:
+                        sure[run["first"] : run["first"] + run["size"]] = True
                     made.append(_result(row["doc_id"], text, sure))
                 yield pa.RecordBatch.from_arrays(digest(made), names=names)
 
-    late = undecided.join(repeats, ["doc", "tag"], "left").select("doc_id", "text", "marks", "starts").mapInArrow(second, result)
+    late = undecided.join(repeats, ["doc", "tag"], "left").select("doc_id", "packed", "marks", "starts").mapInArrow(second, result)
     return stored.where("not open").select(*names).unionByName(late)
