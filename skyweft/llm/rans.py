@@ -47,6 +47,8 @@ FILE_TOKENS = 1 << 22
 CACHED_PIECES = 1_000_000
 # Cutting before a space that a visible character follows never changes the ids.
 _CUT = re.compile(r" (?=\S)")
+#: After letters, each of these is a token sequence of its own.
+_ENDINGS = ".,;:!?"
 
 
 # -- coder ------------------------------------------------------------------
@@ -165,6 +167,7 @@ class PieceEncoder:
         self.token_bytes = np.array([len(self.library.id_to_token(i)) for i in range(self.size)], np.int64)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.endings = {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _ENDINGS}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -194,7 +197,10 @@ class PieceEncoder:
         first, later = self.first, self.later
         for piece in {c[0] for c in cut if c}.difference(first):
             self._learn(first, [piece], "")
-        self._learn(later, list(set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(later)), " ")
+        new = set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(later)
+        ended = [p for p in new if p[-1] in self.endings and p[:-1].isalpha()]
+        self._learn(later, list(new.difference(ended).union({p[:-1] for p in ended}.difference(later))), " ")
+        later.update((p, later[p[:-1]] + self.endings[p[-1]]) for p in ended)
         mark, out = np.array([end], "<u4").tobytes(), []
         for text, pieces, w in zip(texts, cut, whole, strict=True):
             if w:
