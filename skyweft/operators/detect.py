@@ -22,7 +22,7 @@ from ..plans.ranking import with_row_number
 from ..plans.skew import salted_join
 from .coadd import clip_array
 from .graph import connected_components
-from .stats import clipped_stats
+from .stats import clipped_stats, clipped_stats_by
 from .tiles import in_core
 
 TILE = 256
@@ -207,7 +207,7 @@ def label_components(pixels: DataFrame, connectivity: int = 8, image: Sequence[s
 def segment(pixels: DataFrame, threshold: Column | float, npixels: int, connectivity: int = 8,
             image: Sequence[str] = (), value: str = "v", tile: int = TILE) -> DataFrame:
     """Components of at least ``npixels`` pixels above the threshold, labelled
-    1..n in raster order of their first pixel (the seed).
+    1..n in raster order of their first pixel (the seed), in each image.
 
     Sizes, roots and labels are worked out on tile labels; the pixels are
     shuffled once to be labelled and joined once to their label.
@@ -222,6 +222,9 @@ def segment(pixels: DataFrame, threshold: Column | float, npixels: int, connecti
         .select(*image, "local", F.coalesce("root", "local").alias("root"), "_n"), "parts")
     whole = parts.groupBy(*image, "root").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= npixels)
     numbered = with_row_number(whole.select(*image, "root"), "label", [*image, "root"])
+    if image:
+        before = numbered.groupBy(*image).agg((F.min("label") - 1).alias("_before"))
+        numbered = salted_join(numbered, before, image, "inner", spread_by=("root",)).withColumn("label", F.col("label") - F.col("_before")).drop("_before")
     seed_x = F.pmod("root", F.lit(Y_SHIFT))
     labels = salted_join(parts.drop("_n"), numbered, [*image, "root"], "inner").select(
         *image, "local", "label", F.floor((F.col("root") - seed_x) / F.lit(Y_SHIFT)).cast("int").alias("seed_y"),
@@ -338,21 +341,37 @@ def merge_catalogs(basic: DataFrame, extended: DataFrame, seq: str, prefix: str
 
 # -- whole flows ------------------------------------------------------------------------
 
-def detect_sources(pixels: DataFrame, cfg: Detection = Detection()) -> tuple[DataFrame, dict[str, float]]:
+def detect_sources(
+    pixels: DataFrame, cfg: Detection = Detection(), image: Sequence[str] = ()
+) -> tuple[DataFrame, dict[str, float] | DataFrame]:
     """Clipped threshold, smoothing, segmentation: (labelled pixels with the
-    original values, statistics). No source gives no rows."""
-    stats = clipped_stats(pixels, "v", 3.0)
-    if not stats["n"]:
-        raise ValueError("image has no finite pixels")
-    threshold = stats["median"] + cfg.threshold_sigma * stats["std"]
-    filled = pixels.withColumn("v", F.coalesce(F.col("v"), F.lit(stats["median"])))
-    seen = smooth(filled, cfg.smooth_fwhm)
-    gaps = pixels.where(F.col("v").isNull()).select("y", "x")
+    original values, statistics). No source gives no rows. With ``image`` columns
+    every image has its own statistics, threshold and labels, all in one plan;
+    the statistics are then a table with one row per image."""
+    image = list(image)
+    if not image:
+        stats = clipped_stats(pixels, "v", 3.0)
+        if not stats["n"]:
+            raise ValueError("image has no finite pixels")
+        stats = {**stats, "threshold": stats["median"] + cfg.threshold_sigma * stats["std"]}
+        filled = pixels.withColumn("v", F.coalesce(finite("v"), F.lit(stats["median"])))
+        limit = F.lit(stats["threshold"])
+    else:
+        stats = clipped_stats_by(pixels, "v", image, 3.0).withColumn("threshold", F.col("median") + cfg.threshold_sigma * F.col("std"))
+        levels = stats.select(*image, "median", "threshold")
+        filled = salted_join(pixels, levels, image, "inner", spread_by=("y", "x")).select(
+            *image, "y", "x", F.coalesce(finite("v"), F.col("median")).alias("v"))
+        limit = F.lit(0.0)
+    keys = [*image, "y", "x"]
+    seen = smooth(filled, cfg.smooth_fwhm, image)
+    if image:  # one limit for all: values above their own image's threshold
+        seen = salted_join(seen, levels, image, "inner", spread_by=("y", "x")).select(*keys, (F.col("v") - F.col("threshold")).alias("v"))
+    gaps = pixels.where(finite("v").isNull()).select(*keys)
     if not gaps.isEmpty():  # filled pixels may not be detected
-        seen = seen.join(gaps, ["y", "x"], "left_anti")
-    found = segment(seen, threshold, cfg.npixels, cfg.connectivity).drop("v")
-    measured = cut_lineage(found.join(filled.select("y", "x", "v"), ["y", "x"]), "segments")
-    return measured, {**stats, "threshold": threshold}
+        seen = seen.join(gaps, keys, "left_anti")
+    found = segment(seen, limit, cfg.npixels, cfg.connectivity, image).drop("v")
+    measured = cut_lineage(found.join(filled.select(*keys, "v"), keys), "segments")
+    return measured, stats
 
 
 def subtract_background(pixels: DataFrame, cfg: Extraction = Extraction(), image: Sequence[str] = ()) -> DataFrame:

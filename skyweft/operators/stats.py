@@ -182,6 +182,35 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
     return now
 
 
+def clipped_stats_by(
+    df: DataFrame, value: str, by: Sequence[str], sigma: float = 3.0, max_iters: int = 5, direct: int = DIRECT
+) -> DataFrame:
+    """The same per group: (by..., n, mean, std, median), one row per group with
+    finite values. A round narrows every group's bounds; groups that no longer
+    lose values keep theirs."""
+    by = list(by)
+    data = df.select(*by, finite(value).alias("_v")).where(F.col("_v").isNotNull())
+
+    def measure(kept: DataFrame) -> DataFrame:
+        sums = kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+        return cut_lineage(sums.join(exact_quantiles(kept, "_v", [0.5], ["median"], by, direct), by), "clipped")
+
+    now, total, bounds = measure(data), None, None
+    for _ in range(max_iters):
+        rows = now.agg(F.sum("n")).first()[0]
+        if rows is None or rows == total:
+            break
+        half = F.lit(float(sigma)) * F.col("std")
+        new = now.select(*by, (F.col("median") - half).alias("_lo"), (F.col("median") + half).alias("_hi"))
+        if bounds is not None:
+            old = bounds.select(*by, F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
+            new = new.join(old, by).select(*by, F.greatest("_lo", "_a").alias("_lo"), F.least("_hi", "_b").alias("_hi"))
+        bounds, total = cut_lineage(new, "bounds", supersedes=bounds), rows
+        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        now = measure(salted_join(data, bounds, by, "inner", inside).drop("_lo", "_hi"))
+    return now
+
+
 def stretch_channels(
     channels: DataFrame,
     names: Sequence[str],

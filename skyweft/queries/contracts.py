@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..config import SourceCutout
+from ..config import Detection, SourceCutout
 from ..functions import sky
 from ..operators import cutouts, detect, stats, tiles, xmatch
 from ..plans.lineage import checkpoint_root
@@ -129,3 +129,33 @@ def spread_properties(spark, sf):
         'even_status', case when o_orderkey % 2 = 0 then o_orderstatus end,
         'third_customer', case when o_orderkey % 3 = 0 then cast(o_custkey as string) end), (k, v) -> v is not null) as props""")
     return key_union(rows, "props")
+
+
+_EXPOSURES = """(select cast(l_linenumber as integer) as exposure, cast(l_orderkey % 120 as integer) as y, cast(l_partkey % 100 as integer) as x,
+   avg(l_extendedprice/997e0 + case when l_extendedprice > 90000e0 then 300e0 else 0e0 end) as v from lineitem group by 1, 2, 3)"""
+_CLIPPED = ["k0 as (select exposure, v from px)"] + [
+    f"""b{i} as (select exposure, quantile_cont(v, 0.5) as c, stddev_pop(v)*3e0 as h from k{i} group by exposure),
+    k{i + 1} as (select k.exposure, k.v from k{i} k join b{i} b on b.exposure = k.exposure where k.v between c - h and c + h)""" for i in range(5)]
+
+
+@query(f"""with recursive px as materialized {_EXPOSURES}, {', '.join(_CLIPPED)},
+  t as materialized (select exposure, quantile_cont(v, 0.5) + 3e0*stddev_pop(v) as limit_ from k5 group by exposure),
+  a as materialized (select p.exposure, cast(y as bigint)*4294967296 + x as id, y, x, v from px p join t on t.exposure = p.exposure where v > limit_),
+  e as materialized (select p.exposure, p.id as u, q.id as w from a p join a q on q.exposure = p.exposure
+     and q.y between p.y - 1 and p.y + 1 and q.x between p.x - 1 and p.x + 1 and p.id <> q.id),
+  r(exposure, u, w) as (select exposure, id, id from a union select r.exposure, r.u, e.w from r join e on e.u = r.w and e.exposure = r.exposure),
+  c as (select exposure, u as id, min(w) as root from r group by 1, 2),
+  s as (select exposure, root, count(*) as n, row_number() over (partition by exposure order by root) as label from c group by 1, 2 having count(*) >= 2)
+  select a.exposure, s.label, count(*) as npix, round(avg(a.x), 6) as xcentroid_pix, round(avg(a.y), 6) as ycentroid_pix, round(sum(a.v), 4) as flux
+  from a join c on c.id = a.id and c.exposure = a.exposure join s on s.root = c.root and s.exposure = a.exposure group by 1, 2""")
+def detected_sources_per_image(spark, sf):
+    """Every exposure is an image with its own clipped threshold and labels."""
+    pixels = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "cast(l_linenumber as int) as exposure", "cast(l_orderkey % 120 as int) as y", "cast(l_partkey % 100 as int) as x",
+        "l_extendedprice/997e0 + case when l_extendedprice > 90000e0 then 300e0 else 0e0 end as v",
+    ).groupBy("exposure", "y", "x").agg(F.avg("v").alias("v"))
+    found, _ = detect.detect_sources(pixels, Detection(threshold_sigma=3.0, npixels=2, smooth_fwhm=0.0), ["exposure"])
+    sums = found.groupBy("exposure", "label").agg(F.round(F.sum("v"), 4).alias("flux"))
+    rows = detect.basic_catalog(found, ["exposure", "label"]).join(sums, ["exposure", "label"])
+    return rows.select("exposure", "label", "npix", F.round("xcentroid_pix", 6).alias("xcentroid_pix"),
+                       F.round("ycentroid_pix", 6).alias("ycentroid_pix"), "flux")

@@ -261,3 +261,25 @@ def test_metric_failures_stay_in_their_row(spark):
     assert out[1]["ok"] == 1.0 and out[1]["metrics"] == {"sum": 3.0, "n": 2.0}
     assert out[2]["ok"] == 0.0 and out[2]["error"] == "measure_failed: empty" and out[2]["timeout"] == 0.0
     assert out[3]["timeout"] == 1.0 and out[3]["error"] == "timeout_after_0.30s"
+
+
+def test_many_images_equal_one_at_a_time(spark):
+    """Each image keeps its own statistics, threshold and labels."""
+    rng = np.random.default_rng(11)
+    frames = {}
+    for k, (level, noise) in enumerate(((10.0, 1.0), (500.0, 20.0), (0.0, 0.1))):
+        img = rng.normal(level, noise, (60, 50))
+        for y, x in rng.integers(5, 45, (6, 2)):
+            img[y : y + 4, x : x + 4] += 40 * noise
+        img[3, 4] = np.nan
+        frames[k] = img
+    rows = [(k, y, x, None if np.isnan(v) else float(v)) for k, img in frames.items() for (y, x), v in np.ndenumerate(img)]
+    table = spark.createDataFrame(rows, "frame int, y int, x int, v double")
+    cfg = Detection(threshold_sigma=5.0, npixels=4)
+    found, stats = detect.detect_sources(table, cfg, ["frame"])
+    got = {(r["frame"], r["y"], r["x"]): r["label"] for r in found.collect()}
+    levels = {r["frame"]: r for r in stats.collect()}
+    for k in frames:
+        one, s = detect.detect_sources(table.where(F.col("frame") == k).drop("frame"), cfg)
+        assert {(k, r["y"], r["x"]): r["label"] for r in one.collect()} == {p: v for p, v in got.items() if p[0] == k}
+        assert levels[k]["threshold"] == pytest.approx(s["threshold"]) and levels[k]["n"] == s["n"]
