@@ -71,7 +71,9 @@ def weighted_coadd(
 def clip_array(sigma: float, iters: int) -> Column:
     """Iterated median +- sigma clip of the sorted array ``s`` of (x, w)."""
     n = "size(acc)"
-    center = f"(get(acc, int(({n} - 1) div 2)).x + get(acc, int({n} div 2)).x) / 2"
+    # Half way from the lower to the upper middle value, as the quantiles blend.
+    low, high = f"get(acc, int(({n} - 1) div 2)).x", f"get(acc, int({n} div 2)).x"
+    center = f"({low} + 0.5D * ({high} - {low}))"
     mean = f"(aggregate(acc, 0D, (t, e) -> t + e.x) / {n})"
     return F.expr(f"""
       aggregate(sequence(1, {int(iters)}), s, (acc, i) ->
@@ -122,7 +124,7 @@ def _clip_deep(samples: DataFrame, cfg: Coadd, by: list[str]) -> DataFrame:
         bounds = limits.select(*by, (F.col("_med") - half).alias("_lo"), (F.col("_med") + half).alias("_hi"))
         before = current.count()
         inside = F.col("sci").between(F.col("_lo"), F.col("_hi"))
-        current = cut_lineage(salted_join(current, bounds, by, "inner", inside).drop("_lo", "_hi"), "deep")
+        current = cut_lineage(salted_join(current, bounds, by, "inner", inside).drop("_lo", "_hi"), "deep", supersedes=current)
         if current.count() == before:
             break
     return current.groupBy(*by).agg(

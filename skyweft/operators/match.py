@@ -121,11 +121,11 @@ def suppress_close(points: DataFrame, min_separation: float, score: str = "score
         kept = winners if kept is None else kept.unionByName(winners)
         beaten = edges.join(winners, key, "left_semi").select(*lower).distinct()
         open_points = cut_lineage(
-            open_points.join(winners, key, "left_anti").join(beaten, key, "left_anti"), "open")
+            open_points.join(winners, key, "left_anti").join(beaten, key, "left_anti"), "open", supersedes=open_points)
         edges = cut_lineage(
             edges.join(open_points, key, "left_semi")
             .join(open_points.select(*image, F.col("y").alias("y2"), F.col("x").alias("x2")),
-                  [*image, "y2", "x2"], "left_semi").select(*image, "y", "x", "y2", "x2"), "conflicts")
+                  [*image, "y2", "x2"], "left_semi").select(*image, "y", "x", "y2", "x2"), "conflicts", supersedes=edges)
     return pts.limit(0) if kept is None else pts.join(kept, key, "left_semi")
 
 
