@@ -165,13 +165,13 @@ def refine(pixels: DataFrame, candidates: DataFrame, templates: Sequence[np.ndar
     poor fits and windows that leave the image."""
     spark = pixels.sparkSession
     rows = fit_windows(templates, cfg.fit_window_scale)
-    windows = spark.createDataFrame(rows, "scale int, dy int, dx int, t double")  # size of the templates
+    windows = spark.createDataFrame(rows, "scale int, dy int, dx int, t double")  # as large as the templates; Spark sees its size
     sizes = windows.groupBy("scale").agg(F.count("*").alias("_need"))
-    wanted = candidates.join(F.broadcast(windows), "scale").select(
+    wanted = candidates.join(windows, "scale").select(
         F.col("y").alias("cy"), F.col("x").alias("cx"), "scale", "snr",
         (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "t")
     samples = wanted.join(pixels.select("y", "x", F.col("v").alias("d")), ["y", "x"])
-    fits = local_fit(samples, ["cy", "cx", "scale", "snr"]).join(F.broadcast(sizes), "scale")
+    fits = local_fit(samples, ["cy", "cx", "scale", "snr"]).join(sizes, "scale")
     good = (F.col("n") == F.col("_need")) & (F.col("fit_corr") >= cfg.min_fit_corr) & (
         F.col("fit_rms_ratio") <= cfg.max_fit_rms_ratio) & F.col("fit_amp").isNotNull()
     return fits.where(good).select(F.col("cy").alias("y"), F.col("cx").alias("x"), "snr",
