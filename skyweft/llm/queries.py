@@ -43,7 +43,19 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: SHA-1 as 160 binary digits, five at a time into the base-32 alphabet.
+ARCHIVE_SQL = """with p as (select page_id, coalesce(html, '') as h from pages),
+  f as (select h, min(page_id) as first from p group by h),
+  d as (select h, first, (unhex(sha1(h))::bit)::varchar as b from f),
+  e as (select h, first, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16*substr(b, 5*i + 1, 1)::int + 8*substr(b, 5*i + 2, 1)::int + 4*substr(b, 5*i + 3, 1)::int + 2*substr(b, 5*i + 4, 1)::int
+      + substr(b, 5*i + 5, 1)::int, 1)), '') as digest from d)
+  select page_id, strlen(p.h)::bigint as payload_bytes, digest as payload_digest,
+    case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to
+  from p join e using (h)"""
+
+
+@query(ARCHIVE_SQL)
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), target)
@@ -63,15 +75,45 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query()
+#: Windows of fifty words by list slices; a hit's words up to the next hit.
+WINDOWS_SQL = r"""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+  win as (select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50),
+  h as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as s from win),
+  f as (select s, min(doc_id) as d from h group by s),
+  hit as (select h.doc_id, i, lead(i) over (partition by h.doc_id order by i) as nxt from h join f on f.s = h.s where d < h.doc_id),
+  gone as (select doc_id, unnest(range(i, least(i + 50, coalesce(nxt, i + 50)))) as p from hit),
+  word as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+  kept as (select k.doc_id, string_agg(word, ' ' order by k.p) as t from word k anti join gone g on g.doc_id = k.doc_id and g.p = k.p group by k.doc_id)
+  select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+  from w left join (select doc_id, count(*) as n from gone group by doc_id) using (doc_id) left join kept using (doc_id)"""
+
+#: Texts in hexadecimal digits, so that cuts may fall inside a character; runs of
+#: hits merge to removed spans, and what lies between them is kept.
+BYTES_SQL = r"""with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  win as (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as i from b where len(h) >= 200),
+  s as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as k from win),
+  f as (select k, min(struct_pack(d := doc_id, i := i)) as first from s group by k),
+  hit as (select s.doc_id, s.i, lag(s.i) over w as prev, lead(s.i) over w as nxt from s join f on f.k = s.k
+    where struct_pack(d := s.doc_id, i := s.i) > first window w as (partition by s.doc_id order by s.i)),
+  run as (select doc_id, i, sum(case when prev is null or i - prev > 100 then 1 else 0 end) over (partition by doc_id order by i) as r from hit),
+  span as (select doc_id, min(i) as a, max(i) + 100 as z from run group by doc_id, r),
+  cut as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as z0 from span),
+  part as (select c.doc_id, a, substr(h, 2 * z0 + 1, 2 * (a - z0)) as t from cut c join b on b.doc_id = c.doc_id
+    union all select c.doc_id, max(z), any_value(substr(h, 2 * (select max(z) from span s where s.doc_id = c.doc_id) + 1)) from span c join b on b.doc_id = c.doc_id group by c.doc_id),
+  kept as (select doc_id, string_agg(t, '' order by a) as t from part group by doc_id)
+  select b.doc_id, len(b.h) // 2 as n_bytes, coalesce(n, 0) as n_removed, coalesce(r, 0) as n_spans, sha256(unhex(coalesce(t, b.h))) as kept_sha256
+  from b left join (select doc_id, sum(z - a)::bigint as n, count(*) as r from span group by doc_id) using (doc_id) left join kept using (doc_id)"""
+
+
+@query(WINDOWS_SQL)
 def op10_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "windows"))
 
 
 @query("""with recursive v as (
     select vec_id, embedding::double[] as e from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and list_sum(list_transform(embedding::double[], x -> x * x)) > 0),
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0),
   links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
     and list_cosine_similarity(a.e, b.e) >= 0.95e0),
   reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
@@ -98,6 +140,6 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(BYTES_SQL)
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "suffixes"))
