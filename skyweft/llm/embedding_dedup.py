@@ -200,7 +200,8 @@ def near_duplicates(
     members = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     slim = classes.select("node", "key", "copies", "first")
     rooted = slim.join(members, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join has an exchange on both sides and a large component can be split.
+    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     result = (
         rooted.join(smallest, "root").join(weights, "node", "left")
         .select("key", "component_id", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

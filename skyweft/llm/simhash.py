@@ -96,7 +96,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     members = connected_components(links(nodes.select("fp")))
     rooted = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join has an exchange on both sides and a large component can be split.
+    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     component = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
@@ -207,7 +208,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     edges = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "u bigint, v bigint")
     rooted = classes.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join has an exchange on both sides and a large component can be split.
+    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     component = rooted.join(smallest, "root").select("segments", "lanes", "component_id")
     return rows.join(component, ["segments", "lanes"]).select("doc_id", "component_id")
 
