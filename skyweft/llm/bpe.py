@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 from array import array
@@ -30,8 +31,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept per worker; the table is emptied when it grows past this.
-CACHED_PIECES = 400_000
+#: Pieces and words kept per worker. Past this the later half is dropped: what
+#: a worker met early is what it meets often.
+CACHED_PIECES = 200_000
+#: Words of up to so many characters are merged by scanning instead of a heap.
+SHORT_WORD = 48
 _END = "\n"  # stands for the end-of-word suffix; byte-level characters never include it
 # Separators that str.split() cuts at although they are no Unicode white space.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -62,7 +66,7 @@ class WordBpe:
         for text, i in [*vocab.items(), *self.special.items()]:
             self.token_text[i] = text
         self.marked = {t.removesuffix(suffix) + _END if t.endswith(suffix) and t != suffix else t: i for t, i in vocab.items()}
-        self.longest = max(map(len, self.marked))
+        self.starts = {t[:k] for t in self.marked for k in range(1, len(t) + 1)}
         n = len(self.token_text)
         self.left, self.right, self.rank = (np.full(n, -1, np.int64) for _ in range(3))
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -76,7 +80,8 @@ class WordBpe:
         self._pair_ranks = np.arange(len(keys))[order]
         self._bytes = byte_characters()
         self.sound = self._sound_tokens()
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
 
     # -- verification -------------------------------------------------------
     def _crossing_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,21 +122,36 @@ class WordBpe:
     # -- encoding -----------------------------------------------------------
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over a word whose last character is ``_END``."""
-        out, at, n, marked = [], 0, len(word), self.marked
+        out, at, n, marked, starts = [], 0, len(word), self.marked, self.starts
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if end != n - 1 and (token := marked.get(word[at:end])) is not None:
-                    out.append(token)
-                    at = end
+            best, to = None, at
+            for end in range(at + 1, n + 1):
+                part = word[at:end]
+                if part not in starts:
                     break
-            else:
+                if end != n - 1 and part in marked:  # the suffix never stands alone
+                    best, to = marked[part], end
+            if best is None:
                 raise ValueError("a byte is missing in the vocabulary")
+            out.append(best)
+            at = to
         return out
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: lowest rank first, leftmost first among equals."""
         symbols = [self.marked[c] for c in word[:-2]] + [self.marked[word[-2:]]]
-        n = len(symbols)
+        n, merges = len(symbols), self.merges
+        if n <= SHORT_WORD:
+            pairs = [merges.get(p) for p in zip(symbols, symbols[1:], strict=False)]
+            while any(pairs):
+                i = min((p[0], i) for i, p in enumerate(pairs) if p)[1]
+                symbols[i : i + 2] = [pairs[i][1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = merges.get((symbols[i - 1], symbols[i]))
+                if i < len(pairs):
+                    pairs[i] = merges.get((symbols[i], symbols[i + 1]))
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := self.merges.get((symbols[i], symbols[i + 1])))]
         heapq.heapify(heap)
@@ -166,14 +186,14 @@ class WordBpe:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
-        words: dict[str, int] = {}
-        cuts = []
-        for piece in pieces:
-            found = ["".join(map(self._bytes.__getitem__, w.encode())) + _END for w in self.words.findall(piece)]
-            cuts.append([words.setdefault(w, len(words)) for w in found])
-        tokens = self.encode_words(list(words))
+        cuts = [self.words.findall(p) for p in pieces]
+        new = list(set(itertools.chain.from_iterable(cuts)).difference(self._words))
+        stand_in = self._bytes
+        marked = [(w if w.isascii() and w.isprintable() else "".join([stand_in[b] for b in w.encode()])) + _END for w in new]
+        for word, tokens in zip(new, self.encode_words(marked), strict=True):
+            self._words[word] = array("I", tokens).tobytes()
         for piece, cut in zip(pieces, cuts, strict=True):
-            self._pieces[piece] = [t for w in cut for t in tokens[w]]
+            self._pieces[piece] = b"".join([self._words[w] for w in cut])
 
     def _segments(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """Pieces between white space, special tokens apart."""
@@ -193,29 +213,29 @@ class WordBpe:
             part = part.lower()
             yield None, [p for p in _SPACE.split(part) if p] if _NOT_SPACE.search(part) else part.split()
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text as unsigned 32-bit arrays."""
-        if len(self._pieces) > CACHED_PIECES:
-            self._pieces.clear()
+        for name in ("_pieces", "_words"):
+            if len(getattr(self, name)) > CACHED_PIECES:
+                setattr(self, name, dict(itertools.islice(getattr(self, name).items(), CACHED_PIECES // 2)))
         cut = [list(self._segments(t)) for t in texts]
         known = self._pieces
-        new = dict.fromkeys(p for segments in cut for _, pieces in segments for p in pieces if p not in known)
+        new = set(itertools.chain.from_iterable(pieces for segments in cut for _, pieces in segments)).difference(known)
         if new:
             self._learn(list(new))
         out = []
         for segments in cut:
-            ids = array("I")
+            parts = []
             for special, pieces in segments:
                 if special is not None:
-                    ids.append(special)
-                for piece in pieces:
-                    ids.extend(known[piece])
-            out.append(ids)
+                    parts.append(array("I", [special]).tobytes())
+                parts += map(known.__getitem__, pieces)
+            out.append(np.frombuffer(b"".join(parts), np.uint32))
         return out
 
-    def decode(self, ids: array) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The vocabulary file names no decoder: token texts joined by spaces."""
-        return " ".join(map(self.token_text.__getitem__, ids))
+        return " ".join(map(self.token_text.__getitem__, ids.tolist()))
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -251,13 +271,13 @@ def encode_decode(
                     text = bpe.decode(ids)
                     for name, values in made.items():
                         if name == "ids":
-                            values.append(np.frombuffer(ids, np.uint32).astype(np.int32))
+                            values.append(ids.astype(np.int32))
                         elif name == "decoded":
                             values.append(text)
                         elif name == "n_tokens":
                             values.append(len(ids))
                         elif name == "ids_sha256":
-                            values.append(hashlib.sha256(np.frombuffer(ids, np.uint32).astype("<u4").tobytes()).hexdigest())
+                            values.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                         else:
                             values.append(hashlib.sha256(text.encode()).hexdigest())
                 types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
