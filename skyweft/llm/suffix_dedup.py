@@ -43,7 +43,7 @@ REACH = LENGTH - GRAM  # a window starts at most so many bytes before its anchor
 HALF = anchors.half_reach(REACH)
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 19
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 QUEUE_ITEMS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
