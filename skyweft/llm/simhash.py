@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.lineage import cut_lineage
-from .embedding_dedup import smallest_linked
 
 SHINGLE = 3
 SEED = 42
@@ -105,9 +104,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # -- documents alike in most of their five-word shingles --------------------------
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-#: Segments of the fingerprint over words, by which candidates meet.
+#: Share of the pairs exactly at the similarity that must meet as candidates.
+RECALL = 0.99
+#: Segments in which the first round looks for close copies.
 SEGMENTS, SEGMENT_BITS = 16, 24
-#: 64-bit lanes of the fingerprint over shingles, which decides.
+#: 64-bit lanes of the fingerprint.
 LANES = 16
 BLOCK = 512
 
@@ -126,57 +127,61 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes)).view(np.uint64)
 
 
-def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(segments over the different words, lanes over the different shingles)."""
+def wide_shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different five-word shingles."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    digest = xxhash.xxh64_intdigest
     n = min(len(words), WIDE_SHINGLE) or 1
-    shingles = np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*[words[k:] for k in range(n)]))), np.uint64))
-    single = np.fromiter((digest(w, SEED) for w in set(words)), np.uint64)
-    bits = np.unpackbits(_lanes(single, 6).view(np.uint8))[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
-    return (bits.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(axis=1), _lanes(shingles, LANES)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*[words[k:] for k in range(n)]))), np.uint64))
 
 
-def most_bits(similarity: float = SIMILARITY, lanes: int = LANES) -> int:
-    """Differing bits of two equally large sets that are so similar: what to
-    expect, and 1.2 standard deviations more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * lanes
-    return round(bits * share + 1.2 * np.sqrt(bits * share * (1 - share)))
+def flipped(similarity: float = SIMILARITY) -> float:
+    """Expected share of differing bits, at most, of two sets that are so similar."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row, linking documents whose five-word
-    shingles are alike to at least ``similarity``, as far as 1024 bits tell.
+def most_bits(bits: int, similarity: float = SIMILARITY, deviations: float = 4.0) -> int:
+    """Differing bits to expect of such sets, and some standard deviations more."""
+    share = flipped(similarity)
+    return int(np.ceil(bits * share + deviations * np.sqrt(bits * share * (1 - share))))
 
-    Multi-index hashing again, for larger distances: candidates agree in one of
-    sixteen 24-bit segments (the ball of radius zero) of a fingerprint over words,
-    which an edit moves little; the complete fingerprint over shingles verifies
-    them. Buckets are compared whole, large ones in pairs of blocks, and emit one
-    row per member, never pairs."""
-    limit = most_bits(similarity)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segments_for(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits a segment, segments): about one random member a value, and at least
+    ``recall`` for a pair exactly at the similarity by balls of radius one."""
+    bits = min(24, max(12, round(np.log2(max(2, classes)))))
+    q = flipped(similarity)
+    meet = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+
+def _values(lanes: list[bytes], bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, values) of the segments of each fingerprint."""
+    rows = np.frombuffer(b"".join(lanes), np.uint8).reshape(-1, 8 * LANES)
+    cut = np.unpackbits(rows, axis=1)[:, : bits * segments].reshape(-1, segments, bits)
+    return cut, cut.astype(np.int64) @ (np.int64(1) << np.arange(bits))
+
+
+def _close_copies(classes: DataFrame) -> DataFrame:
+    """(u, v): of all classes that agree in a segment, each with the smallest one
+    that its bits put within the similarity. Buckets are compared whole, large ones
+    in pairs of blocks, and emit one row per member, never all pairs."""
+    limit = most_bits(64 * LANES, deviations=0)
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())),
-                pa.array([m[1].tobytes() for m in made], pa.binary()),
-            ], names=["doc_id", "segments", "lanes"])
+            values = _values(batch.column(1).to_pylist(), SEGMENT_BITS, SEGMENTS)[1] if len(batch) else np.zeros((0, SEGMENTS), np.int64)
+            keys = values + (np.arange(SEGMENTS, dtype=np.int64) << SEGMENT_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), SEGMENTS)), pa.array(keys.ravel())], names=["node", "key"])
 
-    read = docs.select(F.col(id_col).cast("bigint"), text_col)
-    rows = cut_lineage(read.mapInArrow(prints, "doc_id bigint, segments array<int>, lanes binary"), "wide-fingerprints")
-    # Equal fingerprints are one class, whichever texts they come from.
-    classes = rows.groupBy("segments", "lanes").agg(F.min("doc_id").alias("first"))
-    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("node", F.posexplode("segments").alias("segment", "value"))
-    sizes = entries.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    entries = classes.select("node", "lanes").mapInArrow(entered, "node bigint, key bigint")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
     sizes = cut_lineage(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "buckets")
-    spread = entries.join(sizes, ["segment", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    spread = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     units = spread.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "segment", "value", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "node")
-    units = units.join(classes.select("node", "lanes"), "node").select("segment", "value", "low", "high", "node", "lanes")
-    keys = ["segment", "value", "low", "high"]
+        "key", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "node")
+    units = units.join(classes.select("node", "lanes"), "node").select("key", "low", "high", "node", "lanes")
+    keys = ["key", "low", "high"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -186,12 +191,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             node = np.array([h[0] for h in held])
             order = np.argsort(node)
             x = np.frombuffer(b"".join([held[i][1] for i in order]), np.uint64).reshape(-1, LANES)
-            near = np.zeros((len(x), len(x)), bool)
+            first = np.zeros(len(x), np.int64)
             for at in range(0, len(x), 64):
-                near[at : at + 64] = np.bitwise_count(x[at : at + 64, None] ^ x[None]).sum(axis=2, dtype=np.int32) <= limit
+                first[at : at + 64] = (np.bitwise_count(x[at : at + 64, None] ^ x[None]).sum(axis=2, dtype=np.int32) <= limit).argmax(axis=1)
             held.clear()
-            root = smallest_linked(near)
-            return [(int(node[order[i]]), int(node[order[r]])) for i, r in enumerate(root.tolist()) if i != r]
+            return [(int(node[order[r]]), int(node[order[i]])) for i, r in enumerate(first.tolist()) if i != r]
 
         for batch in batches:
             made: list[tuple[int, int]] = []
@@ -206,12 +210,92 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(held) > 1 and (made := close()):
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in zip(*made, strict=True)], names=["u", "v"])
 
-    edges = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "u bigint, v bigint")
-    rooted = classes.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "u bigint, v bigint").distinct()
+
+
+def candidates(classes: DataFrame, bits: int, segments: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v) with u < v: classes (node, lanes, part) of different parts within one
+    bit in some segment. The side with the zero flips, as in ``links``; another 64
+    bits with a generous limit leave few chance meetings."""
+    limit = most_bits(64, similarity, 3.25)
+
+    def entered(probing: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 256):
+                    batch = whole.slice(at, 256)
+                    lanes = batch.column(1).to_pylist()
+                    cut, values = _values(lanes, bits, segments)
+                    keys = values + (np.arange(segments, dtype=np.int64) << bits)
+                    row, flips = np.repeat(np.arange(len(keys)), segments), np.zeros(keys.size, bool)
+                    keys_all = keys.ravel()
+                    if probing:
+                        d, m, b = np.nonzero(cut == 0)
+                        keys_all = np.concatenate([keys_all, keys[d, m] + (np.int64(1) << b)])
+                        row, flips = np.concatenate([row, d]), np.concatenate([flips, np.ones(len(d), bool)])
+                    last = np.frombuffer(b"".join(lanes), np.int64).reshape(-1, LANES)[:, -1]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys_all), pa.array(batch.column(0).to_numpy()[row]), pa.array(batch.column(2).to_numpy()[row]), pa.array(last[row]), pa.array(flips),
+                    ], names=["key", "node", "part", "lane", "flips"])
+
+        return classes.select("node", "lanes", "part").mapInArrow(run, "key bigint, node bigint, part bigint, lane bigint, flips boolean")
+
+    a, b = entered(True).alias("a"), entered(False).drop("flips").alias("b")
+    near = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= limit
+    once = F.col("a.flips") | (F.col("a.node") < F.col("b.node"))
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & near & once)
+    return found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs (u, v) whose fingerprints put them within the similarity."""
+    share = flipped(similarity)
+    limit = round(64 * LANES * share + 1.2 * np.sqrt(64 * LANES * share * (1 - share)))
+    lanes = rows.select("row", "lanes")
+    both = pairs.join(lanes.select(F.col("row").alias("u"), F.col("lanes").alias("x")), "u")
+    both = both.join(lanes.select(F.col("row").alias("v"), F.col("lanes").alias("y")), "v").select("u", "v", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in batch.columns[2:])
+            alike = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= limit
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    return cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row, linking documents whose five-word
+    shingles have a Jaccard similarity of at least ``similarity``.
+
+    Multi-index hashing again, for larger distances: a first round joins close
+    copies that agree in a whole segment, so that large groups of them make no
+    pairs; then all that is not joined yet is looked up by balls of radius one,
+    in as many segments as the recall asks for. The complete fingerprints verify."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [wide_shingles(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([_lanes(s, LANES).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ], names=["doc_id", "same", "lanes", "shingles"])
+
+    read = docs.select(F.col(id_col).cast("bigint"), text_col)
+    made = read.mapInArrow(prints, "doc_id bigint, same binary, lanes binary, shingles binary")
+    rows = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()), "wide-fingerprints")
+    # Equal sets are one class; the first of its rows stands for it.
+    classes = rows.groupBy("same", "lanes").agg(F.min("doc_id").alias("first"), F.min("row").alias("node"))
+    classes = cut_lineage(classes, "classes")
+    close = verified(_close_copies(classes), rows, similarity)
+    joined = connected_components(close).withColumnRenamed("root", "part")
+    parts = cut_lineage(classes.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "lanes", "part"), "parts")
+    more = verified(candidates(parts, *segments_for(parts.count(), similarity), similarity), rows, similarity)
+    rooted = classes.join(connected_components(close.unionByName(more)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Written, so that the join has an exchange on both sides and a large component can be split.
     smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    component = rooted.join(smallest, "root").select("segments", "lanes", "component_id")
-    return rows.join(component, ["segments", "lanes"]).select("doc_id", "component_id")
+    component = rooted.join(smallest, "root").select("same", "component_id")
+    return rows.select("doc_id", "same").join(component, "same").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,6 +113,30 @@ def test_keep_one_finds_edited_copies(spark, monkeypatch):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_appended_prefixed_and_replaced_blocks_are_found(spark):
+    rng = random.Random(8)
+    rows, alike, apart = [], [], []
+    for d in range(240):
+        w = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(100, 600))]
+        rows.append((d, " ".join(w)))
+        new = [f"n{rng.getrandbits(40)}" for _ in range(int(len(w) * rng.uniform(0.05, 0.24)))]
+        at = rng.randint(0, len(w) - len(new))
+        half = new[: len(new) // 2]
+        copy = [w + new, new + w, w[:at] + half + w[at + len(half) :]][d % 3]
+        rows.append((d + 1000, " ".join(copy)))
+        (alike if jaccard(*(r[1] for r in rows[-2:])) >= 0.8 else apart).append(d)
+    assert len(alike) > 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert sum(d + 1000 not in kept for d in alike) >= 0.97 * len(alike)
+    assert set(range(240)) <= kept and len(apart) < 90
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
