@@ -248,17 +248,20 @@ def candidates(classes: DataFrame, bits: int, segments: int, similarity: float =
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (u, v) whose fingerprints put them within the similarity."""
-    share = flipped(similarity)
-    limit = round(64 * LANES * share + 1.2 * np.sqrt(64 * LANES * share * (1 - share)))
-    lanes = rows.select("row", "lanes")
-    both = pairs.join(lanes.select(F.col("row").alias("u"), F.col("lanes").alias("x")), "u")
-    both = both.join(lanes.select(F.col("row").alias("v"), F.col("lanes").alias("y")), "v").select("u", "v", "x", "y")
+    """Those pairs (u, v) whose shingle sets really are so similar."""
+    pairs = cut_lineage(pairs, "candidates")
+    needed = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
+    sets = cut_lineage(rows.select("row", "shingles").join(needed, "row"), "shingles")
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("x")), "u")
+    both = both.join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in batch.columns[2:])
-            alike = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= limit
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(shared > 0 and shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     return cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
@@ -271,7 +274,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Multi-index hashing again, for larger distances: a first round joins close
     copies that agree in a whole segment, so that large groups of them make no
     pairs; then all that is not joined yet is looked up by balls of radius one,
-    in as many segments as the recall asks for. The complete fingerprints verify."""
+    in as many segments as the recall asks for. Fingerprints only select: every
+    link of either round is verified on the shingles themselves."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,7 +134,21 @@ def test_appended_prefixed_and_replaced_blocks_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert sum(d + 1000 not in kept for d in alike) >= 0.97 * len(alike)
-    assert set(range(240)) <= kept and len(apart) < 90
+    assert set(range(240)) | {d + 1000 for d in apart} <= kept
+
+
+def test_links_are_verified_on_the_shingles(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for d in range(200):
+        w = [f"w{rng.getrandbits(40)}" for _ in range(404)]
+        cut = 82 + d % 20 if d % 2 else 60 + d % 18  # of 400 shingles, J = (400 - cut) / 400
+        rows += [(d, " ".join(w)), (d + 1000, " ".join(w[: 404 - cut]))]
+        want[d] = jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert {d + 1000 for d, alike in want.items() if not alike} <= kept  # none below 0.8 goes
+    assert sum(d + 1000 not in kept for d, alike in want.items() if alike) >= 0.97 * sum(want.values())
 
 
 def test_query(spark):
