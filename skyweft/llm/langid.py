@@ -4,9 +4,10 @@ a temperature.
 
 Features are hashed n-grams of lower-case letters (everything else is one gap).
 Document frequencies come from all documents that may be learned from. Weights
-are fitted on a bounded sample of labelled rows, PER_LANGUAGE per language at
-most on average and MAX_ROWS in all, chosen by a hash of id and text; one fifth
-of it only sets the temperature. The elastic net (l1, l2) makes most weights
+are fitted on a bounded sample of labelled rows, PER_LANGUAGE per language and
+at most MAX_ROWS in all, chosen by a hash of id and text. Rows are taken in
+turn from every label, so that a rare one keeps all it has up to its even part
+however large the others are; one fifth only sets the temperature. The elastic net (l1, l2) makes most weights
 exactly zero. Predictions read the text and nothing else.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
@@ -167,7 +168,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     share = F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.col("count"))
     drawn = rows.join(labels, "label").withColumn("draw", draw).where(F.col("draw") < share * (1 << 30))
-    sample = drawn.orderBy("draw", "label", "text").limit(MAX_ROWS).select("label", "text")
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))  # of some PER_LANGUAGE rows
+    taken = drawn.withColumn("turn", turn).where(F.col("turn") <= PER_LANGUAGE).orderBy("turn", "draw", "label", "text").limit(MAX_ROWS)
+    sample = taken.orderBy(F.xxhash64("text", "label"), "label", "text").select("label", "text")  # labels mixed
     kinds = "label string, at binary, tf binary"  # packed: the sample is what the driver holds
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,15 @@ def test_odd_rows(spark, with_labels):
     assert kept.columns == docs.columns and kept.count() == (10 if with_labels else 0)
     none = docs.limit(0)
     assert langid.predict(none, langid.fit(none)).count() == 0
+
+
+def test_rare_label_is_learned_beside_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 50)
+    monkeypatch.setattr(langid, "MAX_ROWS", 120)
+    rows = [(k * 10_000 + i, f"{c * 3} {c * 2}o {c}a{i}", c) for k, c in enumerate("bdf") for i in range(2000)]
+    rows += [(90_000 + i, f"zuzu zazo zi{i}", "rare") for i in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["b", "d", "f", "rare"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows if lang == "rare"]) > 0.9
