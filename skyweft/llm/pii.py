@@ -9,7 +9,7 @@ an entity a word reveals: with document counts n(t, c), n(t), n(c) out of N,
                      = log2(n(t, c) N / (n(t) n(c))) / log2(N / n(c)),
 
 which is 1 if the word occurs only with the entity. A word seen with an entity
-in at least SUPPORT different contexts, which must not be copies of one another,
+in at least SUPPORT different contexts, where copies of one another count once,
 and whose disclosure reaches REMOVE is taken out of every text; from GENERALISE on it is replaced by a general label.
 
 Only DataFrame functions are used. Quantifiers in the patterns are possessive
@@ -43,7 +43,8 @@ WORD = r"\p{L}{3,}+"
 CONTEXT = 120  # characters on either side of an entity
 SUPPORT = 3
 #: Where more of the words around an entity recur, its contexts are copies.
-COPIED = 0.5
+COPIED = 0.5  # share of common words from which contexts are copies
+LEADERS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 _BLOCK = 256
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,value:string>"
@@ -136,7 +137,7 @@ def span_text(spans: Column) -> Column:
 
 
 def _entities(text: Column, spans: Column) -> Column:
-    """(entity, words, context) of each span: its words without cut ones."""
+    """(entity, words) of each span: its words without cut ones."""
 
     def entity(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
@@ -146,7 +147,7 @@ def _entities(text: Column, spans: Column) -> Column:
         around = F.lower(F.concat_ws(" ", before, after))
         words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(around, PATTERNS["email"], " "), F.lit(WORD), F.lit(0)))
         plain = F.when(s["kind_no"] == 0, F.lower(s["value"])).when(s["kind_no"] == 1, s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
-        return F.struct(F.concat_ws(":", s["kind_no"], plain).alias("entity"), words.alias("words"), F.xxhash64(around).alias("context"))
+        return F.struct(F.concat_ws(":", s["kind_no"], plain).alias("entity"), words.alias("words"))
 
     return F.transform(spans, entity)
 
@@ -165,23 +166,45 @@ def _words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.explode(words).alias("term"))
 
 
+def _contexts(seen: DataFrame) -> DataFrame:
+    """(entity, key, copy_of): each different set of context words of an entity,
+    and the class of copies it belongs to. Sets that share most of their words with
+    a leader, the most repeated set not placed yet, are its copies; what LEADERS
+    rounds leave over are copies if their four smallest word hashes agree."""
+    sketch = F.xxhash64(F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 4))
+    sets = seen.groupBy("entity", "words").agg(F.count("*").alias("n")).select("entity", "words", "n", F.xxhash64("words").alias("key"), sketch.alias("sketch"))
+    sets = cut_lineage(sets, "contexts")
+    weights = sets.groupBy("entity", "sketch").agg(F.sum("n").alias("weight"))
+    placed = cut_lineage(sets.join(weights, ["entity", "sketch"]).withColumn("copy_of", F.lit(None).cast("bigint")), "copies")
+    for _ in range(LEADERS):
+        rank = F.struct("weight", "n", "key")
+        leaders = placed.where(F.col("copy_of").isNull()).groupBy("entity").agg(F.max_by(F.struct("words", "key"), rank).alias("lead"))
+        shared, total = F.size(F.array_intersect("words", "lead.words")), F.size(F.array_union("words", "lead.words"))
+        own = F.coalesce("copy_of", F.when(shared >= COPIED * total, F.col("lead.key")))
+        placed = cut_lineage(placed.join(leaders, "entity", "left").withColumn("copy_of", own).drop("lead"), "copies")
+    return placed.select("entity", "key", F.coalesce("copy_of", "sketch").alias("copy_of"))
+
+
 def disclosive_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """(term, disclosure): words that reveal at least GENERALISE of an entity."""
-    seen = found.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("entities").alias("e")).select("row", "e.*")
-    entities = seen.groupBy("entity").agg(F.count_distinct("row").alias("n_c"))
+    seen = found.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("entities").alias("e")).select("row", "e.entity", F.array_sort("e.words").alias("words"))
+    seen = cut_lineage(seen, "seen")
+    contexts = _contexts(seen)
+    entities = contexts.groupBy("entity").agg(F.count_distinct("copy_of").alias("n_c"))
+    entities = entities.join(seen.groupBy("entity").agg(F.count_distinct("row").alias("rows_c")), "entity")
+    met = seen.withColumn("key", F.xxhash64("words")).join(contexts.select("entity", "key", "copy_of"), ["entity", "key"])
     pairs = (
-        seen.select("row", "entity", "context", F.explode("words").alias("term"))
-        .groupBy("term", "entity").agg(F.count_distinct("row").alias("n_tc"), F.count_distinct("context").alias("contexts"))
+        met.select("row", "entity", "copy_of", F.explode("words").alias("term"))
+        .groupBy("term", "entity").agg(F.count_distinct("copy_of").alias("n_tc"), F.count_distinct("row").alias("rows_tc"))
+        .where(F.col("n_tc") >= support)
     )
-    pairs = cut_lineage(pairs.join(entities, "entity"), "pairs")
-    # Copies of one text: most words come back around the entity, not just a few.
-    back = F.sum(F.when(F.col("n_tc") * 2 >= F.col("n_c"), F.col("n_tc")).otherwise(0)) / F.sum("n_tc")
-    independent = pairs.groupBy("entity").agg(back.alias("back")).where(F.col("back") <= COPIED).select("entity")
-    pairs = cut_lineage(pairs.where(F.col("contexts") >= support).join(independent, "entity"), "supported-pairs")
+    pairs = cut_lineage(pairs.join(entities, "entity"), "supported-pairs")
     counted = _words(docs, text_col).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(max(1, found.count())))
+    # Surplus copies of an entity's contexts count in none of the numbers.
+    n = F.greatest(F.lit(float(max(1, found.count()))) - F.col("rows_c") + F.col("n_c"), F.lit(1.0))
+    n_t = F.col("n_t") - F.col("rows_tc") + F.col("n_tc")
     # A text holds a term that stands next to one of its entities, so n_t >= n_tc up to case and cuts.
-    pmi = F.log2(F.col("n_tc") * n / (F.greatest("n_t", "n_tc") * F.col("n_c")))
+    pmi = F.log2(F.col("n_tc") * n / (F.greatest(n_t, "n_tc") * F.col("n_c")))
     degree = F.when(F.col("n_c") < n, pmi / F.log2(n / F.col("n_c"))).otherwise(F.lit(0.0))
     terms = pairs.join(counted, "term").groupBy("term").agg(F.max(degree).alias("disclosure"))
     return cut_lineage(terms.where(F.col("disclosure") >= GENERALISE), "terms")

@@ -89,6 +89,21 @@ def test_disclosive_terms_are_found_and_removed(spark):
     assert out[201] == dict(rows)[201].replace("someone@else.net", "[email]") and out[120] == dict(rows)[120]
 
 
+def test_copies_do_not_hide_independent_contexts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{fill(30)} zanzibrook {fill(2)} jo@corp.org {fill(30)}") for i in range(5)]
+    before, after = fill(8).split(), fill(8)
+    for i in range(200):  # copies with one word changed
+        changed = list(before)
+        changed[i % 8] = word()
+        rows.append((100 + i, f"{' '.join(changed)} zanzibrook templateword jo@corp.org {after}"))
+    rows += [(1000 + i, fill(40)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["term"] for r in pii.disclosive_terms(docs, pii.find(docs)).collect()} == {"zanzibrook"}
+
+
 def test_overlaps_and_nulls_when_rewriting(spark):
     rows = [(1, None), (2, "x +1.22.33.44.5555 y"), (3, "é 1.2.3.4, a@b.co!"), (3, "é 1.2.3.4, a@b.co!")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
