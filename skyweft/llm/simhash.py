@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
+            alike: list[bool] = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -278,12 +278,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     link of either round is verified on the shingles themselves."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [wide_shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([_lanes(s, LANES).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], names=["doc_id", "same", "lanes", "shingles"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # the sets are larger than the texts
+                batch = whole.slice(at, 256)
+                sets = [wide_shingles(t.as_py()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([_lanes(s, LANES).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                ], names=["doc_id", "same", "lanes", "shingles"])
 
     read = docs.select(F.col(id_col).cast("bigint"), text_col)
     made = read.mapInArrow(prints, "doc_id bigint, same binary, lanes binary, shingles binary")
