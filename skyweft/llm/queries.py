@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, warc
+from . import bpe, collocations, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,3 +143,27 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BYTES_SQL)
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), scratch(spark, "suffixes"))
+
+
+#: Words with their place, pairs and triples by the words that follow in the piece.
+COLLOCATIONS_SQL = r"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+  w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+  g as (select lang, 1 as m, unnest(ws) as phrase from w
+    union all select lang, 2, array_to_string(ws[i:i + 1], ' ') from (select lang, ws, unnest(range(1, len(ws))) as i from w)
+    union all select lang, 3, array_to_string(ws[i:i + 2], ' ') from (select lang, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+  f as (select lang, m, phrase, count(*) as a from g group by all),
+  n as (select lang, sum(a)::bigint as n from f where m = 1 group by lang),
+  c as (select *, string_split(phrase, ' ') as ws from f where m > 1 and a >= 10),
+  longer as (select lang, array_to_string(ws[i:i + 1], ' ') as phrase, max(a) as longer from (select *, unnest([1, 2]) as i from c where m = 3) group by all),
+  k as (select c.*, unnest(range(1, m)) as k from c left join longer using (lang, phrase) where longer is null or 100*longer < 50*a),
+  s as (select k.lang, k.phrase, k.a, k, x.a as l, y.a as r, (1000000::hugeint*k.a*k.a // (x.a::hugeint*y.a))::bigint as score
+    from k join f x on x.lang = k.lang and x.phrase = array_to_string(ws[1:k], ' ') join f y on y.lang = k.lang and y.phrase = array_to_string(ws[k + 1:], ' ')),
+  b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+  from b join n using (lang) qualify rank <= 2000"""
+
+
+@query(COLLOCATIONS_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
