@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, collocations, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, warc
+from . import bpe, collocations, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,3 +167,20 @@ COLLOCATIONS_SQL = r"""with p as (select coalesce(lang, 'und') as lang, unnest(r
 @query(COLLOCATIONS_SQL)
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Rules of the query: (host, start of the path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+URL_RULES_SQL = f"""with u as (select page_id, coalesce(url, '') as url from pages),
+  p as (select page_id, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) as path from u),
+  r(h, p, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
+  best as (select page_id, host, path, max(struct_pack(n := length(h) + length(r.p), m := length(h), rule := h || r.p, verdict := verdict)) as b
+    from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, r.p) group by page_id, host, path)
+  select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdict from p left join best on best.page_id = p.page_id and best.host = p.host and best.path = p.path"""
+
+
+@query(URL_RULES_SQL)
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
