@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_root
-from . import bpe, collocations, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, suffix_dedup, url_rules, warc
+from . import bpe, collocations, decontaminate, difference_cover, embedding_dedup, langid, pii, rans, simhash, spelling, suffix_dedup, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +184,30 @@ URL_RULES_SQL = f"""with u as (select page_id, coalesce(url, '') as url from pag
 def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+#: CRC-32 bit by bit, once per document and run; near words by equal remainders: at
+#: one place for a replaced letter, the whole shorter word for a deleted one.
+SPELLING_SQL = """with r as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents),
+  d as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from r group by all),
+  x as (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as bytes from d),
+  h as (select run, n, xor(4294967295, list_reduce(list_transform(range(4*len(bytes)), lambda i:
+      case when i % 8 = 0 then ('0x' || substr(bytes, i//4 + 1, 2))::bigint else 0 end),
+    lambda c, b: xor(xor(c, b) >> 1, case when xor(c, b) % 2 = 1 then 3988292384 else 0 end), 4294967295)) as h from x),
+  e as (select n, case when h % 199 = 0 then substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) else run end as word from h),
+  w as (select word, sum(n)::bigint as n from e where len(word) >= 6 group by word having sum(n) >= 5),
+  c as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, len(word) + 1)) as i from w)),
+  p as (select a.word as u, b.word as v from c a join c b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union select c.word, w.word from c join w on c.rest = w.word union select w.word, c.word from c join w on c.rest = w.word),
+  k as (select u, v, w.n as v_n from p join w on w.word = v),
+  b as (select u, count(*) as n_near, min(struct_pack(m := -v_n, form := v)) as best from k group by u),
+  j as (select word, n, coalesce(n_near, 0) as n_near, case when -b.best.m >= 5*n then b.best.form end as form, case when -b.best.m >= 5*n then -b.best.m end as form_n
+    from w left join b on u = word),
+  t as (with recursive f as (select word, word as root, form as next from j union all select f.word, j.word, j.form from f join j on j.word = f.next)
+    select word, root from f where next is null)
+  select word, form, root, n, n_near, form_n from j join t using (word)"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=199)
