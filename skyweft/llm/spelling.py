@@ -136,7 +136,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return found.where(F.levenshtein("u", "v", 1) == 1).select("u", "v")
 
     # What is left of a word after at most one deletion, as a hash: pairs are compared anyway.
+    # Letters of a run of equal ones leave the same, so only the first of a run goes.
     places = met.where("hot").select("sig", "word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
+    places = places.where((F.col("i") < 2) | (F.substring("word", F.col("i"), F.lit(1)) != F.substring("word", F.col("i") - 1, F.lit(1))))
     left = F.when(F.col("i") == 0, F.col("word")).otherwise(F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.substring("word", F.col("i") + 1, F.length("word"))))
     crowded = places.select("sig", "word", F.xxhash64(left).alias("rest"))
     found = pairs(met.where("not hot"), ["sig"]).unionByName(pairs(crowded, ["sig", "rest"])).distinct()
