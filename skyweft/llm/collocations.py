@@ -9,6 +9,11 @@ stripes are merged element by element in a hash aggregate, which may spill. All
 counts a phrase needs (its extensions, the totals of its parts, the largest count
 of a longer candidate around it) are then looked up in that one table.
 
+Stripes of two-word prefixes are made in a second pass, as most triples are rare: both
+pairs of a frequent triple are frequent. Every task holds the frequent pairs as a
+bitmap of FILTER_BITS bits, whatever their number. A pair that only shares its bit
+with a frequent one is counted in vain and dropped by its count; none is missed.
+
 Hot prefixes: words that make up more than one in SLICES of all words are looked for
 on one in SAMPLE documents, so the list has at most SLICES words. Stripes of
 prefixes made only of such words are cut by the following word into as many slices as
@@ -27,11 +32,13 @@ count and the UTF-8 bytes of the phrase. Only the text and language columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +54,8 @@ RANK_SLICES = 64
 END = b"."
 # A-Z in lower case; the characters that end a piece all become a full stop.
 _FOLD = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bits that stand for the frequent pairs: 16 MB in every task.
+FILTER_BITS = 27
 STRIPES = "lang string, k int, w1 string, w2 string, slice int, next array<string>, counts array<bigint>"
 
 
@@ -55,11 +64,24 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(END, b" . ").split()
 
 
+def pair_bits(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bit of each pair, from the hashes of its words."""
+    salt = np.uint64(crc32(lang.encode()))
+    h = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
 class Chunk:
-    """Word numbers of the texts of one language, and their stripes."""
+    """Word numbers of the texts of one language, and their stripes: of prefixes of
+    up to one word, or with the bitmap of frequent ``pairs`` of two."""
 
-    def __init__(self, lang: str, hot: dict[bytes, int]):
-        self.lang, self.hot = lang, hot
+    def __init__(self, lang: str, hot: dict[bytes, int], pairs: np.ndarray | None = None):
+        self.lang, self.hot, self.pairs = lang, hot, pairs
         self.numbers: dict[bytes, int] = {END: 0}
         self.parts: list[np.ndarray] = []
         self.words = 0
@@ -70,16 +92,14 @@ class Chunk:
             return
         tokens.append(END)
         numbers = self.numbers
-        for w in set(tokens) - numbers.keys():
-            numbers[w] = len(numbers)
+        for w in set(tokens):
+            if w not in numbers:
+                numbers[w] = len(numbers)
         self.parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
         self.words += len(tokens)
 
-    def full(self) -> bool:
-        return self.words >= CHUNK_WORDS or len(self.numbers) >= VOCABULARY
-
     def stripes(self) -> Iterator[pa.RecordBatch]:
-        """The stripes of all prefixes, shortest first; empties the chunk."""
+        """The stripes of the chunk, shortest prefixes first."""
         ids = np.concatenate([*self.parts, np.zeros(3, np.int64)])
         vocabulary = pa.array(list(self.numbers), pa.binary())
         n = np.int64(len(self.numbers))
@@ -87,14 +107,18 @@ class Chunk:
         for w, s in self.hot.items():
             if w in self.numbers:
                 slices[self.numbers[w]] = s
-        spread = np.fromiter(map(crc32, self.numbers), np.int64, int(n))
+        hashed = hashes(self.numbers)
+        spread = (hashed >> np.uint64(32)).astype(np.int64)
         a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        yield from self._rows(0, np.zeros(0, np.int64), a[a > 0], n, vocabulary, spread, slices)
         pairs = (a > 0) & (b > 0)
-        yield from self._rows(1, a[pairs], b[pairs], n, vocabulary, spread, slices)
-        triples = pairs & (c > 0)
+        if self.pairs is None:
+            yield from self._rows(0, np.zeros(0, np.int64), a[a > 0], n, vocabulary, spread, slices)
+            yield from self._rows(1, a[pairs], b[pairs], n, vocabulary, spread, slices)
+            return
+        bits = pair_bits(self.lang, hashed[a], hashed[b])
+        pairs &= self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1
+        triples = pairs & np.r_[pairs[1:], False]
         yield from self._rows(2, a[triples] * n + b[triples], c[triples], n, vocabulary, spread, slices)
-        self.__init__(self.lang, self.hot)
 
     def _rows(self, k: int, prefix: np.ndarray, following: np.ndarray, n: np.int64, vocabulary: pa.Array,
               spread: np.ndarray, slices: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -156,34 +180,53 @@ def hot_words(read: DataFrame) -> dict[bytes, int]:
     return {bytes(r["word"]): -(-r["n"] * SLICES // total) for r in hot.collect()}
 
 
-def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def stripes(read: DataFrame, hot: dict[bytes, int], pairs: Broadcast | None = None) -> DataFrame:
     """The stripes of each chunk of a task; equal stripes are still to be merged."""
-    read = _read(docs, text_col, lang_col)
-    hot = hot_words(read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[str, Chunk] = {}
+        bitmap = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
+        words = vocabulary = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if lang not in chunks:
-                    chunks[lang] = Chunk(lang, hot)
-                chunks[lang].add(text.as_py())
-                held = chunks.values()
-                if chunks[lang].full() or sum(c.words for c in held) >= CHUNK_WORDS or sum(len(c.numbers) for c in held) >= VOCABULARY:
+                    chunks[lang] = Chunk(lang, hot, bitmap)
+                chunk = chunks[lang]
+                before = chunk.words, len(chunk.numbers)
+                chunk.add(text.as_py())
+                words += chunk.words - before[0]
+                vocabulary += len(chunk.numbers) - before[1]
+                if words >= CHUNK_WORDS or vocabulary >= VOCABULARY:
                     for chunk in chunks.values():
-                        if chunk.words:
-                            yield from chunk.stripes()
+                        yield from chunk.stripes()
                     chunks.clear()
+                    words = vocabulary = 0
         for chunk in chunks.values():
-            if chunk.words:
-                yield from chunk.stripes()
+            yield from chunk.stripes()
 
     return read.mapInArrow(run, STRIPES)
 
 
+def frequent_pairs(pairs: DataFrame) -> Broadcast:
+    """The bitmap of the pairs (lang, w1, w2); its size does not depend on them."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).to_pandas()
+            for lang, rows in table.groupby("lang", sort=False):
+                bits = pair_bits(lang, *(hashes(w.encode() for w in rows[c]) for c in ("w1", "w2")))
+                yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.int64(1) << (bits & 63))], names=["word", "bits"])
+
+    marked = pairs.select("lang", "w1", "w2").mapInArrow(mark, "word bigint, bits bigint")
+    found = marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**FILTER_BITS bits
+    bitmap = np.zeros(1 << FILTER_BITS - 6, "<i8")
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return pairs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+
 def merged(parts: DataFrame, least: int) -> DataFrame:
-    """(lang, k, w1, w2, w3, a): all single words, and phrases of two and three
-    words that occur at least ``least`` times. One shuffle moves whole stripes;
+    """(lang, k, w1, w2, w3, a): all single words, and the longer phrases that
+    occur at least ``least`` times. One shuffle moves whole stripes;
     the counters are added up where they arrive."""
     dealt = parts.repartition("lang", "k", "w1", "w2", "slice")
     entries = dealt.select("lang", "k", "w1", "w2", "slice", F.explode(F.arrays_zip("next", "counts")).alias("e"))
@@ -211,11 +254,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cuts into two parts with l and r occurrences score floor(1000000 a a / (l r));
     the lowest score counts, and of equal ones the first cut. Candidates inside a
     longer candidate with at least half their occurrences are dropped."""
-    phrases = merged(stripes(docs, text_col, lang_col), least)
+    read = _read(docs, text_col, lang_col)
+    hot = hot_words(read)
+    phrases = merged(stripes(read, hot), least)
     words = phrases.where("k = 0").select("lang", F.col("w1").alias("word"), F.col("a").alias("f"))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))  # one row per language
     words = words.where(F.col("f") >= least)
-    pairs, triples = phrases.where("k = 1").drop("k", "w3"), phrases.where("k = 2").drop("k")
+    pairs = phrases.where("k = 1").drop("k", "w3")
+    triples = merged(stripes(read, hot, frequent_pairs(pairs)), least).drop("k")
 
     # The largest count of a longer candidate around each pair.
     around = triples.select("lang", "w1", "w2", "a").unionByName(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
