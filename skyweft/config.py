@@ -154,8 +154,13 @@ class Extraction:
     tile_max: int = 0
     tile_overlap: int = 200
     mosaic_cutout: int = 0
+    deblend: bool = False
+    deblend_levels: int = 32
+    deblend_contrast: float = 0.001
 
     def __post_init__(self) -> None:
+        _require(self.deblend_levels >= 1, "deblend_levels must be >= 1")
+        _require(0 <= self.deblend_contrast <= 1, "deblend_contrast must be between 0 and 1")
         _require(not (self.tile_max > 0 and self.mosaic_cutout > 0), "tiling and mosaic cutout are exclusive")
 
 

@@ -21,6 +21,7 @@ from ..plans.lineage import cut_lineage
 from ..plans.ranking import with_row_number
 from ..plans.skew import salted_join
 from .coadd import clip_array
+from .deblend import deblend
 from .graph import connected_components
 from .stats import clipped_stats, clipped_stats_by
 from .tiles import in_core
@@ -408,7 +409,10 @@ def extract_sources(pixels: DataFrame, cfg: Extraction = Extraction(), masked: D
     if masked is not None:
         local = local.join(masked.select("y", "x"), ["y", "x"], "left_anti")
     above = local.where(F.col("v") > cfg.nsigma * F.col("rms"))
-    segments = segment(above, F.lit(float("-inf")), cfg.npixels).drop("v")
+    segments = segment(above, F.lit(float("-inf")), cfg.npixels)
+    if cfg.deblend:
+        segments = deblend(segments, cfg.npixels, cfg.deblend_levels, cfg.deblend_contrast).drop("parent")
+    segments = segments.drop("v")
     pixels_of = cut_lineage(segments.join(measured.select("y", "x", "v"), ["y", "x"]), "segments")
     shapes = moments(pixels_of)
     return shapes.join(kron_and_half_light(pixels_of, shapes), "label", "left").select(

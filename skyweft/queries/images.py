@@ -10,7 +10,7 @@ from ..fixtures import IMAGE_WIDTH, fixture
 from ..functions.kernels import gaussian_kernel, gaussian_psf, template_set
 from ..functions.sky import TangentPlane
 from ..functions import stamps
-from ..operators import cutouts, detect, mask, match
+from ..operators import cutouts, deblend, detect, mask, match
 from . import query
 from .sqltext import CATALOG, IMAGE, STARS
 
@@ -174,6 +174,32 @@ def segment_catalog(spark, sf):
         {c: F.round(c, 6) for c in ("xcentroid_pix", "ycentroid_pix")})
 
 
+# Component tree by reachability at every level; brighter pixels make larger levels.
+_TREE = _REACH.replace("v > 88e0", "v > 70e0") + """,
+  g as materialized (select a.id, a.y, a.x, a.v, s.label from a join c on c.id = a.id join s on s.root = c.root),
+  h as (select label, min(v) as low, max(v) as high, sum(v) as total from g group by label),
+  k as materialized (select id, y, x, v, label, total, unnest(range(0, case when high > low then least(floor(ln(v/low)/ln(high/low)*7e0), 6e0) else 0e0 end::integer + 1)) as k
+    from g join h using (label)),
+  ke as materialized (select p.k, p.id as u, q.id as w from k p join k q on q.k = p.k and q.label = p.label and q.y between p.y - 1 and p.y + 1
+    and q.x between p.x - 1 and p.x + 1 and p.id <> q.id),
+  kr(k, u, w) as (select k, id, id from k union select r.k, r.u, e.w from kr r join ke e on e.k = r.k and e.u = r.w),
+  kc as materialized (select k, u as id, min(w) as root from kr group by k, u),
+  n as (select k, root, label, min(struct_pack(v := -v, y := y, x := x, id := id)) as peak from kc join k using (k, id) group by k, root, label, total
+    having k = 0 or (count(*) >= 3 and sum(v) >= 0.05e0*total)),
+  held as (select distinct p.k, p.root from kc p join kc q on q.id = p.id and q.k = p.k + 1 join n on n.k = q.k and n.root = q.root),
+  core as (select *, row_number() over (order by label, root, k) as part from n anti join held using (k, root)),
+  inner_node as (select kc.id, max(struct_pack(k := kc.k, root := kc.root)) as node from kc join n using (k, root) group by kc.id),
+  inside as (select kc.k, kc.root, peak, part from core join kc on kc.id = core.peak.id and kc.k <= core.k)"""
+
+
+@query(f"""{_TREE} select g.y, g.x, g.label as parent, min(struct_pack(d := (peak.y - g.y)*(peak.y - g.y) + (peak.x - g.x)*(peak.x - g.x),
+   y := peak.y, x := peak.x, part := part)).part as label
+  from g join inner_node i using (id) join inside on inside.k = i.node.k and inside.root = i.node.root group by g.y, g.x, g.label""")
+def deblended_sources(spark, sf):
+    found = detect.segment(fixture(spark, sf, "image"), 70.0, 3, tile=64)
+    return deblend.deblend(found, 3, 6, 0.05, tile=64).select("y", "x", "parent", "label")
+
+
 @query()
 def detected_sources(spark, sf):
     found, _ = detect.detect_sources(fixture(spark, sf, "image"), Detection(threshold_sigma=2.0))
