@@ -228,16 +228,18 @@ def _cells_in_zone(zone: Column, height: float) -> Column:
 
 
 def point_cell(ra: Column | str, dec: Column | str, height: float) -> Column:
-    """struct(zone, cell) holding a point; NULL fields for NULL coordinates."""
+    """struct(zone, cell) holding a point; NULL fields for coordinates that are
+    NULL or not finite."""
     zone = _zone(col(dec), height)
     n = _cells_in_zone(zone, height)
     cell = F.least(F.floor(wrap360(ra) * n / 360.0).cast("bigint"), n - 1)
-    known = col(ra).isNotNull() & col(dec).isNotNull()
+    known = finite(ra).isNotNull() & finite(dec).isNotNull()
     return F.struct(F.when(known, zone).alias("zone"), F.when(known, cell).alias("cell"))
 
 
 def circle_cells(ra: Column | str, dec: Column | str, radius_deg: Column, height: float) -> Column:
-    """Array of the cells a circle can touch."""
+    """Array of the cells a circle can touch; NULL for a circle that is NULL or
+    not finite in any part."""
     ra, dec = col(ra), col(dec)
     reach = radius_deg + 1e-9
     polar = F.abs(dec) + reach >= 90.0
@@ -254,7 +256,7 @@ def circle_cells(ra: Column | str, dec: Column | str, radius_deg: Column, height
 
     zones = F.sequence(_zone(F.greatest(dec - reach, F.lit(-90.0)), height),
                        _zone(F.least(dec + reach, F.lit(90.0)), height))
-    known = ra.isNotNull() & dec.isNotNull() & radius_deg.isNotNull()
+    known = finite(ra).isNotNull() & finite(dec).isNotNull() & finite(radius_deg).isNotNull()
     return F.when(known, F.flatten(F.transform(zones, in_zone)))
 
 

@@ -20,6 +20,7 @@ from ..plans.halo import block_of, map_tiles
 from ..plans.lineage import cut_lineage
 from ..plans.ranking import with_row_number
 from ..plans.skew import salted_join
+from .apertures import kron_apertures
 from .coadd import clip_array
 from .deblend import deblend
 from .graph import connected_components
@@ -317,14 +318,18 @@ def kron_and_half_light(labelled: DataFrame, shapes: DataFrame, keys: Sequence[s
 EXTENDED = ("area", "xcentroid", "ycentroid", "elongation", "equivalent_radius", "kron_radius", "orientation", "r50")
 
 
-def extended_catalog(labelled: DataFrame, names: Sequence[str] = EXTENDED, value: str = "v") -> DataFrame:
-    """Label plus the requested columns; 'centroid' stands for both coordinates."""
+def extended_catalog(labelled: DataFrame, names: Sequence[str] = EXTENDED, value: str = "v",
+                     pixels: DataFrame | None = None) -> DataFrame:
+    """Label plus the requested columns; 'centroid' stands for both coordinates.
+    With the image's ``pixels``, Kron and half-light radii are measured in apertures
+    that reach beyond the segment; without, on the segment alone."""
     wanted: list[str] = []
     for n in names:
         wanted += ["xcentroid", "ycentroid"] if n == "centroid" else [n]
     shapes = moments(labelled, value=value)
     if {"kron_radius", "r50"} & set(wanted):
-        shapes = shapes.join(kron_and_half_light(labelled, shapes, value=value), "label", "left")
+        radii = kron_and_half_light(labelled, shapes, value=value) if pixels is None else kron_apertures(pixels, labelled, shapes, value=value)
+        shapes = shapes.join(radii, "label", "left")
     return shapes.select("label", *wanted)
 
 
@@ -415,7 +420,8 @@ def extract_sources(pixels: DataFrame, cfg: Extraction = Extraction(), masked: D
     segments = segments.drop("v")
     pixels_of = cut_lineage(segments.join(measured.select("y", "x", "v"), ["y", "x"]), "segments")
     shapes = moments(pixels_of)
-    return shapes.join(kron_and_half_light(pixels_of, shapes), "label", "left").select(
+    kron = kron_apertures(measured, pixels_of, shapes)
+    return shapes.join(kron, "label", "left").select(
         "label", F.col("xcentroid").alias("x"), F.col("ycentroid").alias("y"),
         F.col("semimajor_sigma").alias("sma"), F.col("semiminor_sigma").alias("smi"),
         F.col("kron_radius").alias("kron"), (F.col("kron_radius") * F.col("semimajor_sigma")).alias("kron_radius"),

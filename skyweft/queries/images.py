@@ -10,7 +10,7 @@ from ..fixtures import IMAGE_WIDTH, fixture
 from ..functions.kernels import gaussian_kernel, gaussian_psf, template_set
 from ..functions.sky import TangentPlane
 from ..functions import stamps
-from ..operators import cutouts, deblend, detect, mask, match
+from ..operators import apertures, cutouts, deblend, detect, mask, match
 from . import query
 from .sqltext import CATALOG, IMAGE, STARS
 
@@ -200,6 +200,38 @@ def deblended_sources(spark, sf):
     return deblend.deblend(found, 3, 6, 0.05, tile=64).select("y", "x", "parent", "label")
 
 
+_ELLIPSES = f"""{_REACH}, o as materialized (select a.y, a.x, s.label from a join c on c.id = a.id join s on s.root = c.root),
+  el as materialized (select label, avg(x) as cx, avg(y) as cy, 0.8e0 + count(*)*0.2e0 as sa, 0.5e0 + count(*)*0.1e0 as sb, radians((label*37e0) % 180e0) as t from o group by label)"""
+
+
+def _around_sql(table: str, scale: str) -> str:
+    """Unmasked pixels within the circle around each ellipse."""
+    dx, dy = "(i.x - cx)", "(i.y - cy)"
+    u, w = f"(({dx}*cos(t) + {dy}*sin(t))/sa)", f"(({dy}*cos(t) - {dx}*sin(t))/sb)"
+    return f"""(select e.label, v, sqrt({dx}*{dx} + {dy}*{dy}) as r, sqrt({u}*{u} + {w}*{w}) as re from {table} e join {IMAGE} i
+      on abs({dx}) <= {scale}*sa and abs({dy}) <= {scale}*sa and {dx}*{dx} + {dy}*{dy} <= ({scale}*sa)*({scale}*sa)
+      left join o on o.y = i.y and o.x = i.x where o.label is null or o.label = e.label)"""
+
+
+@query(f"""{_ELLIPSES}, k as (select e.*, greatest(case when f > 0 and fr > 0 then fr/f end, 1.4e0) as kron from el e left join
+    (select label, sum(v - 40e0) as f, sum((v - 40e0)*re) as fr from {_around_sql("el", "6e0")} where re <= 6e0 group by label) using (label)),
+  p as (select q.label, v - 40e0 as v, floor(r/0.5e0) as ring, re <= 2.5e0*kron as within from {_around_sql("k", "(2.5e0*kron)")} q join k using (label)),
+  g as (select label, ring, sum(v) as f, sum(case when within then v end) as fi, count(case when within then 1 end) as n from p group by label, ring),
+  w as (select *, sum(f) over (partition by label order by ring) as cum, sum(fi) over (partition by label)/2e0 as half from g),
+  h as (select label, arg_min((ring + (half - (cum - f))/f)*0.5e0, ring) as r50 from w where half > 0 and cum >= half group by label)
+  select k.label, round(kron, 6) as kron_radius, round(sum(fi), 6) as kron_flux, sum(n)::bigint as kron_area, round(any_value(r50), 6) as r50
+  from k left join g using (label) left join h using (label) group by k.label, kron""")
+def kron_apertures(spark, sf):
+    pixels = fixture(spark, sf, "image")
+    found = detect.segment(pixels, 88.0, 3, tile=64)
+    n = F.count("*")
+    shapes = found.groupBy("label").agg(
+        F.avg("x").alias("xcentroid"), F.avg("y").alias("ycentroid"), (0.8 + n * 0.2).alias("semimajor_sigma"), (0.5 + n * 0.1).alias("semiminor_sigma"))
+    shapes = shapes.withColumn("orientation", (F.col("label") * 37.0) % 180.0)
+    out = apertures.kron_apertures(pixels.withColumn("v", F.col("v") - 40.0), found, shapes)
+    return out.select("label", *[F.round(c, 6).alias(c) for c in ("kron_radius", "kron_flux", "r50")], "kron_area")
+
+
 @query()
 def detected_sources(spark, sf):
     found, _ = detect.detect_sources(fixture(spark, sf, "image"), Detection(threshold_sigma=2.0))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import finite
 from ..functions.text import HEADER_LINE, source_id
+from ..plans.lineage import cut_lineage
+from ..plans.skew import fits_broadcast
 
 # Catalog column -> engine column.
 BOUND_COLUMNS = {
@@ -65,6 +67,10 @@ def _body(lines: DataFrame, maps: DataFrame, blanks: bool) -> DataFrame:
     body = lines.where(~F.col("line").startswith("#"))
     if not blanks:
         body = body.where(F.trim("line") != "")
+    # Catalyst takes a map for as large as the lines it was made from; once written
+    # its size is known, and body lines are not shuffled by file.
+    maps = cut_lineage(maps, "column-maps")
+    maps = F.broadcast(maps) if fits_broadcast(maps) else maps
     return body.join(maps, "file").withColumn("_t", tokens())
 
 

@@ -154,3 +154,11 @@ def test_nonfinite_become_null(spark):
 def test_staged_cut_requires_column(spark):
     with pytest.raises(ValueError):
         catalog.staged_cuts(spark.createDataFrame([(1,)], "a int"), snr_sb_cog=3.0)
+
+
+def test_positions_that_are_not_finite_meet_nothing(spark):
+    rows = [(1, 10.0, 20.0), (2, float("nan"), 20.0), (3, 10.0, float("inf"))]
+    catalog = spark.createDataFrame(rows, "seq int, ra double, dec_ double")
+    stars = spark.createDataFrame([(10.0, 20.0, 12.0), (10.0, float("nan"), 12.0), (float("nan"), 20.0, 12.0), (float("-inf"), 1.0, 12.0)],
+                                  "ra double, dec_ double, phot_g_mean_mag double")
+    assert sorted(r.seq for r in xmatch.exclude_near_stars(catalog, stars).collect()) == [2, 3]
