@@ -37,6 +37,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -47,8 +48,8 @@ from ..plans.skew import salted_join
 
 #: One in so many documents is looked at for hot words; a word is hot above 1 / SLICES.
 SAMPLE, SLICES = 64, 1024
-#: Words of a chunk, and distinct words a task holds before it starts anew.
-CHUNK_WORDS, VOCABULARY = 1 << 21, 1 << 19
+#: Bytes of text whose stripes a task makes at once; a longer text is taken whole.
+CHUNK_BYTES = 1 << 24
 #: Slices of a language when the first rows are ranked.
 RANK_SLICES = 64
 END = b"."
@@ -59,9 +60,14 @@ FILTER_BITS = 27
 STRIPES = "lang string, k int, w1 string, w2 string, slice int, next array<string>, counts array<bigint>"
 
 
+def marked_text(text: bytes) -> bytes:
+    """Folded, with END as a word of its own between pieces."""
+    return text.translate(_FOLD).replace(END, b" . ")
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     """Words in order, and END wherever a piece ends."""
-    return text.translate(_FOLD).replace(END, b" . ").split()
+    return marked_text(text).split()
 
 
 def pair_bits(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -82,32 +88,28 @@ class Chunk:
 
     def __init__(self, lang: str, hot: dict[bytes, int], pairs: np.ndarray | None = None):
         self.lang, self.hot, self.pairs = lang, hot, pairs
-        self.numbers: dict[bytes, int] = {END: 0}
-        self.parts: list[np.ndarray] = []
-        self.words = 0
+        self.texts: list[bytes] = [END]  # so that END is word number 0
+        self.size = 0
 
     def add(self, text: bytes) -> None:
-        tokens = tokens_of(text)
-        if not tokens:
-            return
-        tokens.append(END)
-        numbers = self.numbers
-        for w in set(tokens):
-            if w not in numbers:
-                numbers[w] = len(numbers)
-        self.parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
-        self.words += len(tokens)
+        marked = marked_text(text)
+        self.texts += [marked, END]
+        self.size += len(marked)
 
     def stripes(self) -> Iterator[pa.RecordBatch]:
         """The stripes of the chunk, shortest prefixes first."""
-        ids = np.concatenate([*self.parts, np.zeros(3, np.int64)])
-        vocabulary = pa.array(list(self.numbers), pa.binary())
-        n = np.int64(len(self.numbers))
+        words = pc.ascii_split_whitespace(pa.array(self.texts, pa.large_binary()).view(pa.large_string())).flatten()
+        encoded = words.filter(pc.not_equal(words, "")).dictionary_encode()
+        ids = np.concatenate([encoded.indices.to_numpy().astype(np.int64), np.zeros(3, np.int64)])
+        vocabulary = encoded.dictionary.cast(pa.string())
+        listed = vocabulary.view(pa.binary()).to_pylist()
+        n = np.int64(len(listed))
         slices = np.ones(int(n), np.int64)
-        for w, s in self.hot.items():
-            if w in self.numbers:
-                slices[self.numbers[w]] = s
-        hashed = hashes(self.numbers)
+        if self.hot:
+            for i, w in enumerate(listed):
+                if w in self.hot:
+                    slices[i] = self.hot[w]
+        hashed = hashes(listed)
         spread = (hashed >> np.uint64(32)).astype(np.int64)
         a, b, c = ids[:-2], ids[1:-1], ids[2:]
         pairs = (a > 0) & (b > 0)
@@ -141,7 +143,7 @@ class Chunk:
             prefix, following, counts, part, w1, w2 = (x[order] for x in (prefix, following, counts, part, w1, w2))
         start = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
         bounds = np.r_[start, len(prefix)].astype(np.int32)
-        word = lambda at: vocabulary.take(pa.array(at)).view(pa.string())
+        word = lambda at: vocabulary.take(pa.array(at))
         none = pa.nulls(len(start), pa.string())
         for at in range(0, len(start), 1 << 15):  # batches of bounded size
             to = min(at + (1 << 15), len(start))
@@ -186,21 +188,19 @@ def stripes(read: DataFrame, hot: dict[bytes, int], pairs: Broadcast | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[str, Chunk] = {}
         bitmap = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
-        words = vocabulary = 0
+        held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if lang not in chunks:
                     chunks[lang] = Chunk(lang, hot, bitmap)
-                chunk = chunks[lang]
-                before = chunk.words, len(chunk.numbers)
+                chunk, before = chunks[lang], chunks[lang].size
                 chunk.add(text.as_py())
-                words += chunk.words - before[0]
-                vocabulary += len(chunk.numbers) - before[1]
-                if words >= CHUNK_WORDS or vocabulary >= VOCABULARY:
+                held += chunk.size - before
+                if held >= CHUNK_BYTES:
                     for chunk in chunks.values():
                         yield from chunk.stripes()
                     chunks.clear()
-                    words = vocabulary = 0
+                    held = 0
         for chunk in chunks.values():
             yield from chunk.stripes()
 

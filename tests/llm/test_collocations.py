@@ -54,8 +54,7 @@ def test_equal_to_brute_force(spark, least, top):
 
 
 def test_small_chunks_and_hot_slices_change_nothing(spark, monkeypatch, no_broadcast):
-    monkeypatch.setattr(collocations, "CHUNK_WORDS", 50)
-    monkeypatch.setattr(collocations, "VOCABULARY", 9)
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 200)
     monkeypatch.setattr(collocations, "SAMPLE", 1)
     got = collocations.collocations(frame(spark, ROWS), least=3)
     assert sorted(tuple(r) for r in got.collect()) == brute(ROWS, 3, 2000)
