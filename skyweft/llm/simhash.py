@@ -149,10 +149,16 @@ def most_bits(bits: int, similarity: float = SIMILARITY, deviations: float = 4.0
 def segments_for(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """(bits a segment, segments): about one random member a value, and at least
     ``recall`` for a pair exactly at the similarity by balls of radius one."""
-    bits = min(24, max(12, round(np.log2(max(2, classes)))))
     q = flipped(similarity)
-    meet = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
-    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+    def needed(bits: int) -> int:
+        meet = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
+        return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+    bits = min(24, max(12, round(np.log2(max(2, classes)))))
+    while bits > 1 and bits * needed(bits) > 64 * LANES:  # all segments lie in the fingerprint
+        bits -= 1
+    return bits, needed(bits)
 
 
 def _values(lanes: list[bytes], bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:

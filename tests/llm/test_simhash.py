@@ -156,3 +156,15 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in queries.op9_simhash_near_duplicates(spark, sf).collect()), key=repr)
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("classes", [0, 1, 4000, 11_000_000, 12_000_000, 10**8, 10**10])
+def test_segments_lie_in_the_fingerprint(classes):
+    bits, segments = simhash.segments_for(classes)
+    assert bits * segments <= 64 * simhash.LANES
+    q = simhash.flipped()
+    meet = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
+    assert 1 - (1 - meet) ** segments >= simhash.RECALL
+    lanes = [bytes(8 * simhash.LANES), b"\xff" * (8 * simhash.LANES), bytes(8 * simhash.LANES)]
+    cut, values = simhash._values(lanes, bits, segments)
+    assert cut.shape == (3, segments, bits) and (values[0] == values[2]).all() and (values[1] == (1 << bits) - 1).all()
