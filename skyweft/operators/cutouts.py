@@ -108,25 +108,46 @@ def stamps(cutouts: DataFrame, key: str, value: str = "v") -> DataFrame:
     return packed.withColumn("data", F.transform("_p", lambda p: p[value])).drop("_p")
 
 
+#: Side of the source blocks of a reprojection.
+REPROJECT_BLOCK = 64
+
+
 def reproject(source: DataFrame, source_wcs: TangentPlane, reference: DataFrame, reference_wcs: TangentPlane,
-              value: str = "v") -> DataFrame:
+              value: str = "v", block: int = REPROJECT_BLOCK) -> DataFrame:
     """Bilinear resampling on the reference grid (y, x); NULL where the source
-    does not reach. Each reference pixel asks for its four neighbours."""
+    does not reach. The source travels as dense blocks that hold one more row and
+    column than they own, so a reference pixel finds all four neighbours in one
+    block and is shuffled once."""
+    side = block + 1
     ra, dec = reference_wcs.world("x", "y")
     sx, sy = source_wcs.pixel("_ra", "_dec")
     spots = reference.select("y", "x", ra.alias("_ra"), dec.alias("_dec")).withColumns({"_sx": sx, "_sy": sy})
-    corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    fx, fy = F.col("_sx") - F.floor("_sx"), F.col("_sy") - F.floor("_sy")
-    wx = F.when(F.col("_c.b") == 1, fx).otherwise(1.0 - fx)
-    wy = F.when(F.col("_c.a") == 1, fy).otherwise(1.0 - fy)
-    asked = spots.withColumn("_c", F.explode(corner)).select(
-        "y", "x", (wx * wy).alias("_w"),
-        (F.floor("_sy") + F.col("_c.a")).cast("int").alias("_ny"), (F.floor("_sx") + F.col("_c.b")).cast("int").alias("_nx"))
-    grid = source.select(F.col("y").alias("_ny"), F.col("x").alias("_nx"), F.col(value).alias("_v"))
-    joined = asked.where(F.col("_w") > 0.0).join(grid, ["_ny", "_nx"], "left")
-    complete = F.count_if(F.col("_v").isNull()) == 0
-    sums = joined.groupBy("y", "x").agg(F.when(complete, F.sum(F.col("_w") * F.col("_v"))).alias(value))
-    return sums
+    spots = spots.withColumns({"_iy": F.floor("_sy").cast("int"), "_ix": F.floor("_sx").cast("int")})
+    spots = spots.withColumns({"_by": block_of("_iy", block), "_bx": block_of("_ix", block)})
+
+    # The first row and column of a block also end the blocks before it.
+    def touched(c: str) -> Column:
+        return F.array_distinct(F.array(block_of(F.col(c) - 1, block), block_of(c, block)))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        by, bx = int(pdf["_by"].iat[0]), int(pdf["_bx"].iat[0])
+        data = np.full(side * side, np.nan)
+        data[(pdf["y"] - by * block) * side + pdf["x"] - bx * block] = pdf["_v"].to_numpy(float, na_value=np.nan)
+        return pd.DataFrame({"_by": [by], "_bx": [bx], "_data": [data]})
+
+    cells = source.select("y", "x", finite(value).alias("_v")).where("_v is not null")
+    cells = cells.withColumn("_by", F.explode(touched("y"))).withColumn("_bx", F.explode(touched("x")))
+    blocks = cells.groupBy("_by", "_bx").applyInPandas(pack, "_by int, _bx int, _data array<double>")
+    fx, fy = F.col("_sx") - F.col("_ix"), F.col("_sy") - F.col("_iy")
+    at = (F.col("_iy") - F.col("_by") * block) * side + F.col("_ix") - F.col("_bx") * block
+
+    def part(weight: Column, step: int) -> Column:
+        v = F.get("_data", at + step)
+        return F.when(weight > 0.0, weight * F.when(~F.isnan(v), v)).otherwise(0.0)
+
+    total = part((1.0 - fy) * (1.0 - fx), 0) + part((1.0 - fy) * fx, 1) + part(fy * (1.0 - fx), side) + part(fy * fx, side + 1)
+    # A spot without a place has no block either.
+    return spots.join(blocks, ["_by", "_bx"], "left").select("y", "x", F.when(F.col("_data").isNotNull(), total).alias(value))
 
 
 def catalog_rows(

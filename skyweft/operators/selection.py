@@ -132,6 +132,31 @@ def pending(runs: DataFrame, existing: DataFrame, key: Sequence[str], force: boo
     return runs if force else salted_join(runs, existing.select(*key).distinct(), key, "left_anti")
 
 
+def plan_runs(fields: DataFrame, listing: DataFrame, outputs: DataFrame, image_filter: str = "F444W", folder_prefix: str = "mosaic_",
+              output_prefix: str = "catalog_", force: bool = False) -> DataFrame:
+    """(field, folder, input, output, status): what to do for every field.
+
+    ``listing`` has a row (field, folder, file_name) per file, with a null file_name
+    for an empty folder; ``outputs`` has (folder, file_name, size) of what is there.
+    Of the folders named after their field the newest version counts, in it the first
+    image of the wanted filter by name. A field without such a folder or image gets
+    the step that failed as its status, one whose output is there and not empty is
+    ``skipped`` unless forced, all others are to ``run``. Repeated fields are one;
+    files and folders of unknown fields are ignored."""
+    named = listing.where(F.startswith("folder", F.concat(F.lit(folder_prefix), "field")))
+    wanted = F.when(F.contains("file_name", F.lit(image_filter)) & F.endswith("file_name", F.lit("fits"))
+                    & (F.instr("file_name", image_filter) + len(image_filter) <= F.length("file_name") - 3), F.col("file_name"))
+    folders = named.groupBy("field", "folder").agg(F.min(wanted).alias("input"))
+    newest = latest_version(folders, ["field"], "folder")
+    output = F.concat(F.lit(output_prefix), F.regexp_replace("folder", f"^{folder_prefix}", ""), F.lit(".csv"))
+    done = outputs.where("size > 0").select("folder", F.col("file_name").alias("output"), F.lit(True).alias("done")).distinct()
+    planned = fields.select("field").distinct().join(newest, "field", "left").withColumn("output", F.when(F.col("input").isNotNull(), output))
+    planned = salted_join(planned, done, ["folder", "output"], "left", hot_side="left")
+    there = F.coalesce(F.col("done"), F.lit(False)) & F.lit(not force)
+    return planned.select("field", "folder", "input", "output", F.when(F.col("folder").isNull(), "no_mosaic_dir").when(
+        F.col("input").isNull(), f"no_{image_filter.lower()}").when(there, "skipped").otherwise("run").alias("status"))
+
+
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n"))
 

@@ -188,6 +188,27 @@ def pending_runs(spark, sf):
     return sel.pending(customers, done, ["c_custkey"])
 
 
+# Folders of brands by size; some are not named after their brand, most lack the filter.
+_LISTED = ["p_brand as field", "concat(case when p_size % 7 = 0 then 'old_' else 'mosaic_' end, p_brand, 'v', cast(p_size as varchar(20))) as folder",
+           "concat(case when p_partkey % 40 = 0 then 'F444W_' else 'F200W_' end, cast(p_partkey as varchar(20)), '.fits') as file_name", "p_size"]
+_OUTPUTS = "concat('catalog_', p_brand, 'v', cast(p_size as varchar(20)), '.csv')"
+
+
+@query(f"""with l as (select {', '.join(_LISTED)} from part), d as (select field, folder, p_size, min(case when file_name like 'F444W%' then file_name end) as input
+    from l where starts_with(folder, 'mosaic_') group by all),
+  b as (select * from d qualify row_number() over (partition by field order by p_size desc) = 1),
+  f as (select distinct p_brand as field from part union select n_name from nation)
+  select f.field, b.folder, b.input, case when b.input is not null then 'catalog_' || substr(b.folder, 8) || '.csv' end as output,
+    case when b.folder is null then 'no_mosaic_dir' when b.input is null then 'no_f444w' when b.p_size % 4 > 0 then 'skipped' else 'run' end as status
+  from f left join b using (field)""")
+def planned_runs(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    fields = part.selectExpr("p_brand as field").unionByName(spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_name as field"))
+    listing = part.selectExpr(*_LISTED)
+    outputs = part.selectExpr("concat('mosaic_', p_brand, 'v', cast(p_size as varchar(20))) as folder", f"{_OUTPUTS} as file_name", "p_size % 4 as size")
+    return sel.plan_runs(fields, listing, outputs)
+
+
 @query("select o_orderstatus as status, count(*) as n from orders group by 1")
 def status_counts(spark, sf):
     return sel.status_counts(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderstatus").withColumnRenamed(

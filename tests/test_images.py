@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyweft.config import Coadd, Detection, Extraction, MatchedFilter, StarMask
 from skyweft.functions import kernels, stamps
+from skyweft.functions.sky import TangentPlane
 from skyweft.operators import coadd, cutouts, detect, mask, match
 
 
@@ -283,3 +284,27 @@ def test_many_images_equal_one_at_a_time(spark):
         one, s = detect.detect_sources(table.where(F.col("frame") == k).drop("frame"), cfg)
         assert {(k, r["y"], r["x"]): r["label"] for r in one.collect()} == {p: v for p, v in got.items() if p[0] == k}
         assert levels[k]["threshold"] == pytest.approx(s["threshold"]) and levels[k]["n"] == s["n"]
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_reprojection_equals_bilinear_interpolation(spark, block):
+    rng = np.random.default_rng(3)
+    img = rng.random((14, 17))
+    img[5, 6] = np.nan
+    source = TangentPlane(8.0, 7.0, 150.0, 2.0, -1e-4, 0.0, 0.0, 1e-4)
+    c, s = 0.6e-4 * np.cos(0.3), 0.6e-4 * np.sin(0.3)
+    reference = TangentPlane(10.0, 9.0, 150.0, 2.0, -c, s, s, c)
+    grid = spark.createDataFrame([(y, x) for y in range(25) for x in range(25)], "y int, x int")
+    got = {(r.y, r.x): r.v for r in cutouts.reproject(pixels(spark, img), source, grid, reference, block=block).collect()}
+    assert len(got) == 625
+    for (y, x), v in got.items():
+        u, w = x - 9.0, y - 8.0
+        xi, eta = -c * u + s * w, s * u + c * w
+        sx, sy = -xi / 1e-4 + 7.0, eta / 1e-4 + 6.0
+        iy, ix = int(np.floor(sy)), int(np.floor(sx))
+        want = 0.0
+        for dy, dx, k in ((0, 0, (1 - sy + iy) * (1 - sx + ix)), (0, 1, (1 - sy + iy) * (sx - ix)), (1, 0, (sy - iy) * (1 - sx + ix)), (1, 1, (sy - iy) * (sx - ix))):
+            there = 0 <= iy + dy < 14 and 0 <= ix + dx < 17
+            want += k * (img[iy + dy, ix + dx] if there else np.nan)
+        assert (v is None) == bool(np.isnan(want)) and (v is None or v == pytest.approx(want, abs=1e-6)), (y, x)
+    assert sum(v is not None for v in got.values()) > 100

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweft.operators import graph, match, stats
+from skyweft.operators import graph, match, selection, stats
 from skyweft.plans import halo, lineage, ranking, skew
 
 
@@ -132,3 +132,20 @@ def test_suppression_equals_greedy(spark, sep):
     pts = [(int(c // 30), int(c % 30), float(rng.integers(0, 12))) for c in cells]
     got = match.suppress_close(spark.createDataFrame(pts, "y int, x int, score double"), sep).collect()
     assert sorted((r["y"], r["x"], r["score"]) for r in got) == greedy(pts, sep)
+
+
+def test_every_field_has_one_planned_run(spark):
+    listing = spark.createDataFrame([
+        ("a", "mosaic_a_v9", "x_F444W.fits"), ("a", "mosaic_a_v10", "z_F444W_i2d.fits"), ("a", "mosaic_a_v10", "b_F444W.fits"), ("a", "other_a_v99", "F444W.fits"),
+        ("b", "mosaic_b_v1", "F200W.fits"), ("c", "mosaic_x_v1", "F444W.fits"), ("d", "mosaic_d_v2", "F444W.fits"), ("e", "mosaic_e_v1", "F444W.fits"),
+        ("f", "mosaic_f_v1", "F444W.fits.gz"), ("f", "mosaic_f_v2", None), ("zz", "mosaic_zz", "F444W.fits")], "field string, folder string, file_name string")
+    fields = spark.createDataFrame([(f,) for f in "abcdefga"], "field string")
+    outputs = spark.createDataFrame([("mosaic_d_v2", "catalog_d_v2.csv", 5), ("mosaic_e_v1", "catalog_e_v1.csv", 0)], "folder string, file_name string, size long")
+    rows = {r.field: tuple(r)[1:] for r in selection.plan_runs(fields, listing, outputs).collect()}
+    assert rows == {
+        "a": ("mosaic_a_v10", "b_F444W.fits", "catalog_a_v10.csv", "run"), "b": ("mosaic_b_v1", None, None, "no_f444w"), "c": (None, None, None, "no_mosaic_dir"),
+        "d": ("mosaic_d_v2", "F444W.fits", "catalog_d_v2.csv", "skipped"), "e": ("mosaic_e_v1", "F444W.fits", "catalog_e_v1.csv", "run"),
+        "f": ("mosaic_f_v2", None, None, "no_f444w"), "g": (None, None, None, "no_mosaic_dir")}
+    forced = selection.plan_runs(fields, listing, outputs, force=True)
+    assert {r.status for r in forced.collect()} == {"run", "no_f444w", "no_mosaic_dir"}
+    assert selection.plan_runs(fields.limit(0), listing, outputs).collect() == []
