@@ -3,6 +3,8 @@ import re
 
 import xxhash
 
+import pytest
+
 from skyweft.llm import queries, simhash
 
 
