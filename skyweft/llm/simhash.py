@@ -18,6 +18,7 @@ empty table gives an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, drop_table
 
 SHINGLE = 3
 SEED = 42
@@ -110,6 +111,8 @@ RECALL = 0.99
 SEGMENTS, SEGMENT_BITS = 16, 24
 #: 64-bit lanes of the fingerprint.
 LANES = 16
+#: Chance members of a value: shorter segments meet more often, so fewer rows are shuffled.
+OCCUPANCY = 8
 BLOCK = 512
 
 
@@ -147,15 +150,15 @@ def most_bits(bits: int, similarity: float = SIMILARITY, deviations: float = 4.0
 
 
 def segments_for(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(bits a segment, segments): about one random member a value, and at least
-    ``recall`` for a pair exactly at the similarity by balls of radius one."""
+    """(bits a segment, segments): about ``OCCUPANCY`` random members a value, and at
+    least ``recall`` for a pair exactly at the similarity by balls of radius one."""
     q = flipped(similarity)
 
     def needed(bits: int) -> int:
         meet = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
         return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
 
-    bits = min(24, max(12, round(np.log2(max(2, classes)))))
+    bits = min(24, max(12, round(np.log2(max(2, classes) / OCCUPANCY))))
     while bits > 1 and bits * needed(bits) > 64 * LANES:  # all segments lie in the fingerprint
         bits -= 1
     return bits, needed(bits)
@@ -250,27 +253,45 @@ def candidates(classes: DataFrame, bits: int, segments: int, similarity: float =
     near = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= limit
     once = F.col("a.flips") | (F.col("a.node") < F.col("b.node"))
     found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & near & once)
-    return found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    pairs = found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    most = most_bits(64 * LANES, similarity, 3.25)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in (2, 3))
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= most))
+
+    x, y = (classes.select(F.col("node").alias(c), F.col("lanes").alias(f"{c}_lanes")) for c in "uv")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "u_lanes", "v_lanes").mapInArrow(close, "u bigint, v bigint")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (u, v) whose shingle sets really are so similar."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs (u, v) whose shingle sets really are so similar. The texts of
+    candidate classes (node, first, text_key) are fetched from ``docs`` (doc_id,
+    text); sets are made where two texts meet and are never written."""
     pairs = cut_lineage(pairs, "candidates")
-    needed = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    sets = cut_lineage(rows.select("row", "shingles").join(needed, "row"), "shingles")
-    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("x")), "u")
-    both = both.join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = classes.select("node", "first", "text_key").join(needed, "node")
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("text_key")))
+    texts = cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+    both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(maxsize=16)(wide_shingles)  # a text stands in several rows
         for batch in batches:
             alike: list[bool] = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = shingles(x.as_py()), shingles(y.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(shared > 0 and shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    return cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
+    links = cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
+    drop_table(texts)
+    drop_table(pairs)
+    return links
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -289,20 +310,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 batch = whole.slice(at, 256)
                 sets = [wide_shingles(t.as_py()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([_lanes(s, LANES).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                ], names=["doc_id", "same", "lanes", "shingles"])
+                    batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([_lanes(s, LANES).tobytes() for s in sets], pa.binary()),
+                ], names=["doc_id", "text_key", "same", "lanes"])
 
-    read = docs.select(F.col(id_col).cast("bigint"), text_col)
-    made = read.mapInArrow(prints, "doc_id bigint, same binary, lanes binary, shingles binary")
+    read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    made = read.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, "doc_id bigint, text_key bigint, same binary, lanes binary")
     rows = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()), "wide-fingerprints")
-    # Equal sets are one class; the first of its rows stands for it.
-    classes = rows.groupBy("same", "lanes").agg(F.min("doc_id").alias("first"), F.min("row").alias("node"))
-    classes = cut_lineage(classes, "classes")
-    close = verified(_close_copies(classes), rows, similarity)
+    # Equal sets are one class; the first of its rows stands for it, by its id and text.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    classes = rows.groupBy("same", "lanes").agg(one.alias("one"), F.min("row").alias("node"))
+    classes = cut_lineage(classes.select("same", "lanes", "node", F.col("one.doc_id").alias("first"), F.col("one.text_key").alias("text_key")), "classes")
+    close = verified(_close_copies(classes), classes, read, similarity)
     joined = connected_components(close).withColumnRenamed("root", "part")
     parts = cut_lineage(classes.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "lanes", "part"), "parts")
-    more = verified(candidates(parts, *segments_for(parts.count(), similarity), similarity), rows, similarity)
+    more = verified(candidates(parts, *segments_for(parts.count(), similarity), similarity), classes, read, similarity)
+    drop_table(parts)
     rooted = classes.join(connected_components(close.unionByName(more)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Written, so that the join has an exchange on both sides and a large component can be split.
     smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
