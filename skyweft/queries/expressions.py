@@ -8,6 +8,7 @@ from ..config import StarMask, StarRadius
 from ..fixtures import fixture
 from ..functions import kernels, photometry as ph, sky, stamps, text
 from ..operators import cutouts, detect, tiles
+from ..sources import tables
 from . import query
 from .sqltext import (
     CATALOG, LABELS, MOSAICS, RADIUS, SKY, STARS, TARGETS, TILE_X, TILE_Y, mod_floor, sep_arcsec,
@@ -267,6 +268,20 @@ def image_name_parts(spark, sf):
                         text.file_stem("name").alias("stem"), text.masked_name("name").alias("masked"))
 
 
+@query(f"""with t as (select p_partkey, cast(floor(p_partkey/50e0) as integer) as dir, {_FILE} as name from part),
+  s as (select *, concat('/d', dir, '/', name, '#', p_partkey) as path,
+    list_filter(string_split(string_split(regexp_replace(name, '\\.fits(\\.gz)?$', ''), '_')[1], '-'), lambda e: e <> '') as toks from t),
+  f as (select *, list_position(list_transform(toks, lambda e: regexp_full_match(e, '(?i)F\\d{{3,4}}[A-Z0-9]*')), true) as spot from s),
+  k as (select path, dir, case when spot > 0 then nullif(upper(regexp_replace(toks[spot + 1], '(?i)v\\d+$', '')), '') end as field from f)
+  select a.path, 1 + count(b.path) as n_members, concat_ws(',', a.path, string_agg(b.path, ',' order by b.path)) as members
+  from k a left join k b on a.dir = b.dir and a.field = b.field and a.path <> b.path group by a.path""")
+def sibling_images(spark, sf):
+    names = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", "cast(floor(p_partkey/50e0) as integer) as dir", f"{_FILE} as file_name")
+    files = names.select("file_name", F.concat(F.lit("/d"), "dir", F.lit("/"), "file_name", F.lit("#"), "p_partkey").alias("path"))
+    lists = tables.sibling_lists(files)
+    return lists.select("path", F.size("siblings").cast("bigint").alias("n_members"), F.array_join("siblings", ",").alias("members"))
+
+
 @query(r"""with t as (select page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
      '&#39;', ''''), '&amp;', '&') as h from pages),
   u as (select page_id, unnest(list_distinct(regexp_extract_all(h, 'https?://[^\s"''<>]+'))) as url from t)

@@ -10,7 +10,7 @@ from ..fixtures import IMAGE_WIDTH, fixture
 from ..functions.kernels import gaussian_kernel, gaussian_psf, template_set
 from ..functions.sky import TangentPlane
 from ..functions import stamps
-from ..operators import apertures, cutouts, deblend, detect, mask, match
+from ..operators import apertures, cutouts, deblend, detect, mask, match, resize
 from . import query
 from .sqltext import CATALOG, IMAGE, STARS
 
@@ -366,3 +366,28 @@ def stamp_metrics(spark, sf):
                                       lambda a: {"P_mean": float(a.mean()), "S_top": float(a.max()), "_hidden": 1.0})
     out = cutouts.spread_metrics(measured, ["mean", "top"])
     return out.select("source_number", "ok", F.round("mean", 5).alias("mean"), F.round("top", 5).alias("top"))
+
+
+def _axis_sql(axis: str, n_out: int) -> str:
+    """(i, o, w): bilinear taps of a smoothed axis, mirrored at the edges."""
+    n = f"(select max({axis}) + 1 from {IMAGE})"
+
+    def mirror(e: str) -> str:
+        m = f"((({e}) % (2*(n - 1)) + 2*(n - 1)) % (2*(n - 1)))"
+        return f"(case when {m} < n then {m} else 2*(n - 1) - {m} end)"
+
+    return f"""(with d as (select n, sigma, cast(floor(4e0*sigma + 0.5e0) as integer) as reach from
+      (select n, greatest(0e0, (n/{n_out}e0 - 1e0)/2e0) as sigma from (select {n} as n))),
+    g as (select k, g/sum(g) over () as g from (select k, case when reach = 0 then 1e0 else exp(-0.5e0*k*k/(sigma*sigma)) end as g
+      from d, range(-1000, 1001) r(k) where abs(k) <= reach)),
+    p as (select o, n, {mirror(f"(o + 0.5e0)*n/{n_out}e0 - 0.5e0")} as place from d, range({n_out}) r(o)),
+    t as (select o, n, cast(floor(place) as integer) as tap, 1e0 - (place - floor(place)) as w from p
+      union all select o, n, cast(floor(place) as integer) + 1, place - floor(place) from p)
+    select i, o, sum(w) as w from (select o, {mirror("tap + k")} as i, w*g as w from t, g) group by i, o)"""
+
+
+@query(f"""select cast(wy.o as integer) as y, cast(wx.o as integer) as x, round(sum(p.v*wy.w*wx.w), 6) as v
+  from {IMAGE} p join {_axis_sql('y', 30)} wy on wy.i = p.y join {_axis_sql('x', 150)} wx on wx.i = p.x group by all""")
+def resized_image(spark, sf):
+    out = resize.resized(fixture(spark, sf, "image"), (30, 150))
+    return out.select("y", "x", F.round("v", 6).alias("v"))

@@ -37,9 +37,47 @@ def round_up(n: int) -> int:
     return -(-n // BLOCK) * BLOCK
 
 
+class ForwardFile:
+    """A compressed file read from start to end: seeking forward skips by reading."""
+
+    SKIP = 1 << 20
+
+    def __init__(self, stream):
+        self.stream, self.at = stream, 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (got := self.stream.read(size)):
+            parts.append(got)
+            size -= len(got)
+            self.at += len(got)
+        return b"".join(parts)
+
+    def seek(self, to: int) -> None:
+        if to < self.at:
+            raise ValueError("a compressed file is read forward only")
+        while self.at < to and self.read(min(self.SKIP, to - self.at)):
+            pass
+
+
+def is_compressed(path: str) -> bool:
+    return path.lower().endswith(".gz")
+
+
 def open_input(path: str):
     fs, where = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
         pafs.LocalFileSystem(), path)
+    if is_compressed(path):
+        return ForwardFile(fs.open_input_stream(where, compression="gzip"))
     return fs.open_input_file(where)
 
 
@@ -133,26 +171,31 @@ class Hdu:
         return self.header.get("XTENSION") == "BINTABLE"
 
 
+def hdus_of(f) -> Iterator[Hdu]:
+    """Headers of an open file in order; data parts are skipped by seeking. Where an
+    HDU is handed out, the file stands at its data."""
+    index = 0
+    while True:
+        cards = read_cards(f)
+        if cards is None:
+            return
+        header = cards_dict(cards)
+        n = int(header.get("NAXIS", 0))
+        size = 0
+        if n > 0:
+            size = abs(int(header["BITPIX"])) // 8
+            for i in range(1, n + 1):
+                size *= int(header[f"NAXIS{i}"])
+            size = int(header.get("GCOUNT", 1)) * (size + int(header.get("PCOUNT", 0)))
+        start = f.tell()
+        yield Hdu(index, cards, header, start, size)
+        f.seek(start + round_up(size))
+        index += 1
+
+
 def scan_hdus(path: str) -> Iterator[Hdu]:
-    """Headers of a file in order; data parts are skipped by seeking."""
     with open_input(path) as f:
-        index = 0
-        while True:
-            cards = read_cards(f)
-            if cards is None:
-                return
-            header = cards_dict(cards)
-            n = int(header.get("NAXIS", 0))
-            size = 0
-            if n > 0:
-                size = abs(int(header["BITPIX"])) // 8
-                for i in range(1, n + 1):
-                    size *= int(header[f"NAXIS{i}"])
-                size = int(header.get("GCOUNT", 1)) * (size + int(header.get("PCOUNT", 0)))
-            start = f.tell()
-            yield Hdu(index, cards, header, start, size)
-            f.seek(start + round_up(size))
-            index += 1
+        yield from hdus_of(f)
 
 
 # -- headers -----------------------------------------------------------------------
@@ -259,8 +302,8 @@ def table_columns(header: dict) -> list[TableColumn]:
     return out
 
 
-def find_table(path: str) -> Hdu:
-    for hdu in scan_hdus(path):
+def find_table(path: str, hdus: Iterator[Hdu] | None = None) -> Hdu:
+    for hdu in scan_hdus(path) if hdus is None else hdus:
         if hdu.is_table:
             return hdu
     raise ValueError(f"no binary table in {path}")
@@ -269,7 +312,8 @@ def find_table(path: str) -> Hdu:
 @dataclass
 class ByteRange(InputPartition):
     """The rows of a file that begin in [low, high). Planning needs only sizes;
-    every task reads the headers of its own file."""
+    every task reads the headers of its own file. A compressed file is one range
+    without end: it cannot be entered in the middle, so one task reads it once."""
 
     path: str
     low: int
@@ -279,6 +323,9 @@ class ByteRange(InputPartition):
 def byte_ranges(paths: list[str], size: int) -> list[InputPartition]:
     out: list[InputPartition] = []
     for path in paths:
+        if is_compressed(path):
+            out.append(ByteRange(path, 0, 1 << 62))
+            continue
         fs, where = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         total = max(1, fs.get_file_info(where).size)
         out += [ByteRange(path, low, low + size) for low in range(0, total, size)]
@@ -299,12 +346,12 @@ class TableReader(DataSourceReader):
         return byte_ranges(self.paths, self.range_bytes)
 
     def read(self, part):
-        hdu = find_table(part.path)
-        columns = {c.name: c for c in table_columns(hdu.header)}
-        row_bytes = int(hdu.header["NAXIS1"])
-        begin, end = rows_beginning(part, hdu.data_start, row_bytes, int(hdu.header["NAXIS2"]))
-        step = max(1, (8 << 20) // row_bytes)  # about 8 MB per batch
         with open_input(part.path) as f:
+            hdu = find_table(part.path, hdus_of(f))
+            columns = {c.name: c for c in table_columns(hdu.header)}
+            row_bytes = int(hdu.header["NAXIS1"])
+            begin, end = rows_beginning(part, hdu.data_start, row_bytes, int(hdu.header["NAXIS2"]))
+            step = max(1, (8 << 20) // row_bytes)  # about 8 MB per batch
             for first in range(begin, end, step):
                 n = min(step, end - first)
                 f.seek(hdu.data_start + first * row_bytes)
@@ -353,9 +400,9 @@ class ImageReader(DataSourceReader):
     def __init__(self, paths, options):
         self.paths, self.o = paths, options
 
-    def _choose(self, path: str) -> Hdu:
+    def _choose(self, path: str, hdus: Iterator[Hdu]) -> Hdu:
         wanted = self.o.get("hdu", "")
-        for hdu in scan_hdus(path):
+        for hdu in hdus:
             if hdu.is_table or len(hdu.shape) < 2:
                 continue
             if wanted == "" or (wanted.isdigit() and hdu.index == int(wanted)) or hdu.name.upper() == wanted.upper():
@@ -367,8 +414,11 @@ class ImageReader(DataSourceReader):
 
     def read(self, part):
         """Bands of ``block`` rows whose first row begins in the byte range."""
+        with open_input(part.path) as f:
+            yield from self._bands(part, f, self._choose(part.path, hdus_of(f)))
+
+    def _bands(self, part, f, hdu: Hdu):
         size = int(self.o.get("block", 256))
-        hdu = self._choose(part.path)
         height, width = hdu.shape[-2:]
         planes = int(np.prod(hdu.shape[:-2], dtype=int))
         plane = {"first": 0, "last": planes - 1}.get(self.o.get("plane", "first"))
@@ -388,23 +438,22 @@ class ImageReader(DataSourceReader):
             return
         row_bytes = width * kind.itemsize
         begin, end = rows_beginning(part, start, row_bytes, height)
-        with open_input(part.path) as f:
-            for y in range(begin + -begin % size, end, size):
-                y0, y1 = max(y_low, y), min(y_high, y + size)
-                if y1 <= y0:
-                    continue
-                f.seek(start + y0 * row_bytes)
-                stored = np.frombuffer(f.read((y1 - y0) * row_bytes), kind).reshape(y1 - y0, width)
-                band = stored.astype("f8") * scale + zero
-                if blank is not None:
-                    band[stored == int(blank)] = np.nan
-                for x in range(lo - lo % size, hi, size):
-                    a, b = max(lo, x), min(hi, x + size)
-                    values = pa.array(band[:, a:b].ravel(), pa.float64(), from_pandas=True)  # NaN becomes NULL
-                    data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                    head = [pa.array([part.path]), pa.array([hdu.index], pa.int32())]
-                    ints = [pa.array([int(v)], pa.int32()) for v in (y0, a, y1 - y0, b - a)]
-                    yield pa.RecordBatch.from_arrays([*head, *ints, data], ["path", "hdu", "y0", "x0", "height", "width", "data"])
+        for y in range(begin + -begin % size, end, size):
+            y0, y1 = max(y_low, y), min(y_high, y + size)
+            if y1 <= y0:
+                continue
+            f.seek(start + y0 * row_bytes)
+            stored = np.frombuffer(f.read((y1 - y0) * row_bytes), kind).reshape(y1 - y0, width)
+            band = stored.astype("f8") * scale + zero
+            if blank is not None:
+                band[stored == int(blank)] = np.nan
+            for x in range(lo - lo % size, hi, size):
+                a, b = max(lo, x), min(hi, x + size)
+                values = pa.array(band[:, a:b].ravel(), pa.float64(), from_pandas=True)  # NaN becomes NULL
+                data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                head = [pa.array([part.path]), pa.array([hdu.index], pa.int32())]
+                ints = [pa.array([int(v)], pa.int32()) for v in (y0, a, y1 - y0, b - a)]
+                yield pa.RecordBatch.from_arrays([*head, *ints, data], ["path", "hdu", "y0", "x0", "height", "width", "data"])
 
 
 class FitsImageSource(DataSource):

@@ -99,18 +99,24 @@ def list_cutouts(spark: SparkSession, folder: str, tile_id: str | None = None) -
     return out if tile_id is None else out.where(F.col("tile_id") == tile_id)
 
 
-def sibling_images(files: DataFrame) -> DataFrame:
-    """For every image, the images of the same folder and field in any filter,
-    itself first: (path, member, member_rank). Lists are keyed by folder and
-    field, so the join is an equi-join."""
+def sibling_lists(files: DataFrame) -> DataFrame:
+    """One row per file: (path, siblings), the images of the same folder and field in
+    any filter, without repeats, the file itself first and the others by path. A file
+    without a filter or field stands alone. Every field's list is made and sorted
+    once and joined by folder and field."""
     parts = filter_and_field("file_name")
-    keyed = files.withColumns({"_f": parts["field"], "_filter": parts["filter"],
-                               "_dir": F.regexp_replace("path", r"/[^/]*$", "")})
-    member = keyed.where(F.col("_filter").isNotNull() & F.col("_f").isNotNull()).select(
-        "_dir", "_f", F.col("path").alias("member"))
-    joined = keyed.join(member, ["_dir", "_f"], "left")
-    alone = F.coalesce("member", "path")
-    return joined.select("path", alone.alias("member"), (alone != F.col("path")).cast("int").alias("member_rank"))
+    keyed = files.select("path", F.regexp_replace("path", r"/[^/]*$", "").alias("_dir"),
+                         F.when(parts["filter"].isNotNull(), parts["field"]).alias("_f"))
+    fields = keyed.where(F.col("_f").isNotNull()).groupBy("_dir", "_f").agg(F.array_sort(F.collect_set("path")).alias("_members"))
+    others = F.filter(F.coalesce("_members", F.array().cast("array<string>")), lambda m: m != F.col("path"))
+    return keyed.join(fields, ["_dir", "_f"], "left").select("path", F.concat(F.array("path"), others).alias("siblings"))
+
+
+def sibling_images(files: DataFrame) -> DataFrame:
+    """The lists of ``sibling_lists`` as rows: (path, member, member_rank), rank 0 for
+    the file itself and 1 for the others."""
+    rows = sibling_lists(files).select("path", F.explode("siblings").alias("member"))
+    return rows.withColumn("member_rank", (F.col("member") != F.col("path")).cast("int"))
 
 
 def expect_count(found: int, expected: int | None) -> None:

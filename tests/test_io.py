@@ -274,6 +274,29 @@ def test_fits_images(spark, tmp_path):
         fits.read_blocks(spark, str(cube), plane="squeeze").count()
 
 
+def test_compressed_files_equal_the_plain_ones(spark, tmp_path):
+    img = np.arange(300 * 40, dtype=">f4").reshape(300, 40)
+    card = fits_sink.card
+    empty = fits_sink.header_bytes([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0)])
+    planes = b""
+    for name, data in (("SCI", img), ("WHT", img + 1)):
+        planes += fits_sink.header_bytes([card("XTENSION", "IMAGE"), card("BITPIX", -32), card("NAXIS", 2), card("NAXIS1", 40), card("NAXIS2", 300),
+                                          card("PCOUNT", 0), card("GCOUNT", 1), card("EXTNAME", name)]) + fits_sink.padded(data.tobytes())
+    plain, packed = tmp_path / "a.fits", tmp_path / "b.fits.gz"
+    plain.write_bytes(empty + planes)
+    packed.write_bytes(gzip.compress((empty + planes)[:50_000]) + gzip.compress((empty + planes)[50_000:]))  # two members
+    for options in ({}, {"hdu": "WHT"}, {"hdu": "WHT", "y0": 130, "y1": 290, "x0": 3, "x1": 20}):
+        a, b = ([tuple(r)[1:] for r in fits.read_blocks(spark, str(f), block=64, rangeBytes=9000, **options).orderBy("y0", "x0").collect()] for f in (plain, packed))
+        assert a == b and a
+    assert fits.read_blocks(spark, str(packed), rangeBytes=9000).rdd.getNumPartitions() == 1
+    cards = [sorted(tuple(r)[1:] for r in fits.header_cards(spark, str(f)).select("path", "hdu", "key", "value").collect()) for f in (plain, packed)]
+    assert cards[0] == cards[1]
+    both = fits.header_cards(spark, str(tmp_path), "*.fits*").select("path").distinct().count()
+    assert both == 2
+    with pytest.raises(Exception):
+        fits.read_blocks(spark, str(packed), hdu="ERR").count()
+
+
 def test_cutout_listing(spark, tmp_path):
     (tmp_path / "tile_042.345_source_7.0.fits").write_bytes(fits_sink.image_hdu(np.zeros((2, 2), "float32"), primary=True))
     cards = [fits_sink.card("TILEID", "042.346"), fits_sink.card("SRCID", "9")]
