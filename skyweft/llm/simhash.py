@@ -114,6 +114,27 @@ LANES = 16
 #: Chance members of a value: shorter segments meet more often, so fewer rows are shuffled.
 OCCUPANCY = 8
 BLOCK = 512
+#: Size of a bitmap of hashed ids, and of its rows (as ``bitmap_construct_agg`` makes them): 16 MB in all.
+BITMAP, BITMAP_ROW = 1 << 27, 1 << 15
+
+
+def bitmap_of(ids: DataFrame) -> DataFrame:
+    """(__row, __map) of at most BITMAP bits: those that the ids (one column) hash to.
+    Its size does not depend on the number of ids; a full one only selects less."""
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP))
+    placed = ids.select(F.floor(place / BITMAP_ROW).cast("int").alias("__row"), F.pmod(place, F.lit(BITMAP_ROW)).alias("bit"))
+    # Dealt before they are added up, so that no task sends a whole row for a single bit.
+    return placed.repartition("__row").groupBy("__row").agg(F.bitmap_construct_agg("bit").alias("__map"))
+
+
+def split_by(rows: DataFrame, id_col: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in the bitmap, rows whose id surely is not), without a shuffle of rows."""
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(BITMAP))
+    joined = rows.withColumn("__row", F.floor(place / BITMAP_ROW).cast("int")).join(F.broadcast(bitmap), "__row", "left")
+    at = F.pmod(place, F.lit(BITMAP_ROW))
+    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.where(hit).select(*rows.columns), joined.where(~hit).select(*rows.columns)
 
 
 def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -271,8 +292,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     text); sets are made where two texts meet and are never written."""
     pairs = cut_lineage(pairs, "candidates")
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.select("node", "first", "text_key").join(needed, "node")
-    keyed = docs.withColumn("key", F.xxhash64("text"))
+    wanted = cut_lineage(classes.select("node", "first", "text_key").join(needed, "node"), "wanted")
+    # Only rows that may be asked for are shuffled.
+    keyed = split_by(docs, "doc_id", bitmap_of(wanted.select("first")))[0].withColumn("key", F.xxhash64("text"))
     found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("text_key")))
     texts = cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
@@ -289,8 +311,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     links = cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
-    drop_table(texts)
-    drop_table(pairs)
+    for table in (texts, wanted, pairs):
+        drop_table(table)
     return links
 
 
@@ -337,13 +359,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` without near-duplicates (five-word shingles, see
     ``similar_documents``): of each component the smallest id stays. Rows without an id are not compared and stay. Where an id
     that stays is repeated, the row with the smallest text stays."""
-    found = cut_lineage(similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near-duplicates")
-    kept = (
-        found.groupBy("doc_id").agg(F.count("*").alias("copies"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-        .where("stays").select(F.col("doc_id").alias("__kept"), F.col("copies").alias("__copies"))
-    )
-    joined = docs.join(kept, docs[id_col] == F.col("__kept"))
-    order = Window.partitionBy("__kept").orderBy(text_col)
+    found = similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    judged = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__copies"), stays.alias("__stays"))
+    # Ids that go or are repeated; rows of all others stay where they are.
+    doubtful = cut_lineage(judged.where(~F.col("__stays") | (F.col("__copies") > 1)), "doubtful")
+    asked, clear = split_by(docs.where(F.col(id_col).isNotNull()), id_col, bitmap_of(doubtful.select("__id")))
+    joined = asked.join(doubtful, asked[id_col] == F.col("__id"), "left").where(F.coalesce("__stays", F.lit(True)))
+    order = Window.partitionBy("__id").orderBy(text_col)
     repeated = joined.where("__copies > 1").withColumn("__copies", F.row_number().over(order)).where("__copies = 1")
-    once = joined.where("__copies = 1")
-    return once.unionByName(repeated).drop("__kept", "__copies").unionByName(docs.where(F.col(id_col).isNull()))
+    once = joined.where(F.coalesce("__copies", F.lit(1)) == 1)
+    kept = once.unionByName(repeated).select(*docs.columns)
+    return kept.unionByName(clear).unionByName(docs.where(F.col(id_col).isNull()))
