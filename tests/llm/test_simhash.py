@@ -170,3 +170,14 @@ def test_segments_lie_in_the_fingerprint(classes):
     lanes = [bytes(8 * simhash.LANES), b"\xff" * (8 * simhash.LANES), bytes(8 * simhash.LANES)]
     cut, values = simhash._values(lanes, bits, segments)
     assert cut.shape == (3, segments, bits) and (values[0] == values[2]).all() and (values[1] == (1 << bits) - 1).all()
+
+
+def test_bitmap_lets_every_asked_row_through(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BITMAP", 1 << 16)
+    rows = spark.createDataFrame([(d, "t") for d in [*range(3000), 5, None]], "doc_id int, __t string")
+    ids = spark.createDataFrame([(d,) for d in range(0, 3000, 20)], "node long")
+    asked, clear = (sorted((r[0] for r in part.collect()), key=str) for part in simhash.split_by(rows, "doc_id", simhash.bitmap_of(ids)))
+    assert set(range(0, 3000, 20)) <= set(asked) and len(asked) < 200
+    assert sorted([*asked, *clear], key=str) == sorted([*range(3000), 5, None], key=str)
+    none, every = simhash.split_by(rows, "doc_id", simhash.bitmap_of(ids.limit(0)))
+    assert none.count() == 0 and every.count() == 3002
