@@ -10,11 +10,10 @@ PARAPHRASE of it if also most words of its answer part are there in order. The
 answer part of an item is what follows its last question mark, else its last
 sentence.
 
-Document frequencies cover all documents; only the basis of the latent space,
-which is the index, is fitted on a bounded sample (SAMPLE_DOCS documents by
-hash). All passages of all documents are searched against all items. Items are
-taken in blocks of BLOCK_ITEMS, so what tasks hold is bounded however large the
-benchmark is.
+Document frequencies and the basis of the latent space are fitted on all
+documents, and all passages of all documents are searched against all items.
+Items are taken in blocks of BLOCK_ITEMS, so what tasks hold is bounded however
+large the benchmark is.
 
 Defined cases: a null text has no words; items of fewer than LEAST words cannot
 be told from chance and match nothing; repeated items match alike; a row without
@@ -34,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage, drop_table
+
 STRIDE = 16
 PASSAGE = 2 * STRIDE
 #: Passage lengths searched and their strides, each by the items of fewer words than
@@ -42,11 +43,10 @@ LEVELS = ((8, 2, 12, 0.4), (16, 8, 25, 0.5), (PASSAGE, STRIDE, None, 0.6))
 RANK, OVERSAMPLING = 96, 32
 EXACT, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 LEAST = 5
-SAMPLE_DOCS = 20_000
 BLOCK_ITEMS = 5_000
 SEED = 7
 #: Passages added up at a time while the basis is fitted, and words searched at a time.
-PASSAGES, SECTION = 256, 512
+PASSAGES, SECTION = 2048, 512
 # ASCII characters other than letters and digits separate words.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -132,38 +132,63 @@ class Space:
                 x = tf * self.idf[terms]
                 yield terms, x / np.sqrt(x @ x)
 
-    def add_passages(self, sums: np.ndarray, numbers: np.ndarray, omega: np.ndarray) -> int:
-        """Add x' (x omega) of every passage x of ``rows`` to ``sums``; how many there are."""
-        size, many, added = len(self.vocabulary), max(1, -(-(len(numbers) - STRIDE) // STRIDE)), 0
-        for first in range(0, many, PASSAGES):
-            here = min(PASSAGES, many - first)
-            part = numbers[first * STRIDE : (first + here + 1) * STRIDE]
-            known = np.flatnonzero(part < size)
-            block, term = known // STRIDE, part[known]
-            own, before = block < here, block > 0  # a word stands in the passages of its block and the one before
-            key, tf = np.unique(np.concatenate([block[own] * size + term[own], (block[before] - 1) * size + term[before]]), return_counts=True)
-            if not len(key):
+    def add_passages(self, sums: np.ndarray, numbers: np.ndarray, omega: np.ndarray, lengths: np.ndarray | None = None) -> int:
+        """Add x' (x omega) of every passage x of ``rows`` to ``sums``; how many there are.
+        ``numbers`` holds one document, or several of the given lengths."""
+        size, added = len(self.vocabulary), 0
+        lengths = np.array([len(numbers)]) if lengths is None else lengths
+        own = -(-lengths // STRIDE)
+        after = np.cumsum(own + 1)  # an empty block ends each document
+        term = np.full(int(after[-1]) * STRIDE, size)
+        term[np.arange(len(numbers)) + np.repeat((after - own - 1) * STRIDE - np.cumsum(lengths) + lengths, lengths)] = numbers
+        term = term.reshape(-1, STRIDE)
+        begins = np.ones(len(term), bool)  # a passage begins at each block but a document's last, if it has several
+        begins[after - 1] = False
+        begins[(after - 2)[own > 1]] = False
+        weighted = np.concatenate([self.idf[:, None] * omega, np.zeros((1, omega.shape[1]))])  # a zero row for other words
+        squared = np.append(self.idf * self.idf, 0.0)
+        for first in range(0, len(term) - 1, PASSAGES):
+            here = term[first : first + PASSAGES + 1]
+            many = len(here) - 1
+            known = np.flatnonzero(here < size)
+            if not len(known):
                 continue
-            passage, term = np.divmod(key, size)
-            x = tf * self.idf[term]
-            x /= np.sqrt(np.bincount(passage, x * x))[passage]
-            starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            seen = np.cumsum(np.diff(passage, prepend=passage[0]) > 0)
-            projected = np.add.reduceat(x[:, None] * omega[term], starts, axis=0)
-            order = np.argsort(term, kind="stable")
-            starts_of = np.flatnonzero(np.diff(term[order], prepend=-1))
-            sums[term[order][starts_of]] += np.add.reduceat(x[order, None] * projected[seen[order]], starts_of, axis=0)
-            added += len(starts)
+            words, block = here.ravel()[known], known // STRIDE
+            one = np.bincount(block, squared[words], many + 1)
+            norm = one[:-1] + one[1:]  # and twice each pair of equal words of a passage
+            pair = np.sort(np.concatenate([here[:-1], here[1:]], axis=1), axis=1)
+            passage, slot = np.nonzero((pair[:, 1:] == pair[:, :-1]) & (pair[:, 1:] < size))
+            pair, at, step = pair.ravel(), passage * PASSAGE + slot, 1
+            while len(at):
+                norm += 2 * np.bincount(at // PASSAGE, squared[pair[at]], many)
+                step += 1
+                at = at[at % PASSAGE + step < PASSAGE]
+                at = at[pair[at] == pair[at + step]]
+            valid = begins[first : first + many] & (norm > 0)
+            added += int(valid.sum())
+            projected = weighted[here[:, 0]]
+            for k in range(1, STRIDE):
+                projected += weighted[here[:, k]]
+            projected[:-1] += projected[1:]
+            projected[:-1] *= np.where(valid, 1 / np.where(valid, norm, 1), 0)[:, None]
+            projected[-1] = 0
+            projected[1:] += projected[:-1].copy()  # a word stands in the passages of its block and the one before
+            present = np.flatnonzero(np.bincount(words, minlength=size))
+            place = np.zeros(size, np.int64)
+            place[present] = np.arange(len(present))
+            place = place[words]
+            columns = [np.bincount(place, column.take(block), len(present)) for column in np.ascontiguousarray(projected.T)]
+            sums[present] += self.idf[present, None] * np.array(columns).T
         return added
 
     def random(self) -> np.ndarray:
         return np.random.default_rng(SEED).standard_normal((len(self.vocabulary), min(len(self.vocabulary), RANK + OVERSAMPLING)))
 
     def settle(self, sums: np.ndarray, passages: float) -> None:
-        """Basis from the sampled sums and the items, then the items' vectors."""
+        """Basis from the documents' sums and the items, then the items' vectors."""
         omega = self.random()
         own = [r for i in self.items for r in self.rows(self.numbers(i.words))]
-        weight = max(1.0, passages / max(1, len(own)))  # items and sample count alike
+        weight = max(1.0, passages / max(1, len(own)))  # items and documents count alike
         sums = sums.copy()
         for terms, x in own:
             sums[terms] += weight * np.outer(x, x @ omega[terms])
@@ -269,18 +294,28 @@ def fit(docs: DataFrame, items: list[Item], text_col: str = "text") -> Space:
     if not size:
         return space
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    code = np.dtype(np.uint16 if size < 1 << 16 else np.uint32)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [space.numbers(words_of(text.as_py())).astype(code).tobytes() for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.binary())], names=["numbers"])
+
+    # Written, so that texts are cut into words once for both passes.
+    coded = cut_lineage(texts.mapInArrow(numbered, "numbers binary"), "numbers")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size + 1)
+        counts, documents = np.zeros(size + 1), 0
         for batch in batches:
-            for text in batch.column(0):
-                counts[[space.vocabulary[w] for w in space.vocabulary.keys() & set(words_of(text.as_py()))]] += 1
-                counts[size] += 1
+            documents += len(batch)
+            for numbers in batch.column(0).to_pylist():
+                counts[np.unique(np.frombuffer(numbers, code))] += 1
+        counts[size] = documents
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["key", "n"])
 
     counts = np.zeros(size + 1)
-    for r in texts.mapInArrow(frequencies, "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most one per term
+    for r in coded.mapInArrow(frequencies, "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most one per term
         counts[r["key"]] = r["n"]
     n_docs = counts[size]
     space.idf = np.log((1 + n_docs) / (1 + counts[:size])) + 1
@@ -288,16 +323,16 @@ def fit(docs: DataFrame, items: list[Item], text_col: str = "text") -> Space:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, sums, passages = space.random(), np.zeros((size + 1, width)), 0
-        for batch in batches:
-            for text in batch.column(0):
-                passages += space.add_passages(sums, space.numbers(words_of(text.as_py())), omega)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                held = [np.frombuffer(n, code) for n in whole.column(0).slice(at, 256).to_pylist()]
+                passages += space.add_passages(sums, np.concatenate(held), omega, np.array([len(n) for n in held]))
         sums[size] = passages
         at = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["key", "values"])
 
-    share = min(1.0, SAMPLE_DOCS / max(1.0, n_docs))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    keys, values = _sum_rows(sample.mapInArrow(sketch, "key bigint, values array<double>"), width)
+    keys, values = _sum_rows(coded.mapInArrow(sketch, "key bigint, values array<double>"), width)
+    drop_table(coded)
     sums = np.zeros((size + 1, width))
     sums[keys] = values
     space.settle(sums[:size], float(sums[size, 0]))
