@@ -4,6 +4,8 @@ otherwise. Every function returns NULL when an input is NULL."""
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -199,6 +201,43 @@ def in_convex_polygon() -> Column:
         "_edges", lambda e: dot(_field(e, "n"), p) <= 0.0)
 
 
+def with_edge_normals(df, corners: int):
+    """``_edges`` as plain columns ``_n0x``.. of the normals: join conditions on them
+    are compiled, which functions of arrays are not."""
+    normals = {f"_n{i}{a}": F.get("_edges", F.lit(i))[f"n{a}"] for i in range(corners) for a in AXES}
+    return df.withColumns(normals).drop("_edges")
+
+
+def normal_columns(corners: int) -> list[str]:
+    return [f"_n{i}{a}" for i in range(corners) for a in AXES]
+
+
+def inside_normals(corners: int) -> Column:
+    """``in_convex_polygon`` on the columns of ``with_edge_normals``."""
+    sides = [dot(vector_columns(f"_n{i}"), vector_columns("_p")) for i in range(corners)]
+    return reduce(and_, [s >= 0.0 for s in sides]) | reduce(and_, [s <= 0.0 for s in sides])
+
+
+def polygon_covers_cell(height: float) -> Column:
+    """The convex footprint surely holds every point of its row's cell (``_zone``,
+    ``_cell``): its edges are further from the cell's centre than the cell's corners."""
+    n = _cells_in_zone(F.col("_zone"), height)
+    low = F.col("_zone") * F.lit(height) - 90.0
+    high = F.least(low + height, F.lit(90.0))
+    dec, half = (low + high) / 2.0, F.lit(180.0) / n
+    ra = F.col("_cell") * 360.0 / n + half
+    reach = F.greatest(*[separation_rad(ra, dec, ra + half, d) for d in (low, high)]) + 1e-10
+    center = unit_vector(ra, dec)
+
+    def clear(reach: Column) -> Column:
+        away = F.sin(reach)
+        held = F.forall("_edges", lambda e: dot(_field(e, "n"), center) >= away * e["l"]) | F.forall(
+            "_edges", lambda e: dot(_field(e, "n"), center) <= -away * e["l"])
+        return held & (reach < 0.5)
+
+    return (dot(vector_columns("_c"), center) >= F.col("_cosr")) & bind(reach, clear)
+
+
 def circle_meets_polygon(radius_deg: str) -> Column:
     """Circle and convex polygon overlap: centre inside, a corner in reach, or an
     edge (great-circle segment) in reach."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import FootprintCone, StarRadius
 from ..functions import sky
+from ..plans.lineage import cut_lineage
 from ..plans.skew import HOT_ROWS, salted_join
 
 CELL = ["_zone", "_cell"]
@@ -186,8 +187,10 @@ def join_parameters(sources: DataFrame, parameters: DataFrame, key: str = "sourc
     return salted_join(sources, parameters, [key], "inner")
 
 
-def _level_height(radius_deg: float) -> float:
-    return max(2.0 * radius_deg, MIN_CELL_DEG)
+def _fine_height(radius_deg: float, cells: int) -> float:
+    """Height of cells of which ``cells`` fit a radius: far smaller than a footprint,
+    so that most points of a touched cell lie inside it."""
+    return max(radius_deg / cells, MIN_CELL_DEG)
 
 
 def points_in_polygons(
@@ -204,20 +207,26 @@ def points_in_polygons(
     ``max_radius_deg`` bounds the distance from a footprint's centre to its
     corners; it sets the cell size.
     """
-    height = _level_height(max_radius_deg)
-    circles = _polygon_cells(polygons, corners, max_radius_deg, height)
+    height = _fine_height(max_radius_deg, 2)
+    circles = sky.with_edge_normals(_polygon_cells(polygons, corners, 0.0, height), len(corners))
     placed = sky.with_point_vector(with_point_cell(points, height, ra, dec), ra, dec)
     # The cheap cap test comes first; AND stops there for most pairs.
-    inside = sky.in_bounding_cap() & sky.in_convex_polygon()
-    hits = salted_join(placed, circles, CELL, "inner", inside, hot_rows=hot_rows, growth=MAX_CELLS_PER_CIRCLE)
-    return hits.drop(*CELL, *sky.POLYGON_COLUMNS)
+    inside = sky.in_bounding_cap() & sky.inside_normals(len(corners))
+    hits = salted_join(placed, circles, CELL, "inner", inside, hot_rows=hot_rows, growth=_cells_touched(2))
+    return hits.drop(*CELL, *sky.POLYGON_COLUMNS, *sky.normal_columns(len(corners)))
 
 
-def _polygon_cells(polygons: DataFrame, corners, reach_deg: float, height: float) -> DataFrame:
+def _cells_touched(cells: int) -> int:
+    """Cells that a circle touches at most, where ``cells`` fit its radius."""
+    return (2 * cells + 2) ** 2
+
+
+def _polygon_cells(polygons: DataFrame, corners, beyond_deg: float, height: float) -> DataFrame:
+    """Footprints with the cells within ``beyond_deg`` of their own circle."""
     shaped = sky.with_polygon_edges(polygons, corners)
     ra0, dec0 = sky.polygon_center()
     placed = shaped.withColumns({"_cra": ra0, "_cdec": dec0})
-    return explode_circle_cells(placed, height, F.lit(reach_deg), "_cra", "_cdec").drop("_cra", "_cdec")
+    return explode_circle_cells(placed, height, F.degrees("_capr") + beyond_deg, "_cra", "_cdec").drop("_cra", "_cdec")
 
 
 def newest_covering_mosaic(
@@ -234,17 +243,21 @@ def newest_covering_mosaic(
     dec: str = "dec_",
 ) -> DataFrame:
     """Per target, the newest mosaic whose footprint meets the target's circle;
-    targets without any keep NULLs. ``max_by`` combines on the map side, so a
-    target covered by very many mosaics ships one row per task."""
-    reach = max_target_radius_deg + max_mosaic_radius_deg
-    height = _level_height(reach)
-    circles = _polygon_cells(mosaics, corners, reach, height)
+    targets without any keep NULLs. Of a cell, only mosaics can win that are not
+    older than the newest one that holds all of it, so the mosaics tested per
+    target do not grow with their number. ``max_by`` combines on the map side."""
+    cells = 4
+    height = _fine_height(max_target_radius_deg + max_mosaic_radius_deg, cells)
+    circles = _polygon_cells(mosaics, corners, max_target_radius_deg, height)
+    age = F.struct(created, *keep)
+    whole = circles.where(sky.polygon_covers_cell(height)).groupBy(*CELL).agg(F.max(age).alias("_newest"))
+    able = salted_join(circles, whole, CELL, "left", growth=_cells_touched(cells))
+    circles = cut_lineage(able.where(F.col("_newest").isNull() | (age >= F.col("_newest"))).drop("_newest"), "able-mosaics")
     points = sky.with_point_vector(
         with_point_cell(targets.select(key, ra, dec, target_radius_deg), height, ra, dec), ra, dec)
     close = sky.dot(sky.vector_columns("_c"), sky.vector_columns("_p")) >= F.cos(
         F.col("_capr") + F.radians(target_radius_deg)) - 1e-12
-    hits = salted_join(points, circles, CELL, "inner", close & sky.circle_meets_polygon(target_radius_deg),
-                       growth=MAX_CELLS_PER_CIRCLE)
+    hits = salted_join(points, circles, CELL, "inner", close & sky.circle_meets_polygon(target_radius_deg), growth=4)
     best = hits.groupBy(key).agg(
         F.max_by(F.struct(*keep, created), F.struct(created, *keep)).alias("_best")
     )

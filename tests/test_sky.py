@@ -162,3 +162,22 @@ def test_positions_that_are_not_finite_meet_nothing(spark):
     stars = spark.createDataFrame([(10.0, 20.0, 12.0), (10.0, float("nan"), 12.0), (float("nan"), 20.0, 12.0), (float("-inf"), 1.0, 12.0)],
                                   "ra double, dec_ double, phot_g_mean_mag double")
     assert sorted(r.seq for r in xmatch.exclude_near_stars(catalog, stars).collect()) == [2, 3]
+
+
+def test_newest_mosaic_tests_few_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    boxes = [(k, float(rng.uniform(10, 10.4)), float(rng.uniform(-0.2, 0.2)), float(rng.uniform(0.02, 0.07)), float(rng.integers(0, 50)) if k % 9 else None) for k in range(300)]
+    names = [(f"a{i}", f"d{i}") for i in range(1, 5)]
+    mosaics = spark.createDataFrame([(k, c, *[z for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1)) for z in (r + sx * h, d + sy * h)]) for k, r, d, h, c in boxes],
+                                    "file_name long, creation_date double, " + ", ".join(f"{a} double, {d} double" for a, d in names))
+    points = [(k, float(rng.uniform(9.9, 10.5)), float(rng.uniform(-0.3, 0.3)), 1e-9) for k in range(400)]
+    targets = spark.createDataFrame(points, "id long, ra double, dec_ double, rad double")
+    tested, plain = [], xmatch.cut_lineage if hasattr(xmatch, "cut_lineage") else None
+    monkeypatch.setattr(xmatch, "cut_lineage", lambda df, *a: tested.append(plain(df, *a)) or tested[-1])
+    got = {r["id"]: r["file_name"] for r in xmatch.newest_covering_mosaic(targets, mosaics, names, "rad", 1e-9, 0.1).collect()}
+    for k, ra, dec, _ in points:
+        held = [(c is not None, c or 0.0, n) for n, r, d, h, c in boxes if abs(ra - r) <= h and abs(dec - d) <= h]
+        assert got[k] == (max(held)[2] if held else None)
+    # Footprints that a newer one hides in a cell are not tested there.
+    everything = xmatch._polygon_cells(mosaics, names, 1e-9, 0.025).count()
+    assert tested[0].count() < everything / 2
