@@ -11,8 +11,11 @@ the same two neighbours and blend them by one expression.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from ..config import RgbStretch
 from ..functions import photometry as ph
 from ..functions.sky import finite
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, drop_table
 from ..plans.skew import salted_join
 
 BINS = 1024
@@ -86,6 +89,46 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[s
     return out if by else out.drop(ALL)
 
 
+def ranked_values(values: DataFrame) -> tuple[DataFrame, int]:
+    """Every different value of ``_v`` once, with its copies ``n`` and how many values
+    are ``before`` it, in sorted order; and the number of values. One shuffle and one
+    written table, in which any rank is found by a plain scan."""
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            upto = held + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(upto - n), pa.array(np.full(len(n), part, np.int32))], names=["_v", "n", "_pos", "_part"])
+            held = int(upto[-1]) if len(n) else held
+
+    counted = values.groupBy("_v").agg(F.count("*").alias("n")).repartitionByRange(parts, "_v").sortWithinPartitions("_v")
+    placed = cut_lineage(counted.mapInArrow(run, "_v double, n bigint, _pos bigint, _part int"), "values")
+    shifts, before = [], 0
+    for row in placed.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():  # one row per partition
+        shifts.append((row["_part"], before))
+        before += row["n"]
+    offsets = spark.createDataFrame(shifts, "_part int, _before bigint")
+    ranked = placed.join(F.broadcast(offsets), "_part").select("_v", "n", (F.col("_pos") + F.col("_before")).alias("before"))
+    ranked._written_to = placed._written_to
+    return ranked, before
+
+
+def _holds(rank: int) -> Column:
+    return (F.col("before") <= rank) & (F.col("before") + F.col("n") > rank)
+
+
+def _quantiles_of_ranked(ranked: DataFrame, total: int, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    spots = [float(p) * (total - 1) for p in probs]
+    ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
+    found = ranked.agg(*[F.max(F.when(_holds(r), F.col("_v"))).alias(f"r{r}") for r in ranks]).first()
+    blended = [found[f"r{math.floor(s)}"] + (s - math.floor(s)) * (found[f"r{math.ceil(s)}"] - found[f"r{math.floor(s)}"]) for s in spots]
+    return ranked.sparkSession.range(1).select(*[F.lit(b).alias(n) for b, n in zip(blended, names, strict=True)])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = (),
     direct: int = DIRECT, largest: int | None = None,
@@ -101,6 +144,14 @@ def exact_quantiles(
         spot = [F.lit(float(p)) * (F.size("_vs") - 1) for p in probs]
         at = [[F.get("_vs", r(s).cast("int")) for r in (F.floor, F.ceil)] for s in spot]
         return found.select(*by, *[_blend(s, *v).alias(n) for s, v, n in zip(spot, at, names, strict=True)])
+    if not by:
+        ranked, total = ranked_values(data)
+        if not total:
+            return data.groupBy().agg(*[F.max("_v").alias(n) for n in names]).limit(0)
+        try:
+            return _quantiles_of_ranked(ranked, total, probs, names)
+        finally:
+            drop_table(ranked)
     return _quantiles_by_rank(data, "_v", probs, names, by)
 
 
@@ -154,7 +205,8 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
                   direct: int = DIRECT) -> dict[str, float]:
     """Sigma-clipped mean, median and deviation over the whole column. Only a few
     scalars per round pass through the driver; each round is a scan with two
-    more literal bounds."""
+    more literal bounds. Past ``direct`` values the rounds read the sorted table of
+    different values, in which the survivors are a range."""
     data = df.select(finite(value).alias(value)).where(F.col(value).isNotNull())
     bounds: list[tuple[float, float]] = []
 
@@ -169,7 +221,24 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
         row = survivors().agg(*parts).first()
         return {**row.asDict(), "median": median(survivors(), value, direct, at_most)}
 
-    now = measure(data.count())
+    def measure_ranked(at_most: int) -> dict[str, float]:
+        lo, hi = (max(b[0] for b in bounds), min(b[1] for b in bounds)) if bounds else (-math.inf, math.inf)
+        inside = ranked.where(F.col("_v").between(lo, hi))
+        row = inside.agg(F.sum("n").alias("n"), F.sum(F.col("_v") * F.col("n")).alias("total"), F.min("before").alias("first")).first()
+        if not row["n"]:
+            return {"n": 0, "mean": None, "std": None, "median": None}
+        mean, low, high = row["total"] / row["n"], row["first"] + (row["n"] - 1) // 2, row["first"] + row["n"] // 2
+        away = F.col("_v") - F.lit(mean)
+        rest = inside.agg(F.sum(away * away * F.col("n")).alias("squares"), *[
+            F.max(F.when(_holds(r), F.col("_v"))).alias(c) for r, c in ((low, "low"), (high, "high"))]).first()
+        median = rest["low"] + (row["n"] - 1) / 2 % 1 * (rest["high"] - rest["low"])
+        return {"n": row["n"], "mean": mean, "std": math.sqrt(rest["squares"] / row["n"]), "median": median}
+
+    rows, ranked = data.count(), None
+    if rows > direct:
+        ranked, _ = ranked_values(data.withColumnRenamed(value, "_v"))
+        measure = measure_ranked
+    now = measure(rows)
     for _ in range(max_iters):
         if not now["n"]:
             break
@@ -179,6 +248,7 @@ def clipped_stats(df: DataFrame, value: str, sigma: float = 3.0, max_iters: int
         now = measure(before)
         if now["n"] == before:
             break
+    drop_table(ranked)
     return now
 
 

@@ -149,3 +149,24 @@ def test_every_field_has_one_planned_run(spark):
     forced = selection.plan_runs(fields, listing, outputs, force=True)
     assert {r.status for r in forced.collect()} == {"run", "no_f444w", "no_mosaic_dir"}
     assert selection.plan_runs(fields.limit(0), listing, outputs).collect() == []
+
+
+def test_clipped_statistics_and_whole_table_quantiles_sort_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(5, 2, 3001).round(2), [900.0, -700.0, 5.0, 5.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+
+    def no_rounds(*args, **kwargs):
+        raise AssertionError("a histogram round reads the input again")
+
+    monkeypatch.setattr(stats, "order_statistics", no_rounds)
+    got = stats.clipped_stats(df, "v", 3.0, 5, direct=0)
+    kept = v
+    for _ in range(5):
+        mid, half = np.median(kept), 3.0 * kept.std()
+        kept = kept[(kept >= mid - half) & (kept <= mid + half)]
+    assert got["n"] == len(kept) and got["median"] == np.median(kept)
+    assert np.isclose(got["mean"], kept.mean()) and np.isclose(got["std"], kept.std())
+    row = stats.exact_quantiles(df, "v", [0.0, 0.37, 1.0], ["a", "b", "c"], direct=0).first()
+    assert np.allclose(tuple(row), np.quantile(v, [0.0, 0.37, 1.0]))
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5], ["m"], direct=-1).first() is None
