@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ from ..functions import photometry as ph
 from ..functions.sky import TangentPlane, finite
 from ..functions.text import metric_name
 from ..plans.halo import block_of
+from ..plans.lineage import cut_lineage
 from ..plans.ranking import with_row_number
 from ..plans.skew import rows_fit_broadcast, salted_join
 
+#: Side of the pixel blocks of cutouts, and the largest side of a window's pieces.
 BLOCK = 32
-BLOCK_KEYS = ["_y", "_bx"]
+BLOCK_KEYS = ["_by", "_bx"]
 
 
 def plan_kron_cutouts(sources: DataFrame, pixel_scale: float | None, cfg: KronCutout = KronCutout(),
@@ -59,43 +62,165 @@ def with_windows(sources: DataFrame, cx: str = "cx", cy: str = "cy", side: str =
     return sources.withColumns({"wx0": x0, "wx1": x0 + F.col(side), "wy0": y0, "wy1": y0 + F.col(side)})
 
 
+def _valid(windows: DataFrame) -> DataFrame:
+    return windows.where((F.col("wx1") > F.col("wx0")) & (F.col("wy1") > F.col("wy0")))
+
+
+def _pieces(windows: DataFrame, key: str) -> DataFrame:
+    """Windows cut into pieces of at most ``BLOCK`` pixels a side, each with the
+    block of its first pixel."""
+    def cuts(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.col(lo), F.col(hi) - 1, F.lit(BLOCK)))
+
+    rows = _valid(windows).select(key, "wx0", "wx1", "wy1", cuts("wy0", "wy1").alias("_y0"))
+    cut = rows.select(key, "wx1", "wy1", "_y0", cuts("wx0", "wx1").alias("_x0"))
+    return cut.select(key, "_y0", F.least(F.col("_y0") + BLOCK, "wy1").alias("_y1"), "_x0", F.least(F.col("_x0") + BLOCK, "wx1").alias("_x1"),
+                      block_of("_y0", BLOCK).alias("_by"), block_of("_x0", BLOCK).alias("_bx"))
+
+
+def _pixel_blocks(cells: DataFrame, side: int, value: str) -> DataFrame:
+    """One row per block: x and value of its pixels by (y, x), and for every
+    position of the block and its halo how many pixels stand before it. Absent,
+    repeated and NULL pixels stay what they are."""
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def pack(table: pa.Table) -> pa.Table:
+        by, bx = table["_by"][0].as_py(), table["_bx"][0].as_py()
+        place = (table["y"].to_numpy() - by * BLOCK) * side + table["x"].to_numpy() - bx * BLOCK
+        order = np.argsort(place, kind="stable")
+        at = np.searchsorted(place[order], np.arange(side * side + 1))
+
+        def one_list(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        columns = {"_at": pa.array(at, pa.int32()), "_x": table["x"].combine_chunks().take(pa.array(order)),
+                   "_v": table[value].combine_chunks().take(pa.array(order))}
+        return pa.table({"_by": pa.array([by], pa.int32()), "_bx": pa.array([bx], pa.int32()), **{c: one_list(v) for c, v in columns.items()}})
+
+    return cells.select("_by", "_bx", "y", "x", value).groupBy("_by", "_bx").applyInArrow(
+        pack, f"_by int, _bx int, _at array<int>, _x array<{types['x']}>, _v array<{types[value]}>")
+
+
+def _on_blocks(pixels: DataFrame, windows: DataFrame, key: str, value: str, how: str) -> tuple[DataFrame, int]:
+    """Every piece of a window beside the one block that holds all its pixels, and
+    the side of the blocks with their halo. Pixels are shuffled once, as many
+    times as blocks need them, and windows once; pixels of windows are never.
+    The blocks are written, so that the join knows their size; many pieces on
+    one block are spread over salts. If there are few pieces, only blocks that
+    they ask for are made."""
+    extent = F.least(F.greatest(F.col("wx1") - F.col("wx0"), F.col("wy1") - F.col("wy0")), F.lit(BLOCK))
+    many = F.ceil((F.col("wx1") - F.col("wx0")) / BLOCK) * F.ceil((F.col("wy1") - F.col("wy0")) / BLOCK)
+    reach, n = _valid(windows).agg(F.max(extent), F.sum(many)).first()
+    halo = (reach or 1) - 1
+    pieces = _pieces(windows, key)
+
+    def touched(c: str) -> Column:
+        return F.explode(F.sequence(block_of(F.col(c) - halo, BLOCK), block_of(c, BLOCK)))
+
+    cells = pixels.select("y", "x", value).withColumn("_by", touched("y")).withColumn("_bx", touched("x"))
+    if rows_fit_broadcast(pixels.sparkSession, n or 0):
+        cells = cells.join(F.broadcast(pieces.select(*BLOCK_KEYS).distinct()), BLOCK_KEYS, "left_semi")
+    blocks = cut_lineage(_pixel_blocks(cells, BLOCK + halo, value), "pixel-blocks")
+    return salted_join(pieces, blocks, BLOCK_KEYS, how, spread_by=(key,)), BLOCK + halo
+
+
+def _place(y: Column, x: Column | str, side: int) -> Column:
+    """Position in a block with its halo, counted by rows."""
+    return (y - F.col("_by") * BLOCK) * side + (F.col(x) if isinstance(x, str) else x) - F.col("_bx") * BLOCK
+
+
+def _held(first: Column, end: Column, entry: Callable[[Column], Column]) -> Column:
+    """Entries first..end - 1 of a block. (``slice`` would copy the whole block.)"""
+    found = F.transform(F.sequence(first, end - 1), entry)
+    return F.when(end > first, found).otherwise(F.filter(F.array(entry(F.lit(0))), lambda _: F.lit(False)))
+
+
+def window_pixels(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
+    """(key, _pixels) for each piece of a window that holds pixels: an array of
+    (y, x, value) by rows."""
+    joined, side = _on_blocks(pixels, windows, key, value, "inner")
+
+    def row(y: Column) -> Column:
+        first, end = F.get("_at", _place(y, "_x0", side)), F.get("_at", _place(y, "_x1", side))
+        return _held(first, end, lambda i: F.struct(y.alias("y"), F.get("_x", i).alias("x"), F.get("_v", i).alias(value)))
+
+    held = F.flatten(F.transform(F.sequence(F.col("_y0"), F.col("_y1") - 1), row))
+    return joined.select(key, held.alias("_pixels")).where(F.size("_pixels") > 0)
+
+
 def cutout_pixels(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
-    """(key, y, x, value) of the image pixels inside each window: a range join on
-    runs of ``BLOCK`` pixels of one image row, so a window tests little more than
-    it keeps, whatever its size. Few windows are broadcast after counting their
-    runs; otherwise many windows on one run are spread over salts."""
-    rows = F.sequence("wy0", F.col("wy1") - 1)
-    runs = F.sequence(block_of("wx0", BLOCK), block_of(F.col("wx1") - 1, BLOCK))
-    asked = windows.select(key, "wx0", "wx1", F.explode(rows).alias("_y"), runs.alias("_runs")).select(
-        key, "wx0", "wx1", "_y", F.explode("_runs").alias("_bx"))
-    keyed = pixels.select(F.col("y").alias("_y"), "x", value).withColumn("_bx", block_of("x", BLOCK))
-    inside = (F.col("x") >= F.col("wx0")) & (F.col("x") < F.col("wx1"))
-    n = windows.agg(F.sum((F.col("wy1") - F.col("wy0")).cast("bigint") * F.size(runs))).first()[0] or 0
-    if rows_fit_broadcast(pixels.sparkSession, n):
-        joined = keyed.join(F.broadcast(asked), BLOCK_KEYS).where(inside)
-        return joined.select(key, F.col("_y").alias("y"), "x", value)
-    return salted_join(asked, keyed, BLOCK_KEYS, "inner", inside, spread_by=(key,)).select(key, F.col("_y").alias("y"), "x", value)
+    """(key, y, x, value) of the image pixels inside each window."""
+    held = window_pixels(pixels, windows, key, value).select(key, F.explode("_pixels").alias("_p"))
+    return held.select(key, "_p.y", "_p.x", F.col("_p")[value].alias(value))
+
+
+def _by_key(windows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Windows that have their key alone, and those that share it (None: none do)."""
+    windows = _valid(windows)
+    bounds = [F.min(c).alias(c) for c in ("wx0", "wx1", "wy0", "wy1")]
+    listed = cut_lineage(windows.groupBy(key).agg(F.count("*").alias("_n"), *bounds), "windows")
+    shared = listed.where("_n > 1").select(F.col(key).alias("_key"))
+    # A NULL key may be shared as well.
+    rest = None if shared.isEmpty() else windows.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return listed.where("_n = 1").drop("_n"), rest
 
 
 def partial_cutouts(pixels: DataFrame, windows: DataFrame, key: str, fill: float = 0.0, value: str = "v") -> DataFrame:
-    """Full windows: positions outside the image carry ``fill``."""
-    def every(lo: str, hi: str) -> Column:
-        return F.sequence(F.col(lo), F.col(hi) - 1)
+    """Full windows: positions outside the image carry ``fill``. Windows of one
+    key are one set of positions, and the largest of repeated pixels counts."""
+    def positions(of: DataFrame) -> DataFrame:
+        joined, side = _on_blocks(pixels, of, key, value, "left")
+
+        def at(y: Column, x: Column) -> Column:
+            first, end = F.get("_at", _place(y, x, side)), F.get("_at", _place(y, x, side) + 1)
+            many = F.array_max(_held(first, end, lambda i: F.get("_v", i)))
+            held = F.when(end - first == 1, F.get("_v", first)).when(end > first, many)
+            return F.struct(y.alias("y"), x.alias("x"), held.alias(value))
+
+        ys, xs = (F.sequence(F.col(f"_{c}0"), F.col(f"_{c}1") - 1) for c in "yx")
+        every = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: at(y, x))))
+        return joined.select(key, F.explode(every).alias("_p")).select(key, "_p.y", "_p.x", F.col("_p")[value].alias(value))
 
-    wanted = windows.withColumn("y", F.explode(every("wy0", "wy1"))).withColumn("x", F.explode(every("wx0", "wx1")))
-    # Union and sum instead of a wide outer join: every position occurs once
-    # with the fill marker and at most once with a pixel.
-    blank = wanted.select(key, "y", "x", F.lit(None).cast("double").alias(value))
-    filled = cutout_pixels(pixels, windows, key, value).unionByName(blank)
-    return filled.groupBy(key, "y", "x").agg(F.coalesce(F.max(value), F.lit(fill)).alias(value))
+    alone, shared = _by_key(windows, key)
+    out = positions(alone)
+    if shared is not None:
+        out = out.unionByName(positions(shared).groupBy(key, "y", "x").agg(F.max(value).alias(value)))
+    return out.withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
 def trimmed_summary(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
     """Actual extent of trimmed cutouts; windows that miss the image are absent
-    (the caller counts them as skipped)."""
-    return cutout_pixels(pixels, windows, key, value).groupBy(key).agg(
-        F.count("*").alias("n_pixels"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum(value).alias("total"))
+    (the caller counts them as skipped). Only sums of pieces are shuffled."""
+    xs, first = F.transform("_pixels", lambda p: p["x"]), F.get("_pixels", F.lit(0))
+    known = F.filter("_pixels", lambda p: p[value].isNotNull())
+    total = F.when(F.exists("_pixels", lambda p: p[value].isNotNull()), F.aggregate(known, F.lit(0.0), lambda a, p: a + p[value]))
+    pieces = window_pixels(pixels, windows, key, value).select(
+        key, F.size("_pixels").alias("n"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+        first["y"].alias("y0"), F.element_at("_pixels", -1)["y"].alias("y1"), total.alias("total"))
+    return pieces.groupBy(key).agg(
+        F.sum("n").alias("n_pixels"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("total").alias("total"))
+
+
+def window_stamps(pixels: DataFrame, windows: DataFrame, key: str, value: str = "v") -> DataFrame:
+    """``stamps`` of ``cutout_pixels``. A window of at most ``BLOCK`` pixels a side
+    with a key of its own is a stamp where its block is; only pieces of larger
+    windows and windows that share a key are grouped."""
+    def stamped(held: DataFrame) -> DataFrame:
+        full = held.select(key, F.sort_array("_pixels").alias("_p"))
+        first, xs = F.get("_p", F.lit(0))["y"], F.transform("_p", lambda p: p["x"])
+        return full.select(key, first.alias("y0"), F.array_min(xs).alias("x0"), (F.element_at("_p", -1)["y"] - first + 1).alias("height"),
+                           (F.array_max(xs) - F.array_min(xs) + 1).alias("width"), F.transform("_p", lambda p: p[value]).alias("data"))
+
+    alone, shared = _by_key(windows, key)
+    small = F.greatest(F.col("wx1") - F.col("wx0"), F.col("wy1") - F.col("wy0")) <= BLOCK
+    large = alone.where(~small)
+    rest = shared if large.isEmpty() else large if shared is None else large.unionByName(shared.select(*large.columns))
+    out = stamped(window_pixels(pixels, alone.where(small), key, value))
+    if rest is None:
+        return out
+    together = window_pixels(pixels, rest, key, value).groupBy(key).agg(F.flatten(F.collect_list("_pixels")).alias("_pixels"))
+    return out.unionByName(stamped(together))
 
 
 def stamps(cutouts: DataFrame, key: str, value: str = "v") -> DataFrame:

@@ -361,8 +361,8 @@ def limited_cutout_plan(spark, sf):
 @query(f"""select source_number, 1e0 as ok, round(avg(v), 5) as mean, round(max(v), 5) as top
   from {_WINDOWS} w join {IMAGE} i on y >= wy0 and y < wy0 + side and x >= wx0 and x < wx0 + side group by source_number""")
 def stamp_metrics(spark, sf):
-    pixels = cutouts.cutout_pixels(fixture(spark, sf, "image"), _windows(spark, sf), "source_number")
-    measured = cutouts.measure_stamps(cutouts.stamps(pixels, "source_number"), "source_number",
+    stamped = cutouts.window_stamps(fixture(spark, sf, "image"), _windows(spark, sf), "source_number")
+    measured = cutouts.measure_stamps(stamped, "source_number",
                                       lambda a: {"P_mean": float(a.mean()), "S_top": float(a.max()), "_hidden": 1.0})
     out = cutouts.spread_metrics(measured, ["mean", "top"])
     return out.select("source_number", "ok", F.round("mean", 5).alias("mean"), F.round("top", 5).alias("top"))

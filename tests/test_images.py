@@ -247,6 +247,51 @@ def test_cutouts_trim_and_fill(spark, no_broadcast):
     assert {r["id"]: (r["height"], r["width"], len(r["data"])) for r in full} == {k: (5, 5, 25) for k in ("in", "edge", "out")}
 
 
+def _shuffled_columns(df):
+    """Shuffle keys of the physical plan, one text per exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_cutouts_shuffle_windows_not_their_pixels(spark, no_broadcast):
+    img = np.arange(6400.0).reshape(80, 80)
+    src = spark.range(50).selectExpr("id", "id*1.6D as cx", "id*1.5D as cy", "cast(3 + 2*(id % 4) as int) as side")
+    w = cutouts.with_windows(src)
+    full = cutouts.partial_cutouts(pixels(spark, img), w, "id")
+    assert not any("hashpartitioning(id" in line and "y#" in line for line in _shuffled_columns(full))
+    assert not any("collect_list" in line for line in cutouts.window_stamps(pixels(spark, img), w, "id")._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_cutouts_equal_brute_force(spark, no_broadcast):
+    # Holes, NULL values, repeated pixels and windows, windows larger than a block, shared and NULL keys.
+    rng = np.random.default_rng(5)
+    dots = [(y, x, None if rng.random() < 0.05 else float(rng.integers(-50, 50))) for y in range(90) for x in range(70) if rng.random() > 0.1]
+    dots += dots[::17] + [(3, 3, 7.0), (None, 4, 1.0)]
+    image = spark.createDataFrame(dots, "y int, x int, v double")
+    asked = [(k, float(rng.uniform(-5, 75)), float(rng.uniform(-5, 95)), int(s)) for k, s in enumerate(rng.choice([1, 3, 5, 9], 60))]
+    asked += [(100, 30.0, 40.0, 81), (101, 5.0, 5.0, 33), (7, 20.0, 20.0, 5), (8, 10.0, 10.0, 9), (8, 10.0, 10.0, 9),
+              (None, 12.0, 12.0, 3), (None, 50.0, 50.0, 5), (200, 500.0, 500.0, 5), (201, None, 5.0, 5)]
+    w = cutouts.with_windows(spark.createDataFrame(asked, "id int, cx double, cy double, side int"))
+    inside, spots = [], {}
+    for r in w.where("wx0 is not null").collect():
+        inside += [(r["id"], y, x, v) for y, x, v in dots if y is not None and r["wy0"] <= y < r["wy1"] and r["wx0"] <= x < r["wx1"]]
+        spots.update({(r["id"], y, x): -999.0 for y in range(r["wy0"], r["wy1"]) for x in range(r["wx0"], r["wx1"])})
+    assert sorted(map(tuple, cutouts.cutout_pixels(image, w, "id").collect()), key=repr) == sorted(inside, key=repr)
+    for k, y, x, v in inside:
+        if v is not None:
+            spots[k, y, x] = max(spots[k, y, x], v)
+    full = {(r["id"], r["y"], r["x"]): r["v"] for r in cutouts.partial_cutouts(image, w, "id", -999.0).collect()}
+    assert full == spots
+    by_key = {}
+    for k, *p in inside:
+        by_key.setdefault(k, []).append(tuple(p))
+    summary = {r["id"]: tuple(r)[1:] for r in cutouts.trimmed_summary(image, w, "id").collect()}
+    assert summary == {k: (len(p), min(x for _, x, _ in p), max(x for _, x, _ in p), min(y for y, _, _ in p), max(y for y, _, _ in p),
+                           sum(v for _, _, v in p if v is not None) if any(v is not None for _, _, v in p) else None) for k, p in by_key.items()}
+    plain = {r["id"]: r for r in cutouts.stamps(cutouts.cutout_pixels(image, w, "id"), "id").collect()}
+    assert {r["id"]: r for r in cutouts.window_stamps(image, w, "id").collect()} == plain and set(plain) == set(by_key)
+
+
 def test_metric_failures_stay_in_their_row(spark):
     df = spark.createDataFrame([(1, 1, 2, [1.0, 2.0]), (2, 1, 1, [0.0]), (3, 1, 1, [9.0])],
                                "id int, height int, width int, data array<double>")
