@@ -19,22 +19,38 @@ from skyweft.plans.lineage import checkpoint_root
 from skyweft.shipping import ship_package
 
 
+#: Rows of a batch between the JVM and Python, at most: with Spark's 10000, buffers for the
+#: texts of each running task take much of an executor's memory beside the heap.
+BATCH_ROWS = 1000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's batch rows to BATCH_ROWS. Plans are made after a stage has
+    returned, so the setting stays; a smaller one is kept, 0 and less mean no limit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go: no letters, or a calibrated
     score below one half."""
     ship_package(spark)
+    _bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     ship_package(spark)
+    _bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark`` go."""
     ship_package(spark)
+    _bounded_batches(spark)
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -49,6 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every text."""
     ship_package(spark)
+    _bounded_batches(spark)
     return bpe.encode_decode(
         docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     )

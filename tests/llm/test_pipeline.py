@@ -48,3 +48,16 @@ def test_odd_and_empty_input(spark, tmp_path):
         for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, frame, SF).write.parquet(str(tmp_path / f"{k}-{number}"))
             assert (spark.read.parquet(str(tmp_path / f"{k}-{number}")).count() == 0) or k == 0
+
+
+def test_stages_bound_the_rows_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
+    try:
+        for given, held in ((10000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (100, 100)):
+            spark.conf.set(key, given)
+            corpus_pipeline.token_ids(spark, docs, "")
+            assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
