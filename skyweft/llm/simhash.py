@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,10 @@ LANES = 16
 #: Chance members of a value: shorter segments meet more often, so fewer rows are shuffled.
 OCCUPANCY = 8
 BLOCK = 512
+#: Times the pairs that chance members put on a value: from there on the value is crowded.
+CROWDED = 6
+#: Bytes of shingle hashes of a block of a crowded value, which has at most about BLOCK members.
+CROWD_BYTES = 16 << 20
 #: Size of a bitmap of hashed ids, and of its rows (as ``bitmap_construct_agg`` makes them): 16 MB in all.
 BITMAP, BITMAP_ROW = 1 << 27, 1 << 15
 
@@ -243,39 +249,187 @@ def _close_copies(classes: DataFrame) -> DataFrame:
     return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "u bigint, v bigint").distinct()
 
 
-def candidates(classes: DataFrame, bits: int, segments: int, similarity: float = SIMILARITY) -> DataFrame:
+def _entries(classes: DataFrame, bits: int, segments: int, probing: bool) -> DataFrame:
+    """(key, node, part, lane, flips) and any further columns of the classes (node, lanes,
+    part, ...): each class under its segments' values and, when probing, also under those
+    with one zero flipped. Keys carry the segment's number."""
+    more = [c for c in classes.columns if c not in ("node", "lanes", "part")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                lanes = batch.column(1).to_pylist()
+                cut, values = _values(lanes, bits, segments)
+                keys = values + (np.arange(segments, dtype=np.int64) << bits)
+                row, flips = np.repeat(np.arange(len(keys)), segments), np.zeros(keys.size, bool)
+                keys_all = keys.ravel()
+                if probing:
+                    d, m, b = np.nonzero(cut == 0)
+                    keys_all = np.concatenate([keys_all, keys[d, m] + (np.int64(1) << b)])
+                    row, flips = np.concatenate([row, d]), np.concatenate([flips, np.ones(len(d), bool)])
+                last = np.frombuffer(b"".join(lanes), np.int64).reshape(-1, LANES)[:, -1]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys_all), pa.array(batch.column(0).to_numpy()[row]), pa.array(batch.column(2).to_numpy()[row]), pa.array(last[row]), pa.array(flips),
+                    *[batch.column(c).take(pa.array(row)) for c in more],
+                ], names=["key", "node", "part", "lane", "flips", *more])
+
+    schema = "".join(f", {c} {classes.schema[c].dataType.simpleString()}" for c in more)
+    return classes.select("node", "lanes", "part", *more).mapInArrow(run, f"key bigint, node bigint, part bigint, lane bigint, flips boolean{schema}")
+
+
+def _crowded(classes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """(key, blocks): values whose pairs are many times those of chance members."""
+    held = _entries(classes, bits, segments, False).groupBy("key").agg(F.count("*").alias("n"))
+    zero_bits = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("getbit", F.col("key"), i) == 0)
+    flips = F.transform(zero_bits, lambda i: F.col("key") + F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
+    met = held.select(F.explode(F.concat(F.array("key"), flips)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("met"))
+    mean = max(OCCUPANCY, classes.count() / (1 << bits))
+    many = held.join(met, "key").where(F.col("n") * F.col("met") > CROWDED * mean * mean * (1 + bits / 2))
+    return cut_lineage(many.select("key", F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks")), "crowded")
+
+
+def _meetings(rows: list[tuple], bits: int, segments: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's rows (key, low, high, own, node, part, lanes, ...) that the join
+    of ``candidates`` would give for this key, if they also agree in all bits."""
+    key, low, high = rows[0][:3]
+    own, node, part = (np.array([r[c] for r in rows]) for c in (3, 4, 5))
+    lanes = [r[6] for r in rows]
+    x = np.frombuffer(b"".join(lanes), np.uint64).reshape(-1, LANES)
+    values, segment = _values(lanes, bits, segments)[1], key >> bits
+    flips = values[:, segment] != key - (segment << bits)
+    limit, most = most_bits(64, similarity, 3.25), most_bits(64 * LANES, similarity, 3.25)
+    index = np.flatnonzero(~flips)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(index), 64):
+        i = index[at : at + 64]
+        apart = np.bitwise_count(x[i, None] ^ x[None])
+        near = (apart.sum(axis=2, dtype=np.int32) <= most) & (apart[:, :, -1] <= limit) & (part[i, None] != part)
+        near &= ((own[i, None] != own) == (low != high)) & (flips | (node[i, None] < node))
+        a, b = np.nonzero(near)
+        left.append(i[a])
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _units(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Members (key, node, blocks) of crowded values in pairs of blocks (key, low, high,
+    own, and the columns of ``held``), dealt by pair of blocks."""
+    spread = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = spread.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = met.select("key", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node")
+    keys = ["key", "low", "high"]
+    return units.join(held, "node").select(*keys, "own", *held.columns).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one unit after another."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for _, unit in groupby(rows, itemgetter(0, 1, 2)):
+        yield list(unit)
+
+
+def _crowds(classes: DataFrame, members: DataFrame, bits: int, segments: int, similarity: float) -> DataFrame:
+    """(key, u, v) of the units of crowded values: their pairs where they are fewer than
+    the members, else the members that have a pair (v is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _each_unit(batches):
+            i, j = _meetings(unit, bits, segments, similarity)
+            nodes = np.array([row[4] for row in unit])
+            if len(i) <= len(unit):
+                u, v = pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))
+            else:
+                u = pa.array(nodes[np.unique(np.concatenate([i, j]))])
+                v = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), unit[0][0])), u, v], names=["key", "u", "v"])
+
+    return _units(members, classes.select("node", "part", "lanes")).mapInArrow(run, "key bigint, u bigint, v bigint")
+
+
+def crowd_links(dense: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, bits: int, segments: int, similarity: float) -> DataFrame:
+    """(u, v): links among the members (key, node) of crowded values with more candidates
+    than members. They are verified where their shingle sets meet, in pairs of blocks;
+    a unit gives only links that join what it had not joined, so fewer than its members."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([wide_shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "shingles"])
+
+    texts = class_texts(dense.select("node").distinct(), classes, docs)
+    held = cut_lineage(texts.mapInArrow(sets, "node bigint, shingles binary").join(parts, "node").select("node", "part", "lanes", "shingles"), "crowd-sets")
+    sizes = dense.join(held.select("node", F.length("shingles").alias("bytes")), "node").groupBy("key")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / CROWD_BYTES)).cast("int")
+    members = dense.join(sizes.agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "key").select("key", "node", "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _each_unit(batches):
+            i, j = _meetings(unit, bits, segments, similarity)
+            found = [(unit[a][4], unit[b][4]) for a, b in _spanning(unit, i, j, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+    links = cut_lineage(_units(members, held).mapInArrow(run, "u bigint, v bigint"), "crowd-links")
+    drop_table(texts)
+    drop_table(held)
+    return links
+
+
+def _spanning(unit: list[tuple], i: np.ndarray, j: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Of the pairs (i, j) so similar by their shingles, those that join parts."""
+    sets = [np.frombuffer(row[7], np.uint64) for row in unit]
+    length = np.array([len(s) for s in sets])
+    numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(length)[:-1])
+    marked = np.zeros(int(length.sum()), bool)
+    root = np.unique(np.array([row[5] for row in unit]), return_inverse=True)[1]
+    # The larger set bounds the similarity by the smaller one.
+    able = (np.minimum(length[i], length[j]) + 1e-9 >= similarity * np.maximum(length[i], length[j])) & (length[i] > 0) & (length[j] > 0)
+    i, j = i[able], j[able]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for a, start, n in zip(*np.unique(i, return_index=True, return_counts=True), strict=True):
+        others = j[start : start + n]
+        others = others[root[others] != root[a]]
+        if not len(others):
+            continue
+        marked[numbers[a]] = True
+        starts = np.concatenate([[0], np.cumsum(length[others])[:-1]])
+        shared = np.add.reduceat(marked[np.concatenate([numbers[b] for b in others])], starts, dtype=np.int64)
+        marked[numbers[a]] = False
+        for b in others[(shared > 0) & (shared + 1e-9 >= similarity * (length[a] + length[others] - shared))]:
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                yield int(a), int(b)
+
+
+def candidates(classes: DataFrame, bits: int, segments: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(u, v) with u < v: classes (node, lanes, part) of different parts within one
     bit in some segment. The side with the zero flips, as in ``links``; another 64
-    bits with a generous limit leave few chance meetings."""
+    bits with a generous limit leave few chance meetings. Values that many alike
+    share are compared in blocks instead: the second table has the (key, node) of
+    those whose pairs are too many to be listed."""
     limit = most_bits(64, similarity, 3.25)
-
-    def entered(probing: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, len(whole), 256):
-                    batch = whole.slice(at, 256)
-                    lanes = batch.column(1).to_pylist()
-                    cut, values = _values(lanes, bits, segments)
-                    keys = values + (np.arange(segments, dtype=np.int64) << bits)
-                    row, flips = np.repeat(np.arange(len(keys)), segments), np.zeros(keys.size, bool)
-                    keys_all = keys.ravel()
-                    if probing:
-                        d, m, b = np.nonzero(cut == 0)
-                        keys_all = np.concatenate([keys_all, keys[d, m] + (np.int64(1) << b)])
-                        row, flips = np.concatenate([row, d]), np.concatenate([flips, np.ones(len(d), bool)])
-                    last = np.frombuffer(b"".join(lanes), np.int64).reshape(-1, LANES)[:, -1]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys_all), pa.array(batch.column(0).to_numpy()[row]), pa.array(batch.column(2).to_numpy()[row]), pa.array(last[row]), pa.array(flips),
-                    ], names=["key", "node", "part", "lane", "flips"])
-
-        return classes.select("node", "lanes", "part").mapInArrow(run, "key bigint, node bigint, part bigint, lane bigint, flips boolean")
-
-    a, b = entered(True).alias("a"), entered(False).drop("flips").alias("b")
+    crowded = _crowded(classes, bits, segments)
+    members = cut_lineage(_entries(classes, bits, segments, True).join(crowded, "key").select("key", "node", "flips", "blocks"), "crowd-members")
+    crowds = cut_lineage(_crowds(classes, members, bits, segments, similarity), "crowds")
+    # Pairs that meet under a crowded value are not listed under others; classes that have one
+    # themselves also carry all their bits, seven bytes a number, so that only close pairs are.
+    own = F.collect_list(F.when(~F.col("flips"), F.col("key")))
+    hot = members.groupBy("node").agg(own.alias("own"), F.collect_list("key").alias("met"))
+    seven = [F.conv(F.hex(F.substring("lanes", at, F.lit(7))), 16, 10).cast("bigint") for at in range(1, 8 * LANES + 1, 7)]
+    carried = F.struct("own", "met", F.when(F.size("own") > 0, F.array(*seven)).alias("all"))
+    known = classes.join(hot, "node", "left").select("node", "lanes", "part", F.when(F.col("met").isNotNull(), carried).alias("hot"))
+    known = cut_lineage(known, "known")
+    index = _entries(known, bits, segments, False).drop("flips").join(crowded, "key", "left_anti")
+    a, b = _entries(known, bits, segments, True).alias("a"), index.alias("b")
+    met = F.arrays_overlap("a.hot.own", "b.hot.met") | F.arrays_overlap("a.hot.met", "b.hot.own")
+    most = most_bits(64 * LANES, similarity, 3.25)
+    apart = sum(F.bit_count(F.col("a.hot.all")[k].bitwiseXOR(F.col("b.hot.all")[k])) for k in range(len(seven)))
+    listed = ~F.coalesce(met, F.lit(False)) & F.coalesce(apart <= most, F.lit(True))
     near = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= limit
     once = F.col("a.flips") | (F.col("a.node") < F.col("b.node"))
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & near & once)
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & near & once & listed)
     pairs = found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    most = most_bits(64 * LANES, similarity, 3.25)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +437,21 @@ def candidates(classes: DataFrame, bits: int, segments: int, similarity: float =
             yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= most))
 
     x, y = (classes.select(F.col("node").alias(c), F.col("lanes").alias(f"{c}_lanes")) for c in "uv")
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "u_lanes", "v_lanes").mapInArrow(close, "u bigint, v bigint")
+    alike = pairs.join(x, "u").join(y, "v").select("u", "v", "u_lanes", "v_lanes").mapInArrow(close, "u bigint, v bigint")
+    few = crowds.where(F.col("v").isNotNull()).select("u", "v")
+    dense = crowds.where(F.col("v").isNull()).select("key", F.col("u").alias("node")).distinct()
+    return alike.unionByName(few).distinct(), dense
+
+
+def class_texts(needed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the classes (node, first, text_key) asked for, from ``docs`` (doc_id, text)."""
+    wanted = cut_lineage(classes.select("node", "first", "text_key").join(needed, "node"), "wanted")
+    # Only rows that may be asked for are shuffled.
+    keyed = split_by(docs, "doc_id", bitmap_of(wanted.select("first")))[0].withColumn("key", F.xxhash64("text"))
+    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("text_key")))
+    texts = cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    drop_table(wanted)
+    return texts
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -292,11 +460,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     text); sets are made where two texts meet and are never written."""
     pairs = cut_lineage(pairs, "candidates")
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = cut_lineage(classes.select("node", "first", "text_key").join(needed, "node"), "wanted")
-    # Only rows that may be asked for are shuffled.
-    keyed = split_by(docs, "doc_id", bitmap_of(wanted.select("first")))[0].withColumn("key", F.xxhash64("text"))
-    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("text_key")))
-    texts = cut_lineage(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    texts = class_texts(needed, classes, docs)
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
 
@@ -311,7 +475,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     links = cut_lineage(both.mapInArrow(run, "u bigint, v bigint"), "links")
-    for table in (texts, wanted, pairs):
+    for table in (texts, pairs):
         drop_table(table)
     return links
 
@@ -346,7 +510,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     close = verified(_close_copies(classes), classes, read, similarity)
     joined = connected_components(close).withColumnRenamed("root", "part")
     parts = cut_lineage(classes.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "lanes", "part"), "parts")
-    more = verified(candidates(parts, *segments_for(parts.count(), similarity), similarity), classes, read, similarity)
+    cut = segments_for(parts.count(), similarity)
+    pairs, dense = candidates(parts, *cut, similarity)
+    more = verified(pairs, classes, read, similarity)
+    if not dense.isEmpty():
+        more = more.unionByName(crowd_links(dense, parts, classes, read, *cut, similarity))
     drop_table(parts)
     rooted = classes.join(connected_components(close.unionByName(more)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Written, so that the join has an exchange on both sides and a large component can be split.

@@ -153,6 +153,37 @@ def test_links_are_verified_on_the_shingles(spark):
     assert sum(d + 1000 not in kept for d, alike in want.items() if alike) >= 0.97 * sum(want.values())
 
 
+def test_large_group_of_near_copies_makes_no_square_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(12)
+    base, rows = [f"w{rng.getrandbits(40)}" for _ in range(150)], []
+    for d in range(500):
+        w = list(base)
+        for at in rng.sample(range(6, 150, 12), 3):  # alike only with the same three places, else 0.66 to 0.76
+            w[at] = f"n{rng.getrandbits(40)}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join(f"w{rng.getrandbits(40)}" for _ in range(100))) for d in range(200)]
+    counted, verified = [], simhash.verified
+
+    def counting(pairs, *more):
+        pairs = simhash.cut_lineage(pairs, "counted")
+        counted.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", counting)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: shingle_set(t) for d, t in rows}
+    links = [(a, b) for a in range(500) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 200 < len(links) < 3000
+    root = {d: d for d in sets}
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = {d: x if r == y else r for d, r in root.items()} if x != y else root
+    assert all(root[got[d]] == root[d] for d in got) and all(got[d] == d for d in got if d >= 1000)
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    assert sum(counted) < 10 * len(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
