@@ -88,7 +88,8 @@ def links(nodes: DataFrame) -> DataFrame:
     )
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS
     once = F.when(F.col("same"), F.col("fp") < F.col("other")).otherwise(F.col("fp") != F.col("other"))
-    found = probes.join(index, (probes["key"] == index["key"]) & near & once)
+    # Catalyst knows nothing of the rows that explode adds and would broadcast the probes.
+    found = probes.hint("merge").join(index, (probes["key"] == index["key"]) & near & once)
     return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
@@ -96,12 +97,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for every row."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    members = connected_components(links(nodes.select("fp")))
-    rooted = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    # Merged: these tables grow with the input, and compressed files hide how large one is on the driver.
+    rooted = nodes.join(members.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Written, so that the join has an exchange on both sides and a large component can be split.
     smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    component = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = rooted.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(component.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 # -- documents alike in most of their five-word shingles --------------------------

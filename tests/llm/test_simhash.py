@@ -78,6 +78,25 @@ def test_components_nulls_and_repeats(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_table_that_grows_with_the_input_is_broadcast(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    rows = [(d, " ".join(word() for _ in range(3))) for d in range(3000)]
+    for d in range(5000, 5020):
+        text = [word() for _ in range(300)]
+        rows += [(d, " ".join(text)), (d + 100, " ".join([*text[:150], "changed", *text[151:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Past this size a broadcast fails, as on a driver that is too small; the map of few rows takes over 1 MB.
+    key = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, "2m")
+    try:
+        found = simhash.near_duplicates(docs)
+        assert hexed(found) == brute(rows)
+    finally:
+        spark.conf.unset(key)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def shingle_set(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
